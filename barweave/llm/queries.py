@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barweave.llm import html_graph, html_labelled, license_digest, sentencepiece_table, toxicity_cnn, warc_zstd, weak_quality
+from barweave.llm import embedding_lsh, html_graph, html_labelled, license_digest, ngram_trees, sentencepiece_table, toxicity_cnn, warc_zstd, weak_quality
 from barweave.llm.shared import written
 
 
@@ -42,6 +42,14 @@ def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.score(documents, toxicity_cnn.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_ngram_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trees.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weak_quality": op4_weak_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity_cnn": op6_toxicity_cnn,
+    "op7_embedding_lsh": op7_embedding_lsh,
+    "op8_ngram_trees": op8_ngram_trees,
     "op9_license_digest": op9_license_digest,
     "op10_warc_zstd": op10_warc_zstd,
 }
