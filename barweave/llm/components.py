@@ -25,6 +25,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
+        least = written(least, "least")  # a table: then Spark can split a hub's side of the join
         large = both.where("lo > hi").join(least.withColumnRenamed("hi", "u"), F.col("hi") == F.col("u")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(small_least.withColumnRenamed("hi", "u"), F.col("hi") == F.col("u")).select("hi", "lo", "m")

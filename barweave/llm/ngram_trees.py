@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barweave.llm.batches import grouped
 from barweave.llm.components import connected_components
-from barweave.llm.shared import written
+from barweave.llm.shared import packed, written
 from barweave.llm.words import as_bytes, mix, shingles, slices, tokenize
 
 BANDS, PER_BAND = 6, 2
@@ -49,10 +49,18 @@ def linked(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
 
 
-def bands(s: np.ndarray) -> list[int]:
-    low = np.array([(mix(s ^ seed) * odd).min() for seed, odd in zip(_SEEDS, _ODD, strict=True)]).reshape(BANDS, PER_BAND)
-    key = (low * np.arange(1, 2 * PER_BAND, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+def bands(sets: list[np.ndarray]) -> list[list[int]]:
+    """The min-hash bands of each set; an empty set has none."""
+    full = [i for i, s in enumerate(sets) if len(s)]
+    out: list[list[int]] = [[] for _ in sets]
+    if full:
+        every = np.concatenate([sets[i] for i in full])
+        starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]]).astype(np.int64)
+        low = np.stack([np.minimum.reduceat((every ^ seed) * odd, starts) for seed, odd in zip(_SEEDS, _ODD, strict=True)], axis=1).reshape(len(full), BANDS, PER_BAND)
+        key = mix((mix(low) * np.arange(1, 2 * PER_BAND, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        for i, row in zip(full, key.view(np.int64).tolist(), strict=True):
+            out[i] = row
+    return out
 
 
 def routes(size: int, least: Fraction) -> list[tuple[int, int]]:
@@ -77,8 +85,8 @@ def keys_of(s: np.ndarray, least: Fraction) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
     out = []
     for interval, parts in routes(len(s), least):
-        edges = (np.arange(parts + 1, dtype=object) * (1 << 64) // parts)
-        cuts = np.concatenate([[0], np.searchsorted(s, edges[1:-1].astype(np.uint64)), [len(s)]])
+        edges = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
+        cuts = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
         counts = np.diff(cuts)
         if (counts == 0).sum() <= SPARE:
             use = np.flatnonzero(counts)
@@ -171,28 +179,13 @@ def _signed(documents: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
-                        pa.array([int(mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        pa.array([int(mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()), pa.array(bands(sets), pa.list_(pa.int64())),
                     ], names=["doc_id", "size", "d1", "d2", "bands"],
                 )
 
     return _read(documents).mapInArrow(run, "doc_id long, size long, d1 long, d2 long, bands array<long>")
 
 
-def _packed(documents: DataFrame) -> DataFrame:
-    """doc_id and the text compressed, for shuffles."""
-
-    def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(x) for x in as_bytes(part.column(1))], pa.binary())], names=["doc_id", "packed"])
-
-    return _read(documents).mapInArrow(run, "doc_id long, packed binary")
-
-
 def verify(pairs: DataFrame, documents: DataFrame, n: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) that are linked, by exact comparison of whole sets.
 
@@ -200,9 +193,9 @@ def verify(pairs: DataFrame, documents: DataFrame, n: int, least: Fraction) -> D
     plain join, whose large partitions Spark splits.
     """
     num, den = least.numerator, least.denominator
-    packed = _packed(documents)
-    one = pairs.join(packed.withColumnRenamed("packed", "x"), F.col("a") == F.col("doc_id")).select("a", "b", "x")
-    two = one.join(packed.withColumnRenamed("packed", "y"), F.col("b") == F.col("doc_id")).select("a", "b", "x", "y")
+    texts = packed(documents)
+    one = pairs.join(texts.withColumnRenamed("packed", "x"), F.col("a") == F.col("doc_id")).select("a", "b", "x")
+    two = one.join(texts.withColumnRenamed("packed", "y"), F.col("b") == F.col("doc_id")).select("a", "b", "x", "y")
 
     def run(batches):
         import zstandard
@@ -244,6 +237,7 @@ def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction) -> Da
     num, den = least.numerator, least.denominator
     spread = reps.select("doc_id", F.explode("bands").alias("band"))
     centres = spread.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
+    centres = written(centres, "centres")  # a table: then Spark can split a large band's side of the join
     stars = spread.join(centres, "band").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     edges = written(verify(written(stars, "stars"), documents, n, least), "verified")
     parts = written(connected_components(edges, "a", "b"), "groups")
@@ -260,7 +254,7 @@ def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction) -> Da
                 sets = sets_of([unpack(x) for x in part.column(2).to_pylist()], n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([keys_of(s, share).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "group", "size", "keys", "bits"])
 
-    text = labelled.select(F.col("doc_id").alias("rep"), "group").join(_packed(documents), F.col("rep") == F.col("doc_id")).select("doc_id", "group", "packed")
+    text = labelled.select(F.col("doc_id").alias("rep"), "group").join(packed(documents), F.col("rep") == F.col("doc_id")).select("doc_id", "group", "packed")
     routed = written(text.mapInArrow(run, "doc_id long, `group` long, size long, keys array<long>, bits binary"), "routed")
     mixed = routed.select("group", F.explode("keys").alias("key")).groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("n")).where("g0 <> g1")
     open_keys = written(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")

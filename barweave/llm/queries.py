@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barweave.llm import embedding_lsh, html_graph, html_labelled, license_digest, ngram_trees, sentencepiece_table, toxicity_cnn, warc_zstd, weak_quality
+from barweave.llm import decontaminate, embedding_lsh, html_graph, html_labelled, license_digest, ngram_trees, sentencepiece_table, substring_chain, toxicity_cnn, warc_zstd, weak_quality
 from barweave.llm.shared import written
 
 
@@ -28,6 +28,14 @@ def op1_html_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_graph.extract_pages(table(spark, sf_dir, "pages"), html_labelled.fitted())
 
 
+def op2_substring_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_chain.passages(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return weak_quality.score(documents, *weak_quality.fit(documents))
@@ -61,6 +69,8 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_graph": op1_html_graph,
+    "op2_substring_chain": op2_substring_chain,
+    "op3_decontaminate": op3_decontaminate,
     "op4_weak_quality": op4_weak_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity_cnn": op6_toxicity_cnn,
