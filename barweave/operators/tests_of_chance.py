@@ -164,12 +164,15 @@ def fold_instability(returns: DataFrame, n: int = 8, ret: str = "net_ret", by: S
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", by: Sequence[str] = ()) -> DataFrame:
-    """a, b, corr for every pair; Spearman by ranks with ties averaged. ``by`` should hold a series for Spearman."""
+    """a, b, corr for every pair; Spearman by ranks with ties averaged, values equal at
+    10 decimals being ties. ``by`` should hold a series for Spearman.
+    """
     rows = df.dropna(subset=list(cols))
     if method == "spearman":
         for c in cols:
             w = Window.partitionBy(*by)
-            rank = F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+            value = F.round(c, 10)
+            rank = F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
             rows = rows.withColumn(f"_r_{c}", rank)
         rows = rows.select(*by, *[F.col(f"_r_{c}").alias(c) for c in cols])
     pairs = [(a, b) for a in cols for b in cols]

@@ -162,7 +162,7 @@ def r5(spark, sf):
     return R.asof_join(B.bars(spark, sf).select("asset", "ts", "close"), B.funding_like(spark, sf), tolerance="4h")
 
 
-@query("r6_available_at", "asset ts:i day_close:d", "SELECT b.asset, b.t AS ts, d.close AS day_close FROM bars_1h AS b ASOF LEFT JOIN (SELECT asset, t // 86400 * 86400 + 86400 AS at, last(close ORDER BY t) AS close FROM bars_1h GROUP BY ALL) AS d ON b.asset = d.asset AND b.t >= d.at")
+@query("r6_available_at", "asset ts:i day_close:d", "SELECT b.asset, b.t AS ts, d.close AS day_close FROM bars_1h AS b ASOF LEFT JOIN (SELECT asset, t // 86400 * 86400 + 86400 AS av, last(close ORDER BY t) AS close FROM bars_1h GROUP BY ALL) AS d ON b.asset = d.asset AND b.t >= d.av")
 def r6(spark, sf):
     b = B.bars(spark, sf)
     days = R.available_at(R.resample_ohlcv(b, "1d"), "ts", "1d").select("asset", "available_at", F.col("close").alias("day_close"))

@@ -345,6 +345,7 @@ def t8(spark, sf):
     return T.fold_instability(pool(spark, sf), ret="fwd")
 
 
+cte("ranked_atoms", "SELECT asset, " + ", ".join(f"rank() OVER (PARTITION BY asset ORDER BY round({n}, 10)) + (count(*) OVER (PARTITION BY asset, round({n}, 10)) - 1) / 2.0 AS r_{n}" for n in _THREE) + " FROM known")
 _CM = [(a, b) for a in _THREE for b in _THREE]
 
 
@@ -382,9 +383,6 @@ def t12(spark, sf):
     return hold.join(dev, "asset").select("asset", T.hit_se(F.col("h"), F.col("n")).alias("se"), T.overfit_gap(F.col("h"), F.col("d")).alias("gap_pp"))
 
 
-cte("ranked_atoms", "SELECT asset, " + ", ".join(f"rank() OVER (PARTITION BY asset ORDER BY {n}) + (count(*) OVER (PARTITION BY asset, {n}) - 1) / 2.0 AS r_{n}" for n in _THREE) + " FROM known")
-
-
 @query("l1_gbt", "asset n:i hit:d lift:d")
 def l1(spark, sf):
     return W.gbt_holdout(rows3(spark, sf), CFG, "click", 5)
