@@ -458,7 +458,7 @@ def t12a(spark, sf):
 # ---- streaming, run over what is there
 
 def _stream(spark: SparkSession, sf: str, job, mode: str = "append") -> DataFrame:
-    """``job`` over the event table read as a stream, into a table in memory."""
+    """``job`` over the event table read as a stream, into a table in the shared folder."""
     from pathlib import PurePosixPath
 
     path = f"{sf}/events.parquet"
@@ -468,7 +468,7 @@ def _stream(spark: SparkSession, sf: str, job, mode: str = "append") -> DataFram
     ticks = raw.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), (1000 + F.col("value")).alias("price"), F.lit(1).alias("qty"), F.col("event_id").alias("seq"), "user_id")
     name = f"s{uuid.uuid4().hex}"
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barweave-")
-    return ST.run_available(job(ticks), name, f"{folder}/{name}", mode)
+    return ST.run_available(job(ticks), f"{folder}/{name}-out", f"{folder}/{name}-log", mode)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barweave.operators.positions import hold_cycle_pnl
@@ -97,8 +97,6 @@ def ledger_report(ledger: DataFrame, recent: int = 30, target_n: int = 100, targ
 
     ``ledger``: asset, source, ts, outcome (hit, miss or null).
     """
-    from pyspark.sql import Window
-
     slices = F.explode(F.array(F.lit("all"), F.concat(F.lit("asset="), "asset"), F.concat(F.lit("source="), "source")))
     rows = ledger.withColumn("slice", slices).withColumn("_hit", F.when(F.col("outcome") == "hit", 1).when(F.col("outcome") == "miss", 0))
     order = Window.partitionBy("slice", F.col("_hit").isNotNull()).orderBy(F.desc("ts"), "asset", "source")
@@ -107,11 +105,19 @@ def ledger_report(ledger: DataFrame, recent: int = 30, target_n: int = 100, targ
     return out.withColumn("pending", F.col("logged") - F.col("scored")).withColumn("validated", F.coalesce((F.col("scored") >= target_n) & (F.col("hit") >= target_hit), F.lit(False)))
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over what is there now, into a table in memory; for tests and small checks."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a streaming query over what is there now, into Parquet under ``out``, and read that.
+
+    In append mode a batch has a folder of its own and may be written again after a failure; in complete mode each
+    batch replaces the last one's result.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}" if mode == "append" else f"{out}/batch=0")
+
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
 
 
 def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
