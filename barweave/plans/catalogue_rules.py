@@ -130,18 +130,18 @@ def m9(spark, sf):
 
 # ---- walk-forward; the fold is part of every key
 
-def walk_ctes(prefix: str, src: str, folds: int = 5, initial: float = 0.4, min_folds: int = 3) -> None:
-    k = "asset, fold"
-    cte(f"{prefix}_f", folds_sql(src, folds, initial))
+def walk_ctes(prefix: str, src: str, folds: int = 5, initial: float = 0.4, min_folds: int = 3, base: str = "asset") -> None:
+    k = f"{base}, fold"
+    cte(f"{prefix}_f", folds_sql(src, folds, initial, base))
     cte(f"{prefix}_c", cuts_sql(f"{prefix}_f", "role = 'train'", k))
     cte(f"{prefix}_s", states_sql(f"{prefix}_f", f"{prefix}_c", k))
-    cte(f"{prefix}_e", events_sql(f"{prefix}_s", "asset, fold, t, role, fwd, return_6h"))
+    cte(f"{prefix}_e", events_sql(f"{prefix}_s", f"{k}, t, role, fwd, return_6h"))
     cte(f"{prefix}_tr", f"SELECT * FROM {prefix}_e WHERE role = 'train'")
     cte(f"{prefix}_te", f"SELECT * FROM {prefix}_e WHERE role = 'test'")
     cte(f"{prefix}_r", rules_sql(f"{prefix}_tr", k))
     cte(f"{prefix}_v", votes_sql(f"{prefix}_te", f"{prefix}_r", k))
-    cte(f"{prefix}_h", f"SELECT asset, fold, event, avg(CAST(direction = CAST(fwd > 0 AS INT) AS INT)) AS oos_hit FROM {prefix}_te JOIN (SELECT asset, fold, event, direction FROM {prefix}_r) AS r USING (asset, fold, event) WHERE fwd IS NOT NULL GROUP BY ALL HAVING count(*) >= 5")
-    cte(f"{prefix}_st", f"SELECT *, coverage_frac * consistency AS stability FROM (SELECT asset, event, count(*) AS folds_present, count(*) / {folds}.0 AS coverage_frac, CAST(round_even(avg(direction), 0) AS INT) AS direction, greatest(avg(direction), 1 - avg(direction)) AS consistency, avg(oos_hit) AS avg_oos_hit, avg(confidence) AS avg_confidence FROM {prefix}_r LEFT JOIN {prefix}_h USING (asset, fold, event) GROUP BY asset, event) AS x")
+    cte(f"{prefix}_h", f"SELECT {k}, event, avg(CAST(direction = CAST(fwd > 0 AS INT) AS INT)) AS oos_hit FROM {prefix}_te JOIN (SELECT {k}, event, direction FROM {prefix}_r) AS r USING ({k}, event) WHERE fwd IS NOT NULL GROUP BY ALL HAVING count(*) >= 5")
+    cte(f"{prefix}_st", f"SELECT *, coverage_frac * consistency AS stability FROM (SELECT {base}, event, count(*) AS folds_present, count(*) / {folds}.0 AS coverage_frac, CAST(round_even(avg(direction), 0) AS INT) AS direction, greatest(avg(direction), 1 - avg(direction)) AS consistency, avg(oos_hit) AS avg_oos_hit, avg(confidence) AS avg_confidence FROM {prefix}_r LEFT JOIN {prefix}_h USING ({k}, event) GROUP BY {base}, event) AS x")
     cte(f"{prefix}_ok", f"SELECT * FROM {prefix}_st WHERE folds_present >= {min_folds} AND consistency >= 0.75 AND avg_oos_hit > 0.5")
 
 
@@ -234,7 +234,13 @@ def m20(spark, sf):
     return out.withColumn("used", F.array_join(F.transform("rules_used", lambda r: r.event), ","))
 
 
-@query("m21_replay", "asset window:i bars:i n:i hit_rate:d n_rules:i lift:d lift_trend:d")
+cte("grown", "SELECT k.*, g.win FROM (SELECT * EXCLUDE (pos, n_all), row_number() OVER (PARTITION BY asset ORDER BY t) AS r0, count(*) OVER (PARTITION BY asset) AS n0 FROM known) AS k, range(1, 5) AS g(win) WHERE r0 <= floor(n0 * win / 4.0 + 1e-9)")
+walk_ctes("rp", "grown", base="asset, win")
+cte("rp_m", eval_sql("rp_v", "(SELECT DISTINCT asset, win, fold, t, fwd, return_6h FROM rp_te) AS tt", "asset, win, fold"))
+cte("rp_o", "SELECT asset, win, b AS bars, n, h AS hit_rate, e AS n_rules, h - 0.5 AS lift FROM (SELECT asset, win, count(*) AS b FROM grown GROUP BY ALL) AS x LEFT JOIN (SELECT asset, win, sum(n_pred) AS n, sum(model_hit * n_pred) / sum(n_pred) AS h FROM rp_m GROUP BY ALL) AS y USING (asset, win) LEFT JOIN (SELECT asset, win, count(*) AS e FROM rp_st GROUP BY ALL) AS z USING (asset, win)")
+
+
+@query("m21_replay", "asset window:i bars:i n:i hit_rate:d n_rules:i lift:d lift_trend:d", 'SELECT *, win AS "window", first_value(lift) OVER (PARTITION BY asset ORDER BY win DESC) - first_value(lift) OVER (PARTITION BY asset ORDER BY win) AS lift_trend FROM rp_o')
 def m21(spark, sf):
     return W.replay(rows3(spark, sf), CFG, 4)
 

@@ -388,16 +388,27 @@ def a5(spark, sf):
     return H.return_stats(H.equity(stepped(spark, sf)), 8760)
 
 
-_HOLD = """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM pos_rows), walk AS (SELECT asset, t, rn, target AS pos, CASE WHEN target <> 0 THEN 1 ELSE 0 END AS held FROM numbered WHERE rn = 1
-    UNION ALL SELECT n.asset, n.t, n.rn, CASE WHEN n.target = w.pos OR w.held >= 6 OR w.pos = 0 THEN n.target ELSE w.pos END, CASE WHEN n.target = w.pos THEN w.held + CASE WHEN w.pos <> 0 THEN 1 ELSE 0 END WHEN w.held >= 6 OR w.pos = 0 THEN CASE WHEN n.target <> 0 THEN 1 ELSE 0 END ELSE w.held + 1 END FROM walk AS w JOIN numbered AS n ON n.asset = w.asset AND n.rn = w.rn + 1) SELECT asset, t AS ts, pos FROM walk"""
+def hold_sql(src: str, n: int) -> str:
+    """The minimum-hold walk over (asset, t, target, ...), one row after the other."""
+    return f"""WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM {src}), walk AS (SELECT *, target AS pos, CASE WHEN target <> 0 THEN 1 ELSE 0 END AS held FROM numbered WHERE rn = 1
+    UNION ALL SELECT n.*, CASE WHEN n.target = w.pos OR w.held >= {n} OR w.pos = 0 THEN n.target ELSE w.pos END, CASE WHEN n.target = w.pos THEN w.held + CASE WHEN w.pos <> 0 THEN 1 ELSE 0 END WHEN w.held >= {n} OR w.pos = 0 THEN CASE WHEN n.target <> 0 THEN 1 ELSE 0 END ELSE w.held + 1 END FROM walk AS w JOIN numbered AS n ON n.asset = w.asset AND n.rn = w.rn + 1) SELECT * FROM walk"""
 
 
-@query("a6_min_hold", "asset ts:i pos:d", _HOLD)
+cte("held_six", hold_sql("pos_rows", 6))
+
+
+@query("a6_min_hold", "asset ts:i pos:d", _T + "held_six")
 def a6(spark, sf):
     return H.min_hold(targets(spark, sf), 6)
 
 
-@query("a7_thesis_hold", "asset ts:i pos:d exit_reason")
+_THESIS = """WITH RECURSIVE numbered AS (SELECT asset, t, fwd, target AS sig, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM pos_rows), walk AS (SELECT DISTINCT asset, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS pos, NULL::VARCHAR AS why, 0.0::DOUBLE AS cur, 0 AS held, 0.0::DOUBLE AS gain, 0 AS rest FROM numbered
+    UNION ALL SELECT asset, t, rn, pos, why, CASE WHEN why IS NULL THEN pos ELSE 0 END, held, gain, CASE WHEN why IS NULL THEN rest ELSE 2 END FROM (SELECT *, CASE WHEN stay AND held >= 2 AND gain >= 0.003 THEN 'tp' WHEN stay AND held >= 2 AND gain <= -0.0045 THEN 'sl' WHEN stay AND held >= 12 THEN 'timeout' WHEN stay AND held >= 2 AND sig <> 0 AND sig <> pos THEN 'invalidate' END AS why
+    FROM (SELECT n.*, w.cur <> 0 AS stay, CASE WHEN w.cur <> 0 THEN w.cur WHEN w.rest > 0 THEN 0 ELSE n.sig END AS pos, CASE WHEN w.cur <> 0 THEN w.held + 1 WHEN w.rest > 0 THEN 0 ELSE CAST(n.sig <> 0 AS INT) END AS held, CASE WHEN w.cur <> 0 THEN w.gain + w.cur * n.fwd WHEN w.rest > 0 THEN 0 ELSE n.sig * n.fwd END AS gain, CASE WHEN w.cur = 0 AND w.rest > 0 THEN w.rest - 1 ELSE 0 END AS rest FROM walk AS w JOIN numbered AS n ON n.asset = w.asset AND n.rn = w.rn + 1) AS x) AS y) SELECT * FROM walk WHERE rn > 0"""
+cte("thesis", _THESIS)
+
+
+@query("a7_thesis_hold", "asset ts:i pos:d exit_reason", "SELECT *, t AS ts, why AS exit_reason FROM thesis")
 def a7(spark, sf):
     return H.thesis_hold(targets(spark, sf), max_hold=12, least=2, cooldown=2)
 
@@ -444,7 +455,12 @@ def targets_all(spark, sf) -> DataFrame:
     return P.contrarian_signal(pool_streak(spark, sf)).where("sig <> 0").select("asset", "ts", F.col("sig").alias("direction"))
 
 
-@query("a12_sealed_eval", "asset status n:i total:d n_changes:i buy_hold:d passed:b")
+cte("sealed_rows", "SELECT * FROM pos_rows WHERE t > 1705276800")
+cte("sealed_held", hold_sql("sealed_rows", 12))
+cte("sealed_net", "SELECT *, pos * fwd - sw * 5 / 1e4 AS net FROM (SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY asset ORDER BY t), 0)) AS sw FROM sealed_held) AS x")
+
+
+@query("a12_sealed_eval", "asset status n:i total:d n_changes:i buy_hold:d passed:b", f"SELECT *, CASE WHEN n < 100 THEN 'pending' ELSE 'evaluated' END AS status, n >= 100 AND total > 0 AND total > buy_hold AND n_changes >= 30 AND sharpe > 0 AS passed FROM ({stats_sql('sealed_net', 'asset', 8760, ', exp(sum(ln(1 + fwd))) - 1 AS buy_hold')}) AS s")
 def a12(spark, sf):
     return H.sealed_eval(targets(spark, sf), F.timestamp_seconds(F.lit(1705276800)), min_bars=100)
 
@@ -506,7 +522,11 @@ def w4(spark, sf):
     return ST.score_hold_cycles(targets_all(spark, sf), B.bars(spark, sf), 3)
 
 
-@query("w5_live_min_hold", "asset ts:i pos:d traded:b")
+cte("tick_targets", "SELECT asset, s AS t, CASE WHEN first(price ORDER BY ts) > 1050 THEN 1.0 ELSE -1.0 END AS target FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM ticks) AS x GROUP BY asset, s")
+cte("tick_held", hold_sql("tick_targets", 3))
+
+
+@query("w5_live_min_hold", "asset ts:i pos:d traded:b", "SELECT *, t AS ts, pos <> coalesce(lag(pos) OVER (PARTITION BY asset ORDER BY t), 0) AS traded FROM tick_held")
 def w5(spark, sf):
     """Every tick above its asset's start is a target to be long; the positions as a stream keeps them."""
     return _stream(spark, sf, lambda t: ST.live_min_hold(t.select("asset", "ts", F.when(F.col("price") > 1050, 1.0).otherwise(-1.0).alias("target")), 3))
