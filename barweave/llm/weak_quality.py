@@ -99,7 +99,7 @@ class LabelModel:
         return {x: tuple(float(self.table[c, j, c] / self.table[c, j, :2].sum()) for c in (0, 1)) for j, x in enumerate(LABELLERS)}
 
 
-def expectation_maximisation(v: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> LabelModel:
+def expectation_maximisation(v: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 0.1) -> LabelModel:
     """Class shares and vote frequencies from patterns and their counts; it starts from bad where a labeller says so."""
     good = np.where((v == BAD).any(axis=1), 0.1, 0.9)
     model = LabelModel(0.5, np.full((2, v.shape[1], 3), 1 / 3))
@@ -133,12 +133,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.weights[_features(stats)].sum(axis=1) + mean, -40, 40)))
 
 
-def train_scorer(stats: np.ndarray, words: list[np.ndarray], target: np.ndarray, epochs: int = 8, rate: float = 0.3, seed: int = 5) -> Scorer:
-    """Logistic regression with soft targets, by stochastic gradients with adaptive steps."""
+def train_scorer(stats: np.ndarray, words: list[np.ndarray], target: np.ndarray, steps: int = 32_000, rate: float = 0.3, seed: int = 5) -> Scorer:
+    """Logistic regression with soft targets, by about ``steps`` stochastic gradients with adaptive steps."""
     weights, square, bias = np.zeros(SIZE), np.full(SIZE, 1e-2), 0.0
     places, rng = _features(stats), np.random.default_rng(seed)
     counted = [np.unique((x % np.uint64(SIZE)).astype(np.int64), return_counts=True) for x in words]
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(1, len(words)))):
         for i in rng.permutation(len(words)):
             at, n = counted[i]
             part = n / max(1, n.sum())
