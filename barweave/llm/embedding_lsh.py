@@ -39,7 +39,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def codes(unit: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """For every vector and table the own bucket, and the PROBES further ones: arrays (n, T) and (n, T, P) of uint64."""
     n, d = unit.shape
-    size = 1 << max(1, (d - 1).bit_length())
+    size = 1 << max(2, (d - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = unit
     rng = np.random.default_rng(seed)
@@ -130,6 +130,9 @@ def compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         for t in range(table):
             todo = np.flatnonzero(fresh)
             fresh[todo[_meet(base[a[todo], t], probes[a[todo], t], base[b[todo], t], probes[b[todo], t])]] = False
+        # two that look into each other's buckets meet twice in this table: the smaller bucket counts
+        looks_a, looks_b = (probes[a, table] == base[b, table][:, None]).any(axis=1), (probes[b, table] == base[a, table][:, None]).any(axis=1)
+        fresh &= ~(own[i] & ~own[j] & looks_a & (base[b, table] < base[a, table])) & ~(own[j] & ~own[i] & looks_b & (base[a, table] < base[b, table]))
         links = np.zeros(len(used), dtype=np.int64)
         np.add.at(links, a[fresh], copies[j[fresh]])
         np.add.at(links, b[fresh], copies[i[fresh]])
