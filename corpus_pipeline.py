@@ -19,11 +19,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group stays: that with the group's smallest doc_id.
 
     Groups are connected by links of five-word shingle sets with a Jaccard similarity of 0.8 or more. Documents without
-    words are no copies of each other. Of rows with one doc_id in one group one stays.
+    words are no copies of each other. Of rows with one doc_id in one group one stays; different texts under one doc_id
+    are told apart by the hash of id and text, and each goes or stays by its own group. Rows with a null id stay.
     """
-    found = ngram_trees.near_duplicates(docs, n=5, percent=80)
-    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    doc = F.col("doc_id").cast("long")
+    keyed = docs.withColumn("row_key", F.when(doc.isNotNull(), F.xxhash64(doc, F.col("text"))))
+    found = ngram_trees.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), n=5, percent=80)
+    found = written(found.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("row_key"), "component_id").count(), "found")
+    ids = keyed.where("row_key is not null").select("row_key", doc.alias("doc")).distinct()
+    large = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = written(found.join(large, "component_id").join(ids, "row_key").select("component_id", "row_key", "doc"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc", "row_key")).alias("first"))
+    gone = members.join(first, "component_id").where("row_key <> first.row_key").select("row_key")
+    repeated = found.where("count > 1").select("row_key")
+    gone, repeated = written(gone, "gone"), written(repeated.join(gone, "row_key", "left_anti"), "repeated")
+    once = keyed.join(gone.unionByName(repeated), "row_key", "left_anti")
+    return once.unionByName(keyed.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

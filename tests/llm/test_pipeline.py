@@ -52,6 +52,17 @@ def test_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["tokens"])
 
 
+def test_rows_of_one_doc_id(spark):
+    a, b, c, d = (prose(80, k) for k in (1, 2, 3, 4))
+    near = [*d[:40], "else", *d[41:]]
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, c), (4, d), (5, near), (5, prose(80, 5)), (6, prose(80, 6)), (6, [*prose(80, 6), "more"]), (None, a), (None, a), (7, []), (7, [])]
+    left = sorted((repr(r["doc_id"]), r["text"]) for r in corpus_pipeline.near_duplicates(spark, make(spark, [(i, " ".join(t)) for i, t in rows]), "").collect() if r["doc_id"] != 6)
+    want = [(1, a), (2, b), (3, c), (4, d), (5, prose(80, 5)), (None, a), (None, a), (7, []), (7, [])]
+    assert left == sorted((repr(i), " ".join(t)) for i, t in want)
+    six = corpus_pipeline.near_duplicates(spark, make(spark, [(i, " ".join(t)) for i, t in rows]), "").where("doc_id = 6")
+    assert six.count() == 1
+
+
 def test_run_equals_the_stages_on_the_test_tables(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf)
