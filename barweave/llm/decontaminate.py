@@ -1,7 +1,9 @@
 """Benchmark passages in documents, by SimHash windows of the items' own sizes; DataFrame functions only.
 
-For an item of m words every window of m words of a document is of its size. Windows are formed where a document
-shares a word shingle with some item: a window without one has similarity 0, so none is lost. A window's SimHash is
+For an item of m words every window of m words of a document is of its size.
+A similarity counts shingles in any order, and moving a window on to its first shingle that the item has loses none of
+those; so the best window starts at a shared shingle, or is the document's last one. Windows start there if they hold
+enough shared shingles for the wanted similarity, so none is lost. A window's SimHash is
 looked up among those of the items of its size by BLOCKS blocks of its bits, each within BLOCK_RADIUS bits: every
 fingerprint within RADIUS bits is found. Those pairs are verified by their exact weighted shingle similarity, the sum
 of the smaller over the sum of the larger numbers of occurrences.
@@ -56,7 +58,6 @@ def _block(fingerprint: Column, block: Column) -> Column:
 
 def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity, first_word: each pair with a window of similarity ``least`` or more, at its best.
-
     An item of fewer than five words is one shingle. Null or empty texts and null ids have no leaks; items with equal
     texts are found each. Rows with one doc_id are windowed by themselves and reported under that id. Columns besides
     the ids and texts are not read. Tables that grow with the benchmark or with the leaks are written first, so that
@@ -76,17 +77,26 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     hits = None
     for k in sizes:
-        grams = texts.select("doc_id", word_hashes(F.col("text")).alias("w")).select("doc_id", F.posexplode(shingle_hashes(F.col("w"), k)).alias("at", "shingle"))
+        grams = texts.select("doc_id", word_hashes(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("at", "shingle"))
         found = grams.join(wanted.where(F.col("k") == k).select("shingle"), "shingle", "left_semi").withColumn("k", F.lit(k))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return texts.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word")).where("false")
-    starts = written(hits, "hits").join(places, ["k", "shingle"]).select("doc_id", "m", "k", (F.col("at") - F.col("item_at")).alias("start")).where("start > -m").distinct()
-    starts = written(starts.groupBy("doc_id").agg(F.collect_list(F.struct("m", "k", "start")).alias("starts")).withColumnRenamed("doc_id", "of"), "starts")
+    shared = written(hits, "hits").join(places.select("item_id", "m", "k", "shingle").distinct(), ["k", "shingle"])
+    shared = shared.groupBy("doc_id", "n", "item_id", "m", "k").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    size = F.least(F.col("m"), F.col("n"))
+    held = (size - F.col("k") + 1).alias("held")  # shingles of a window
+    # in common >= least * (item's + window's - in common)
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least / (1 + least)) * (F.col("m") - F.col("k") + 1 + size - F.col("k") + 1) - 1e-9).cast("int")).alias("need")
+    shared = shared.select("doc_id", "n", "m", "k", "ats", held, need, (F.col("n") - size).alias("last")).where("size(ats) >= need and m <= n")
+    full = F.filter(F.sequence(F.lit(0), F.size("ats") - F.col("need")), lambda i: F.get(F.col("ats"), i + F.col("need") - 1) < F.get(F.col("ats"), i) + F.col("held"))
+    begin = F.concat(F.transform(full, lambda i: F.least(F.get(F.col("ats"), i), F.col("last"))), F.array("last"))
+    starts = shared.select("doc_id", "n", "m", "k", F.explode(F.array_distinct(begin)).alias("start")).distinct()
+    starts = written(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n", "m", "k", "start")).alias("starts")).withColumnRenamed("doc_id", "of"), "starts")
 
     own = texts.join(starts, F.col("doc_id") == F.col("of")).select("doc_id", word_hashes(F.col("text")).alias("w"), F.explode("starts").alias("s")).select("doc_id", "w", "s.*")
-    own = own.where("m <= size(w)").withColumn("start", F.greatest(F.lit(0), F.least(F.col("start"), F.size("w") - F.col("m"))))
-    window = F.slice("w", F.col("start") + 1, F.col("m"))
+    own = own.where("n = size(w)")
+    window = F.slice("w", F.col("start") + 1, F.least(F.col("m"), F.col("n")))
     shaped = F.lit(None).cast("array<long>")
     for k in sizes:
         shaped = F.when(F.col("k") == k, shingle_hashes(F.col("window"), k)).otherwise(shaped)
