@@ -1,6 +1,6 @@
 """Benchmark passages in documents, by SimHash windows of the items' own sizes; DataFrame functions only.
 
-For an item of m words every window of m words of a document is of its size.
+For an item of m words every window of m words of a document is of its size; a document of fewer words is one window.
 A similarity counts shingles in any order, and moving a window on to its first shingle that the item has loses none of
 those; so the best window starts at a shared shingle, or is the document's last one. Windows start there if they hold
 enough shared shingles for the wanted similarity, so none is lost. A window's SimHash is
@@ -58,6 +58,8 @@ def _block(fingerprint: Column, block: Column) -> Column:
 
 def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity, first_word: each pair with a window of similarity ``least`` or more, at its best.
+
+    A document of fewer words than an item is its one window of that item.
     An item of fewer than five words is one shingle. Null or empty texts and null ids have no leaks; items with equal
     texts are found each. Rows with one doc_id are windowed by themselves and reported under that id. Columns besides
     the ids and texts are not read. Tables that grow with the benchmark or with the leaks are written first, so that
@@ -88,7 +90,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
     held = (size - F.col("k") + 1).alias("held")  # shingles of a window
     # in common >= least * (item's + window's - in common)
     need = F.greatest(F.lit(1), F.ceil(F.lit(least / (1 + least)) * (F.col("m") - F.col("k") + 1 + size - F.col("k") + 1) - 1e-9).cast("int")).alias("need")
-    shared = shared.select("doc_id", "n", "m", "k", "ats", held, need, (F.col("n") - size).alias("last")).where("size(ats) >= need and m <= n")
+    shared = shared.select("doc_id", "n", "m", "k", "ats", held, need, (F.col("n") - size).alias("last")).where("size(ats) >= need")
     full = F.filter(F.sequence(F.lit(0), F.size("ats") - F.col("need")), lambda i: F.get(F.col("ats"), i + F.col("need") - 1) < F.get(F.col("ats"), i) + F.col("held"))
     begin = F.concat(F.transform(full, lambda i: F.least(F.get(F.col("ats"), i), F.col("last"))), F.array("last"))
     starts = shared.select("doc_id", "n", "m", "k", F.explode(F.array_distinct(begin)).alias("start")).distinct()

@@ -32,3 +32,9 @@ def test_swapped_halves(spark):
     item, long = words(57, 1), words(150, 2)
     rows = [(0, words(30, 3) + item[29:] + item[:29] + words(30, 4)), (1, item[29:] + item[:29]), (2, words(40, 5) + long[90:] + long[40:90] + long[:40] + words(3, 6)), (3, words(300, 7)), (4, words(20, 8) + item[29:] + words(9, 9) + item[:29] + words(20, 10))]
     assert compare(spark, rows, [(0, item), (1, long)]) == {(0, 0), (1, 0), (2, 1)}
+
+
+def test_documents_shorter_than_the_item(spark):
+    item = words(40, 1)
+    rows = [(0, item[:37]), (1, item[2:]), (2, item[:30]), (3, item[:4]), (4, ["x"]), (5, item[20:] + item[:18])]
+    assert compare(spark, rows, [(0, item), (1, words(6, 2))]) == {(0, 0), (1, 0)}
