@@ -4,10 +4,11 @@ Equal sets are one class. First, star edges: documents that share a min-hash ban
 compared with it, which joins most copies in one linear step. Then every remaining link between different groups is
 searched for exactly:
 
-- Routing. The hash range is cut into m parts, more than two linked sets of that size can differ in (plus SPARE), so
-  linked sets have at least SPARE + 1 equal parts, one of them not empty unless both have more than SPARE empty parts.
-  Each non-empty part, or any part of a set with that many empty ones, is a key. Keys whose documents all lie in one
-  group already need no further look.
+- Routing. In one order of all shingles, two linked sets have a shingle in common among the first
+  ``size - ceil(t * size) + 1`` of each; these are a set's keys. The order is that of the hashes, but shingles that a
+  large share of the documents have come last, so that a key is shared by few. Which ones are told to be frequent
+  changes the work only, never the result. Keys whose documents all lie in one group need no further look, and of keys
+  with the same documents one is looked at.
 - Trees. The documents of a key, in blocks of bounded size, form a tree by size whose nodes hold the size range and
   the OR of their token bitmaps. Two nodes are walked down together and dropped when their largest possible overlap is
   too small. Pairs of different groups that are left are verified on whole sets.
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from barweave.llm.batches import grouped
 from barweave.llm.components import connected_components
-from barweave.llm.shared import packed, written
+from barweave.llm.shared import dropped, packed, written
 from barweave.llm.words import as_bytes, mix, shingles, slices, tokenize
 
 BANDS, PER_BAND = 6, 2
-STEP = 1.5  # sizes of neighbouring routing intervals
-SPARE = 3  # parts beyond those that may differ
+FREQUENT = 1 / 1000  # share of documents that makes a shingle frequent
+COUNTERS, MOST_FREQUENT = 1 << 18, 1 << 16  # of a task's counter; entries of the order's list, which every task gets
 BLOCK = 512
 FAN = 8
 _SEEDS = mix(np.arange(1, 1 + BANDS * PER_BAND, dtype=np.uint64))
@@ -63,43 +64,41 @@ def bands(sets: list[np.ndarray]) -> list[list[int]]:
     return out
 
 
-def routes(size: int, least: Fraction) -> list[tuple[int, int]]:
-    """(interval, number of parts) for the intervals of sizes that a set of this size belongs to.
+class Counter:
+    """Counts of the shingles that are frequent in a stream of sets, in bounded memory.
 
-    Interval i holds the sizes from STEP**i to STEP**(i + 1) / least; any two sizes that can link share one. Linked
-    sets x <= y differ in at most (1 - t) / (1 + t) * (x + y) tokens.
+    Counts may be too low by a COUNTERS-th part of the stream's shingles at most; rare shingles are forgotten.
     """
-    t = float(least)
-    out = []
-    i = int(np.floor(np.log(size) / np.log(STEP) + 1e-9))
-    while STEP**i * STEP / t >= size and i >= 0:
-        high = STEP ** (i + 1) / t
-        out.append((i, int((1 - t) / (1 + t) * 2 * high + 1e-9) + 1 + SPARE))
-        i -= 1
-    return out
 
+    def __init__(self):
+        self.values, self.counts, self.sets = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), 0
 
-def keys_of(s: np.ndarray, least: Fraction) -> np.ndarray:
-    """The routing keys of a sorted set."""
-    mixed = mix(s)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-    out = []
-    for interval, parts in routes(len(s), least):
-        edges = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
-        cuts = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-        counts = np.diff(cuts)
-        if (counts == 0).sum() <= SPARE:
-            use = np.flatnonzero(counts)
-        else:
-            use = np.arange(parts)
-        digest = sums[cuts[use + 1]] - sums[cuts[use]]
-        out.append(mix(digest + mix(use.astype(np.uint64) + np.uint64(interval * 1_000_003 + 1))))
-    return np.concatenate(out)
+    def add(self, sets: list[np.ndarray]) -> None:
+        self.sets += len(sets)
+        values, counts = np.unique(np.concatenate(sets), return_counts=True)
+        values, where = np.unique(np.concatenate([self.values, values]), return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([self.counts, counts]), minlength=len(values)).astype(np.int64)
+        if len(values) > COUNTERS:
+            counts -= np.partition(counts, len(counts) - COUNTERS)[len(counts) - COUNTERS]
+        self.values, self.counts = values[counts > 0], counts[counts > 0]
+
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.counts >= max(2, FREQUENT * self.sets)
+        return self.values[keep], self.counts[keep]
+
+
+def keys_of(s: np.ndarray, least: Fraction, frequent: np.ndarray) -> np.ndarray:
+    """The routing keys of a sorted set; ``frequent`` is sorted too."""
+    n = len(s) - -(-least.numerator * len(s) // least.denominator) + 1
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        s = np.concatenate([s[~late], s[late]])
+    return s[:n]
 
 
 def width(size: int) -> int:
-    """Bits of a set's bitmap; a power of two."""
-    return 1 << max(6, min(17, (4 * size - 1).bit_length()))
+    """Bits of a set's bitmap; a power of two, from 1.4 to 2.8 bits a shingle, which tells sets apart up to a similarity of about 0.6."""
+    return 1 << max(6, min(20, round(np.log2(2 * size))))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -169,47 +168,67 @@ def _read(documents: DataFrame) -> DataFrame:
 
 
 def _signed(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, a 128-bit digest of the set, and bands."""
+    """doc_id, size, a 128-bit digest of the set, and bands; rows of size -1 have a task's frequent shingles and counts instead."""
 
     def run(batches):
+        names = ["doc_id", "size", "d1", "d2", "bands", "frequent", "counts"]
+        counter = Counter()
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for a, b in slices(texts):
                 sets = sets_of(texts[a:b], n)
+                counter.add(sets)
+                none = pa.nulls(len(sets), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
-                        pa.array([int(mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()), pa.array(bands(sets), pa.list_(pa.int64())),
-                    ], names=["doc_id", "size", "d1", "d2", "bands"],
+                        pa.array([int(mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()), pa.array(bands(sets), pa.list_(pa.int64())), none, none,
+                    ], names=names,
                 )
+        values, counts = counter.frequent()
+        if len(values):
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            row = [None, -1, None, None, None]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(row, kinds, strict=True)), *(pa.array([v.astype(np.int64)], pa.list_(pa.int64())) for v in (values.view(np.int64), counts))], names=names)
 
-    return _read(documents).mapInArrow(run, "doc_id long, size long, d1 long, d2 long, bands array<long>")
+    return _read(documents).mapInArrow(run, "doc_id long, size long, d1 long, d2 long, bands array<long>, frequent array<long>, counts array<long>")
+
+
+def frequent_shingles(signed: DataFrame) -> np.ndarray:
+    """The shingles of FREQUENT of the documents or more, MOST_FREQUENT of them at most, sorted."""
+    told = signed.where("size = -1").select(F.explode(F.arrays_zip("frequent", "counts")).alias("x")).groupBy(F.col("x.frequent").alias("shingle")).agg(F.sum("x.counts").alias("n"))
+    least = FREQUENT * signed.where("size >= 0").count()
+    rows = told.where(F.col("n") >= max(2, least)).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["shingle"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def verify(pairs: DataFrame, documents: DataFrame, n: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) that are linked, by exact comparison of whole sets.
 
-    The texts move compressed: once by id, and once more for the pairs. A text that many pairs share is one side of a
-    plain join, whose large partitions Spark splits.
+    The texts move compressed: once by id, and then the two of a pair to one place. A text that many pairs share is
+    one side of a plain join, whose large partitions Spark splits. Of an id with several texts all are compared.
     """
     num, den = least.numerator, least.denominator
-    texts = packed(documents)
-    one = pairs.join(texts.withColumnRenamed("packed", "x"), F.col("a") == F.col("doc_id")).select("a", "b", "x")
-    two = one.join(texts.withColumnRenamed("packed", "y"), F.col("b") == F.col("doc_id")).select("a", "b", "x", "y")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("of"), "a", "b")
+    sides = wanted.join(packed(documents), F.col("of") == F.col("doc_id")).select("a", "b", (F.col("of") == F.col("b")).cast("int").alias("side"), "packed")
+    sides = sides.withColumn("pair", F.xxhash64("a", "b")).repartition("pair").sortWithinPartitions("pair", "a", "b")
 
     def run(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         share = Fraction(num, den)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = sets_of([unpack(x) for i in (2, 3) for x in part.column(i).to_pylist()], n)
-                half = part.num_rows
-                yield part.select([0, 1]).filter(pa.array([linked(p, q, share) for p, q in zip(sets[:half], sets[half:], strict=True)], pa.bool_()))
+        for group in grouped(batches, key=4):
+            a, b, side = (group.column(i).to_pylist() for i in range(3))
+            sets = sets_of([unpack(x) for x in group.column(3).to_pylist()], n)
+            met: dict[tuple[int, int], tuple[list, list]] = {}
+            for i, s in enumerate(sets):
+                met.setdefault((a[i], b[i]), ([], []))[side[i]].append(s)
+            found = [pair for pair, (left, right) in met.items() if any(linked(p, q, share) for p in left for q in right)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return two.mapInArrow(run, "a long, b long")
+    return sides.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -224,25 +243,27 @@ def near_duplicates(documents: DataFrame, n: int = 4, percent: int = 85) -> Data
     signed = written(_signed(documents, n), "signed")
     classes = signed.where("size > 0 and doc_id is not null").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
     classes = written(classes, "classes")
-    edges = search(classes.select(F.col("rep").alias("doc_id"), "size", "bands"), documents, n, least)
-    parts = connected_components(edges, "a", "b").withColumnRenamed("id", "rep")
+    edges = search(classes.select(F.col("rep").alias("doc_id"), "size", "bands"), documents, n, least, frequent_shingles(signed))
+    parts = written(connected_components(edges, "a", "b").withColumnRenamed("id", "rep"), "parts")
+    dropped(edges)
     named = classes.select("size", "d1", "d2", "rep").join(parts, "rep", "left").select("size", "d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
     # documents of one class with one id more than once stay as rows
-    out = signed.select("doc_id", "size", "d1", "d2").join(named, ["size", "d1", "d2"], "left")
+    out = signed.where("size >= 0").select("doc_id", "size", "d1", "d2").join(named, ["size", "d1", "d2"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction) -> DataFrame:
+def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction, frequent: np.ndarray) -> DataFrame:
     """Edges (a, b) that join all linked sets; ``reps`` (doc_id, size, bands) has each distinct set once."""
     num, den = least.numerator, least.denominator
     spread = reps.select("doc_id", F.explode("bands").alias("band"))
     centres = spread.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
     centres = written(centres, "centres")  # a table: then Spark can split a large band's side of the join
-    stars = spread.join(centres, "band").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    edges = written(verify(written(stars, "stars"), documents, n, least), "verified")
+    stars = written(spread.join(centres, "band").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
+    edges = written(verify(stars, documents, n, least), "verified")
     parts = written(connected_components(edges, "a", "b"), "groups")
-    labelled = reps.select("doc_id", "size").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "size", F.coalesce("component_id", "doc_id").alias("group"))
+    labelled = reps.select("doc_id", "size").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("group"))
     labelled = written(labelled, "labelled")
+    dropped(centres, stars, parts)
 
     def run(batches):
         import zstandard
@@ -252,21 +273,29 @@ def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction) -> Da
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = sets_of([unpack(x) for x in part.column(2).to_pylist()], n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([keys_of(s, share).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "group", "size", "keys", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([keys_of(s, share, frequent).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "group", "size", "keys", "bits"])
 
     text = labelled.select(F.col("doc_id").alias("rep"), "group").join(packed(documents), F.col("rep") == F.col("doc_id")).select("doc_id", "group", "packed")
     routed = written(text.mapInArrow(run, "doc_id long, `group` long, size long, keys array<long>, bits binary"), "routed")
-    mixed = routed.select("group", F.explode("keys").alias("key")).groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("n")).where("g0 <> g1")
-    open_keys = written(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
-    hits = routed.select("doc_id", F.explode("keys").alias("key")).join(open_keys, "key")
+    mixed = routed.select("group", F.explode("keys").alias("key")).groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1")
+    shared = written(mixed.select("key"), "shared")
+    met = written(routed.select("doc_id", F.explode("keys").alias("key")).join(shared, "key"), "met")
+    members = met.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bit_xor(F.xxhash64("doc_id")).alias("all"))
+    open_keys = members.groupBy("n", "first", "last", "all").agg(F.min("key").alias("key"))
+    open_keys = written(open_keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
     part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    hits = written(hits.select("doc_id", "key", "blocks", part.alias("part")), "hits")
+    hits = written(met.join(open_keys, "key").select("doc_id", "key", "blocks", part.alias("part")), "hits")
+    dropped(labelled, shared, met, open_keys)
     dealt = hits.join(routed.select("doc_id", "group", "size", "bits"), "doc_id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     dealt = dealt.select(F.xxhash64("key", low, high).alias("block"), "doc_id", "group", "size", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"), "bits")
     pairs = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: tree_pairs(b, Fraction(num, den)), "a long, b long").distinct()
-    more = written(verify(written(pairs, "pairs"), documents, n, least), "verified")
-    return edges.unionByName(more)
+    pairs = written(pairs, "pairs")
+    dropped(routed, hits)
+    more = written(verify(pairs, documents, n, least), "verified")
+    every = written(edges.unionByName(more), "links")
+    dropped(edges, pairs, more)
+    return every
 
 
 def tree_pairs(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[pa.RecordBatch]:
@@ -277,13 +306,19 @@ def tree_pairs(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[p
         ids, groups, sizes, side = (group.column(i).to_numpy() for i in (1, 2, 3, 4))
         if (groups == groups[0]).all():
             continue
-        raw = group.column(5).to_pylist()
-        bits = min(map(len, raw)) * 8
-        maps = np.stack([_fold(x, bits) for x in raw])
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side[0] != 2 else (np.arange(len(ids)),) * 2
-        if not len(left) or not len(right):
-            continue
-        found = candidate_pairs(left, left if side[0] == 2 else right, sizes.astype(np.int64), maps, groups, least)
+        raw, sizes = group.column(5).to_pylist(), sizes.astype(np.int64)
+        widths = np.array([len(x) * 8 for x in raw])
+        found = []
+        for bits in np.unique(widths):  # bitmaps of neighbouring widths are compared at the smaller
+            near = np.flatnonzero((widths >= bits) & (widths * least.numerator <= 2 * bits * least.denominator))
+            maps = np.stack([_fold(raw[i], int(bits)) for i in near])
+            small, own = widths[near] == bits, side[near]
+            for left, right in ((small, small), (small, ~small)):
+                for x, y in ((2, 2),) if own[0] == 2 else ((0, 1),) if left is right else ((0, 1), (1, 0)):
+                    p, q = np.flatnonzero(left & (own == x)), np.flatnonzero(right & (own == y))
+                    if len(p) and len(q):
+                        q = p if left is right and x == y else q
+                        found += [(near[i], near[j]) for i, j in candidate_pairs(p, q, sizes[near], maps, groups[near], least)]
         if found:
             i, j = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
             if len(i):

@@ -102,10 +102,14 @@ def test_jaccard_join_without_the_first_step(spark, monkeypatch):
     want = reach(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
     made = [(i, s, h) for i, s, h in ((i, ngram_trees.sets_of([(t or "").encode()], 4)[0], None) for i, t in rows)]
     least = Fraction(85, 100)
+    counter = ngram_trees.Counter()
+    counter.add([s for _, s, _ in made])
+    frequent = np.sort(counter.frequent()[0])
+    assert 0 < len(frequent)
     keyed = defaultdict(list)
     for i, s, _ in made:
         if len(s):
-            for k in ngram_trees.keys_of(s, least).tolist():
+            for k in ngram_trees.keys_of(s, least, frequent).tolist():
                 keyed[k].append(i)
     hashed = {i: s for i, s, _ in made}
     links = set()
@@ -121,6 +125,25 @@ def test_jaccard_join_without_the_first_step(spark, monkeypatch):
     assert reach(ids, links) == want
 
 
+def test_keys_of_sets_that_have_nothing_in_common():
+    """Long disjoint sets meet in no key, and frequent shingles come last; borderline pairs share one at any size."""
+    rng = np.random.default_rng(5)
+    none = np.empty(0, dtype=np.uint64)
+    for percent in (80, 85):
+        least = Fraction(percent, 100)
+        for size in (1, 2, 7, 30, 200, 1500):
+            sets = [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(100)]
+            keys = np.concatenate([ngram_trees.keys_of(s, least, none) for s in sets])
+            assert len(np.unique(keys)) == len(keys)
+            for s in sets:  # as different as a linked set may be
+                out = int((100 - percent) / (100 + percent) * size)
+                other = np.unique(np.concatenate([rng.permutation(s)[: len(s) - out], rng.integers(0, 1 << 63, out, dtype=np.uint64)]))
+                late = np.sort(rng.permutation(np.concatenate([s, other]))[: size // 2])
+                if ngram_trees.linked(s, other, least):
+                    for frequent in (none, late):
+                        assert np.intersect1d(ngram_trees.keys_of(s, least, frequent), ngram_trees.keys_of(other, least, frequent)).size
+
+
 def test_join_of_nothing(spark):
     assert ngram_trees.near_duplicates(docs(spark, [(1, "a b")]).where("false")).count() == 0
     out = ngram_trees.near_duplicates(docs(spark, [(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e")])).collect()
