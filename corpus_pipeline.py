@@ -23,18 +23,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are told apart by the hash of id and text, and each goes or stays by its own group. Rows with a null id stay.
     """
     doc = F.col("doc_id").cast("long")
-    keyed = docs.withColumn("row_key", F.when(doc.isNotNull(), F.xxhash64(doc, F.col("text"))))
-    found = ngram_trees.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), n=5, percent=80)
-    found = written(found.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("row_key"), "component_id").count(), "found")
-    ids = keyed.where("row_key is not null").select("row_key", doc.alias("doc")).distinct()
+    texts = docs.where(doc.isNotNull()).groupBy(doc.alias("__clash")).agg(F.min(F.xxhash64("text")).alias("t0"), F.max(F.xxhash64("text")).alias("t1"))
+    clashes = written(texts.where("t0 <> t1").select("__clash"), "clashes")
+    keyed = docs.join(clashes, doc == F.col("__clash"), "left")
+    keyed = keyed.select(*[docs[c] for c in docs.columns], F.when(F.col("__clash").isNull(), doc).otherwise(F.xxhash64(doc, docs["text"])).alias("__row_key"))
+    found = ngram_trees.near_duplicates(keyed.select(F.col("__row_key").alias("doc_id"), "text"), n=5, percent=80)
+    found = written(found.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__row_key"), "component_id").count(), "found")
     large = found.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = written(found.join(large, "component_id").join(ids, "row_key").select("component_id", "row_key", "doc"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc", "row_key")).alias("first"))
-    gone = members.join(first, "component_id").where("row_key <> first.row_key").select("row_key")
-    repeated = found.where("count > 1").select("row_key")
-    gone, repeated = written(gone, "gone"), written(repeated.join(gone, "row_key", "left_anti"), "repeated")
-    once = keyed.join(gone.unionByName(repeated), "row_key", "left_anti")
-    return once.unionByName(keyed.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])).select(*docs.columns)
+    ids = keyed.join(clashes, doc == F.col("__clash")).select("__row_key", doc.alias("doc")).distinct()
+    members = found.join(large, "component_id").join(ids, "__row_key", "left").select("component_id", "__row_key", F.coalesce("doc", "__row_key").alias("doc"))
+    members = written(members, "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc", "__row_key")).alias("first"))
+    gone = members.join(first, "component_id").where("__row_key <> first.__row_key").select("__row_key")
+    gone = written(gone, "gone")
+    repeated = written(found.where("count > 1").select("__row_key").join(gone, "__row_key", "left_anti"), "repeated")
+    once = keyed.join(gone.unionByName(repeated), "__row_key", "left_anti")
+    return once.unionByName(keyed.join(repeated, "__row_key", "left_semi").dropDuplicates(["__row_key"])).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
