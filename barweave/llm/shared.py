@@ -47,8 +47,8 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def packed(documents: DataFrame) -> DataFrame:
-    """doc_id and the text's bytes compressed, for shuffles; null texts are empty."""
+def packed(documents: DataFrame, with_hash: bool = False) -> DataFrame:
+    """doc_id and the text's bytes compressed, for shuffles, and xxhash64 of the text if wanted; null texts are empty."""
 
     def run(batches):
         import zstandard
@@ -57,6 +57,9 @@ def packed(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(x or b"") for x in part.column(1).cast("binary").to_pylist()], pa.binary())], names=["doc_id", "packed"])
+                names = ["doc_id", "packed", *["text_hash"] * with_hash]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(x or b"") for x in part.column(1).cast("binary").to_pylist()], pa.binary()), *part.columns[2:]], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, packed binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.xxhash64(text).alias("text_hash")] * with_hash]
+    return documents.select(*columns).mapInArrow(run, "doc_id long, packed binary" + ", text_hash long" * with_hash)

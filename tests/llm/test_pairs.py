@@ -191,31 +191,39 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert all(r["n_links"] <= 149 and r["component_id"] == 0 for r in out) and sum(r["n_links"] for r in out) >= 0.98 * 150 * 149
 
 
-def plain_chains(pieces):
-    """The same chains by looking at every earlier anchor."""
-    score, back = [], []
+def best_chain(pieces):
+    """The best score of any chain whose gaps are short enough, by looking at every earlier anchor of each."""
+    score = []
     for j, (a, b, n) in enumerate(pieces):
-        best, at = -1e18, -1
-        for i in range(j):
-            x, y, m = pieces[i]
-            if x + m <= a and y + m <= b and score[i] + substring_chain.GAP_COST * (x + y + 2 * m) > best:
-                best, at = score[i] + substring_chain.GAP_COST * (x + y + 2 * m), i
-        joined = best - substring_chain.GAP_COST * (a + b) + n
-        fits = at >= 0 and joined > n and max(a - pieces[at][0] - pieces[at][2], b - pieces[at][1] - pieces[at][2]) <= substring_chain.MOST_GAP
-        score.append(joined if fits else n)
-        back.append(at if fits else -1)
-    return score
+        gaps = [(i, a - x - m, b - y - m) for i, (x, y, m) in enumerate(pieces[:j]) if x + m <= a and y + m <= b and max(a - x - m, b - y - m) <= substring_chain.MOST_GAP]
+        score.append(n + max([0, *(score[i] - substring_chain.GAP_COST * (g + h) for i, g, h in gaps)]))
+    return max(score)
 
 
 def test_fenwick_chaining():
     rng = random.Random(0)
-    for _ in range(100):
-        pieces = sorted({(rng.randrange(300), rng.randrange(300), rng.randrange(5, 15)) for _ in range(rng.randrange(1, 25))})
-        used = [i for c in substring_chain.chains(pieces) for i in c]
-        assert sorted(used) == list(range(len(pieces)))
-        best = substring_chain.chains(pieces)[0]
-        total = sum(pieces[i][2] for i in best) - sum(substring_chain.GAP_COST * ((pieces[j][0] - pieces[i][0] - pieces[i][2]) + (pieces[j][1] - pieces[i][1] - pieces[i][2])) for i, j in zip(best, best[1:], strict=False))
-        assert total == pytest.approx(max(plain_chains(pieces)))
+    for _ in range(300):
+        wide = rng.choice([60, 300])
+        pieces = sorted({(rng.randrange(wide), rng.randrange(wide), rng.randrange(5, 15)) for _ in range(rng.randrange(1, 25))})
+        found = substring_chain.chains(pieces)
+        assert sorted(i for _, c in found for i in c) == list(range(len(pieces)))
+        for score, chain in found:
+            gaps = [(pieces[j][0] - pieces[i][0] - pieces[i][2], pieces[j][1] - pieces[i][1] - pieces[i][2]) for i, j in zip(chain, chain[1:], strict=False)]
+            assert all(0 <= g <= substring_chain.MOST_GAP for x in gaps for g in x)
+            assert score == pytest.approx(sum(pieces[i][2] for i in chain) - substring_chain.GAP_COST * sum(g + h for g, h in gaps)) or chain is not found[0][1]
+        assert found[0][0] == pytest.approx(best_chain(pieces))
+    assert [c for _, c in substring_chain.chains([(0, 0, 1000), (1200, 1200, 20), (1225, 1226, 20)])] == [[0], [1, 2]]
+
+
+def test_winnowing_by_windows():
+    rng = np.random.default_rng(2)
+    values, text = rng.integers(0, 40, 400).astype(np.uint64), np.sort(rng.integers(0, 30, 400))
+    got = set(substring_chain.winnow(values, text).tolist())
+    for t in set(text.tolist()):
+        own = np.flatnonzero(text == t)
+        for k in range(max(1, len(own) - substring_chain.LONG_WINDOW + 1)):
+            window = own[k : k + substring_chain.LONG_WINDOW]
+            assert any(values[i] == values[window].min() for i in got & set(own.tolist()) if values[i] <= values[window].min() and window[0] <= i <= own[-1])
 
 
 def test_passages(spark):
