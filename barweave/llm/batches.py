@@ -25,3 +25,10 @@ def grouped(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Reco
             last = values[a]
     if held:
         yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def pieces_of(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at most, for work that copies a batch's texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barweave.llm.batches import grouped
+from barweave.llm.batches import grouped, pieces_of
 from barweave.llm.components import connected_components
 from barweave.llm.shared import dropped, packed, written
 from barweave.llm.words import as_bytes, mix, shingles, slices, tokenize
@@ -173,7 +173,7 @@ def _signed(documents: DataFrame, n: int) -> DataFrame:
     def run(batches):
         names = ["doc_id", "size", "d1", "d2", "bands", "frequent", "counts"]
         counter = Counter()
-        for batch in batches:
+        for batch in pieces_of(batches):
             texts = as_bytes(batch.column(1))
             for a, b in slices(texts):
                 sets = sets_of(texts[a:b], n)
