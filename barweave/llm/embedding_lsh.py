@@ -70,6 +70,13 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
+def _units(column: pa.Array) -> np.ndarray:
+    """The vectors with length 1, in double precision."""
+    x = _vectors(column)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _meet(base_a, probes_a, base_b, probes_b) -> np.ndarray:
     """Which of these pairs meet in a table: one's own bucket is a bucket of the other."""
     out = base_a == base_b
@@ -106,8 +113,7 @@ def compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             continue
         ids, copies = group.column(1).to_numpy(), group.column(2).to_numpy()
         table, side = int(group.column(3)[0].as_py()), group.column(5).to_numpy()
-        x = _vectors(group.column(6))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _units(group.column(6))
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side[0] != 2 else (np.arange(len(x)),) * 2
         found = []
         for at in range(0, len(left), 512):
@@ -158,27 +164,21 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
 
     def hashed(batches):
         for batch in batches:
-            sizes = np.array([len(x) for x in batch.column(2)])
+            sizes = np.array([len(x) for x in batch.column(1)])
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
-                x = _vectors(part.column(2))
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                x = x / scale
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                base, probes = codes(x)
-                every = np.concatenate([base[:, :, None], probes], axis=2)
-                bucket = mix(every + np.uint64(d)).view(np.int64)
+                base, probes = codes(_units(part.column(1)))
+                bucket = mix(np.concatenate([base[:, :, None], probes], axis=2) + np.uint64(d)).view(np.int64)
                 n, t, p = bucket.shape
-                row = np.repeat(np.arange(n), t * p)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(np.tile(np.arange(p) == 0, n * t)), pa.FixedSizeListArray.from_arrays(pa.array(x[row].ravel()), int(d)).cast(pa.list_(pa.float64()))], names=["bucket", "id", "copies", "table", "own", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(n), t * p))), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(np.tile(np.arange(p) == 0, n * t))], names=["bucket", "id", "table", "own"])
 
-    spread = classes.select("rep", "copies", "vector").mapInArrow(hashed, "bucket long, id long, copies long, `table` int, own boolean, vector array<double>")
-    # buckets where two can meet, and into how many parts they go
+    spread = written(classes.select("rep", "vector").mapInArrow(hashed, "bucket long, id long, `table` int, own boolean"), "spread")
+    # buckets where two can meet, and into how many parts they go; ids find them first, and only then vectors travel
     counted = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     live = written(counted, "buckets")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = spread.join(live, "bucket").select("*", part.alias("part")).select("*", other.alias("other"))
+    dealt = spread.join(live, "bucket").join(classes.select(F.col("rep").alias("id"), "copies", "vector"), "id").select("*", part.alias("part")).select("*", other.alias("other"))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     dealt = dealt.select(
         F.xxhash64("bucket", low, high).alias("block"), "id", "copies", "table", "own",

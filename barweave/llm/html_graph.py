@@ -14,19 +14,21 @@ import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# a quote delimits an attribute's value only right after the equals sign
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?>\"[^\"]*\"|'[^']*')?+)*+)>", re.S)
+_NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _LABEL = re.compile(r"data-main=\"([01])\"")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style title head template noscript iframe object svg canvas audio video textarea select option button datalist math map".split())
+DROPPED = frozenset("script style title head template noscript iframe object svg canvas audio video textarea select option button datalist map".split())
 RAW = frozenset("script style title textarea noscript iframe template svg".split())
 BLOCK = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption article section main nav aside header footer form fieldset legend label "
@@ -68,6 +70,11 @@ class Page:
     block: list[int] = field(default_factory=list)  # number of the block that a text run is part of
 
 
+@lru_cache(maxsize=256)
+def _tags(tag: str, only_end: bool = False) -> re.Pattern:
+    return re.compile(rf"</{tag}" if only_end else rf"<(/?){tag}\b[^>]*>", re.I)
+
+
 def _length(n: int) -> int:
     return min(8, n.bit_length())
 
@@ -77,7 +84,7 @@ def parse(source: str) -> Page:
     page = Page()
     add_parent, add_kind, add_features, add_label, add_text, add_block = page.parent.append, page.kind.append, page.features.append, page.label.append, page.text.append, page.block.append
     stack: list[tuple[str, int, bool]] = []  # name, node, whether it is a block
-    node, label, block, links, skip = -1, 0, 0, 0, ""
+    node, label, block, links = -1, 0, 0, 0
     labels: dict[int, int] = {}
     above: dict[int, frozenset] = {}  # what the ancestors' names hint at
     run: list[str] = []
@@ -140,11 +147,6 @@ def parse(source: str) -> Page:
 
     at = 0
     for m in _TOKEN.finditer(source):
-        if skip:  # inside an element whose content is no markup
-            if m[2] and m[1] and m[2].lower() == skip:
-                skip = ""
-                at = m.end()
-            continue
         if m.start() < at:
             continue
         take(source[at : m.start()])
@@ -154,11 +156,11 @@ def parse(source: str) -> Page:
         tag = m[2].lower()
         if not m[1]:
             if tag in RAW:
-                end = source.lower().find(f"</{tag}", at)
-                if end < 0:
+                end = _tags(tag, only_end=True).search(source, at)
+                if not end:
                     at = len(source)
                     break
-                at = (source.find(">", end) + 1) or len(source)
+                at = (source.find(">", end.start()) + 1) or len(source)
                 if tag not in ("script", "style"):
                     take(" ")
                 continue
@@ -173,10 +175,10 @@ def parse(source: str) -> Page:
                 if m[3].endswith("/"):
                     continue
                 depth, end = 1, at
-                for inner in re.finditer(rf"<(/?){tag}\b[^>]*>", source[at:], re.I):
+                for inner in _tags(tag).finditer(source, at):
                     depth += -1 if inner[1] else 1
                     if not depth:
-                        end = at + inner.end()
+                        end = inner.end()
                         break
                 else:
                     end = len(source)
@@ -228,8 +230,7 @@ def parse(source: str) -> Page:
                     break
                 if stack[depth][2] and tag not in BLOCK:
                     break
-    if not skip:
-        take(source[at:])
+    take(source[at:])
     flush()
     if not any(k == "article" or "main" in f for k, f in zip(page.kind, page.features, strict=True)):
         page.features = [f + (f"bare-{f[0]}",) if len(f) > 1 and f[0] == "text" or f[0] in ("p", "heading", "root") else f for f in page.features]

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barweave.llm.license_texts import EQUIVALENT, KNOWN
+from barweave.llm.license_texts import DIGESTS, EQUIVALENT, KNOWN
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = "^[^a-z0-9]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*$"  # of a lower-case line
@@ -45,7 +45,8 @@ def canonical_column(line: Column) -> Column:
 
 def known_digests() -> list[tuple[str, str]]:
     """(digest, licence) of every known text, each digest once."""
-    return sorted({hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in KNOWN}.items())
+    texts = {hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in KNOWN}
+    return sorted((texts | {digest: name for name, digest in DIGESTS}).items())
 
 
 def scan(documents: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:

@@ -83,3 +83,20 @@ EQUIVALENT = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"),
     ("http", "https"), ("analog", "analogue"), ("favor", "favour"), ("organization", "organisation"), ("per cent", "percent"), ("version", "v"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"),
 ]
+
+# SHA-256 of the canonical form of long licence texts, as published.
+DIGESTS = (
+    ("Apache-2.0", "f2ede3b0d3528521e8bb2a71a7f396de0f7904a2955f96f0b4c930e43582e360"),
+    ("Artistic-1.0-Perl", "50e1dcf64825437a1e656ac3726f08a33cb61c83840fd383b447d83906bfcdd2"),
+    ("CC0-1.0", "92f195ae84ff559b03177551e6c1166f57d3cc30f5a7d806b4039e24906bd8de"),
+    ("GFDL-1.2", "7f28cf648306018d750983c65e966f91a16def56fbf7c9cbcbaa033f860dd93a"),
+    ("GFDL-1.3", "3f0e0621bdd7c3cbabd3d7cacd6b9390550dc21a80013b2174a979046487a6fa"),
+    ("GPL-1.0", "1dddd5b6d8bd1a674b3e4125865d2c3feb2bf4f465c4d2299e527b92b3214061"),
+    ("GPL-2.0", "0289c33e4704b6705416a85424d431b02e56ccee7dc35e8383919b66ca2883a1"),
+    ("GPL-3.0", "cd7569cb385c08028f115647ac880e1a82161ee582381ad5e2ae70b8b825b91c"),
+    ("LGPL-2.0", "aa29c3ef4f7752257dc4d247c3c8d56032f60ad31ed98e3f9b43b5f6baee2a8f"),
+    ("LGPL-2.1", "f509d27b05e789cdc7c0410b4a34b6cfc5b12af45cb1d6d3682a54cfde468f0b"),
+    ("LGPL-3.0", "99c1a85dc9c673acfd6a330c4a68bd319185c3d6b8f4888157bf159e2ee60285"),
+    ("MPL-1.1", "630e622b849b760160b0c6fc6c898baace641e07a9d0014a0a8becca42fb9267"),
+    ("MPL-2.0", "89101d0ed720dcb2c63f54c1154929d49541e3f32850bde5b28b2017d51974b8"),
+)

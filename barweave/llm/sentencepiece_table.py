@@ -2,8 +2,8 @@
 
 In the model's vocabulary no piece holds a white-space marker after another character, and none holds a line feed.
 So no merge crosses the start of a marked word or a line feed, and a text's pieces are those of its chunks in order.
-Each task keeps a table of the chunks it has met, segments each new one once with the library and joins the ids back
-by position.
+Each worker process keeps a table of the distinct chunks that it has met in any of its tasks, segments each new one once
+with the library and joins the ids back by position.
 """
 
 from __future__ import annotations
@@ -22,24 +22,32 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class ChunkTable:
-    """Ids and decoded text of whole texts; at most ``most`` chunks are kept between texts."""
+    """Ids and decoded text of whole texts.
 
-    def __init__(self, model: bytes, most: int = 500_000):
+    Between texts chunks of ``longest`` characters at most are kept, and about ``most_bytes`` in all; then it starts anew.
+    """
+
+    def __init__(self, model: bytes, most_bytes: int = 96 << 20, longest: int = 64):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         if any(MARK in x.lstrip(MARK) or "\n" in x for x in pieces):
             raise ValueError("a piece crosses a white-space marker; its texts can't be cut into chunks")
-        self.most, self.ids, self.odd = most, {}, {}
+        self.most_bytes, self.longest, self.bytes = most_bytes, longest, 0
+        self.ids, self.odd, self.long = {}, {}, []
         self.begin, self.end = (x.to_bytes(4, "little") for x in (self.library.bos_id(), self.library.eos_id()))
 
     def learn(self, chunks: set[str]) -> None:
-        new = [x for x in chunks if x not in self.ids]
-        if len(self.ids) + len(new) > self.most:
+        for chunk in self.long:
+            self.ids.pop(chunk, None)
+            self.odd.pop(chunk, None)
+        self.long = []
+        if self.bytes > self.most_bytes:
             self.ids.clear()
             self.odd.clear()
-            new = list(chunks)
+            self.bytes = 0
+        new = [x for x in chunks if x not in self.ids]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             found = self.library.encode([_BEFORE + x for x in part], num_threads=1)
@@ -48,6 +56,10 @@ class ChunkTable:
                 self.ids[chunk] = b"".join([x.to_bytes(4, "little") for x in ids[2:]])
                 if text[1:] != chunk:
                     self.odd[chunk] = text[1:]
+                if len(chunk) > self.longest:
+                    self.long.append(chunk)
+                else:
+                    self.bytes += 200 + 2 * len(chunk) + 4 * len(ids)  # with what Python adds
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids, with begin and end, as little-endian 32-bit numbers, and their decoded text."""
@@ -62,6 +74,18 @@ class ChunkTable:
             yield self.begin + ids + self.end, back
 
 
+_kept: dict[str, ChunkTable] = {}
+
+
+def worker_table(model: bytes) -> ChunkTable:
+    """The worker process's table for a model; Spark's workers go on from task to task."""
+    key = hashlib.sha256(model).hexdigest()
+    if key not in _kept:
+        _kept.clear()  # one model at a time
+        _kept[key] = ChunkTable(model)
+    return _kept[key]
+
+
 def encode_documents(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each whole text; one row per input row.
 
@@ -72,7 +96,7 @@ def encode_documents(df: DataFrame, model: bytes, id_col: str = "doc_id", text_c
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        table = ChunkTable(shared.value)
+        table = worker_table(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -93,7 +117,7 @@ def encode_ids(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
     def run(batches):
         import numpy as np
 
-        table = ChunkTable(shared.value)
+        table = worker_table(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from barweave.llm.shared import written
+
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
 _NULL = 1 << 64
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_UNSAFE = re.compile(r"[\s\x00-\x1f\x7f-\x9f]")
 _KEEP = 64  # the bits of an id
 
 
@@ -32,8 +37,13 @@ def _page_id(urn: str) -> int | None:
     return None if x == _NULL else x - _NULL if x >> (_KEEP - 1) else x
 
 
-def _line(x: str | None) -> str:
-    return " ".join((x or "").split())
+def _target(url: str | None) -> list[str]:
+    """Header lines of the url; a null one has none. One with white space or control characters is escaped and told so."""
+    if url is None:
+        return []
+    if not _UNSAFE.search(url):
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {quote(url)}", "X-Target-URI-Escaped: 1"]
 
 
 def pack_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_response: bool) -> bytes:
@@ -41,7 +51,7 @@ def pack_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     block = http + payload if is_response else http
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if is_response else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {_line(url)}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"Content-Length: {len(block)}",
+        *_target(url), "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"Content-Length: {len(block)}",
     ]
     if not is_response:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
@@ -70,7 +80,7 @@ def parse_record(data: bytes) -> dict:
     if kind not in ("response", "revisit") or kind == "revisit" and (payload or "WARC-Refers-To" not in fields):
         raise ValueError(f"a record of type {kind} isn't sound")
     return {
-        "page_id": _page_id(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI", ""), "payload": payload, "payload_bytes": lengths[0], "payload_digest": digest, "record_type": kind,
+        "page_id": _page_id(fields["WARC-Record-ID"]), "url": unquote(url) if (url := fields.get("WARC-Target-URI")) and "X-Target-URI-Escaped" in fields else url, "payload": payload, "payload_bytes": lengths[0], "payload_digest": digest, "record_type": kind,
         "refers_to": _page_id(fields["WARC-Refers-To"]) if kind == "revisit" else None,
     }
 
@@ -116,12 +126,15 @@ def write_archives(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
     """Pages (page_id, url, html) to archives (archive, content) of about ``archive_bytes`` of records each.
 
     The payload is the html in UTF-8; null is empty. Of pages with equal payloads those with the largest page_id are
-    responses, the others revisit that id. Repeated rows each get a record. A null page_id ranks below all others. An
+    responses, the others revisit that id. A null url stays null, and every other url comes back as it is. Repeated rows each get a record. A null page_id ranks below all others. An
     empty table gives no archive. Other columns are not read.
     """
     rows = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "coalesce(cast(html as string), '') html").withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    best = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("digest", "of")
-    joined = rows.join(best, F.col("digest") == F.col("of")).select("page_id", "url", "html", "digest", "refers_to")
+    # only payloads that occur twice or more are looked up, in a table of their digests: Spark broadcasts it if it is small,
+    # and otherwise can split a digest that many pages have
+    best = rows.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("of", "best")
+    joined = rows.join(written(best, "repeated"), F.col("digest") == F.col("of"), "left")
+    joined = joined.select("page_id", "url", "html", "digest", F.when(F.col("of").isNull(), F.col("page_id")).otherwise(F.col("best")).alias("refers_to"))
 
     def run(batches):
         import uuid

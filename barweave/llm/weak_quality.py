@@ -159,8 +159,9 @@ def _read(df: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, sample_rows: int = 4000) -> tuple[LabelModel, Scorer]:
     """Vote patterns are counted over all documents; the scorer is fitted to at most ``sample_rows`` of them.
 
-    The sample is spread over the vote patterns: of each, the documents first by hash. Of what comes to the driver the
-    patterns are at most 4**10 and the sample is bounded.
+    The sample is the first documents by hash of id and text, so patterns have about their share in it. Null and empty
+    texts count like others; an empty table gives a scorer that knows nothing. Of what comes to the driver the patterns
+    are at most 4**10 and the sample is bounded.
     """
 
     def run(batches):
@@ -214,7 +215,10 @@ def score(documents: DataFrame, model: LabelModel, scorer: Scorer, least: float
 
 
 def keep_good(documents: DataFrame, model: LabelModel, scorer: Scorer, least: float = 0.5) -> DataFrame:
-    """The documents that the scorer finds good, with all their columns; decided row by row, without a join."""
+    """The documents that the scorer finds good, with all their columns; decided row by row, without a join.
+
+    Null and empty texts are decided by their missing statistics, repeated rows alike, and null ids stay as they are.
+    """
     shared = documents.sparkSession.sparkContext.broadcast((model, scorer))
     place = documents.columns.index("text")
 

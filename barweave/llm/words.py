@@ -6,6 +6,7 @@ in every task and session. Two different words share a hash with a probability o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _powers: dict[str, np.ndarray] = {}
 SLICE_BYTES = 1 << 20
 
@@ -42,8 +44,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def tokenize(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words in order; the words' start and end bytes in their own text; each text's first word.
 
-    The last array has one more entry than there are texts. Keep the texts of one call near ``SLICE_BYTES`` together.
+    The last array has one more entry than there are texts. Keep the texts of one call near ``SLICE_BYTES`` together;
+    a longer text is read in parts that end at white space, so that the work needs some 25 bytes a word beside it.
     """
+    if sum(map(len, texts)) <= 2 * SLICE_BYTES:
+        return _tokenize(texts)
+    found, counts = [], []
+    for text in texts:
+        at, own = 0, 0
+        while at < len(text):
+            end = _SPACE.search(text, at + SLICE_BYTES) if at + SLICE_BYTES < len(text) else None
+            end = end.start() if end else len(text)
+            hashes, starts, ends, _ = _tokenize([text[at:end]])
+            found.append((hashes, starts + at, ends + at))
+            own += len(hashes)
+            at = end
+        counts.append(own)
+    hashes, starts, ends = (np.concatenate([x[k] for x in found]) for k in range(3))
+    return hashes, starts, ends, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def _tokenize(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     buffer = b" " + b" ".join(texts).lower() + b" "
     raw = np.frombuffer(buffer, dtype=np.uint8)

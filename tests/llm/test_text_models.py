@@ -67,6 +67,32 @@ def test_pages_with_nulls_and_odd_markup(spark, model):
     assert html_graph.extract_pages(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+def test_quotes_delimit_values_only(model):
+    for attributes in ("class=it's", 'class=5"', "title='a > b' class=x", 'data-x="1>2"', "a=b=c'", "'", 'x= "p>q"'):
+        page = f"<html><body><article><p {attributes}>The quick brown fox jumps over the dog, and then it sleeps.</p><p>Another sentence of it's text follows here.</p></article></body></html>"
+        assert model.extract(page) == "The quick brown fox jumps over the dog, and then it sleeps.\nAnother sentence of it's text follows here."
+
+
+def test_parsing_is_linear():
+    import time
+
+    took = []
+    for page in ("<p>a</p>" + "<svg><path d='1'/></svg>" * 16_000, "<p " + "a=" * 60_000 + "x", "<select><option>a</select>" * 16_000):
+        began = time.perf_counter()
+        html_graph.parse(page)
+        took.append(time.perf_counter() - began)
+    assert max(took) < 2, took
+
+
+def test_long_texts_are_read_in_parts():
+    from barweave.llm import words
+
+    text = b"".join(b"word%d \n" % (i % 5000) for i in range(500_000))
+    assert len(text) > 3 * words.SLICE_BYTES
+    whole, parts = words._tokenize([b"a b", text, b"", b"c"]), words.tokenize([b"a b", text, b"", b"c"])
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+
+
 def test_tokens_are_the_library_s(spark):
     import sentencepiece
 
@@ -86,9 +112,9 @@ def test_tokens_are_the_library_s(spark):
 
 
 def test_chunk_table_may_start_anew():
-    table = sentencepiece_table.ChunkTable(queries.tokenizer_model(), most=3)
-    texts = ["a b c d e", "f g h", "a z"]
-    assert [x for x, _ in table.encode(texts)] == [x for t in texts for x, _ in sentencepiece_table.ChunkTable(queries.tokenizer_model()).encode([t])]
+    table = sentencepiece_table.ChunkTable(queries.tokenizer_model(), most_bytes=700, longest=2)
+    texts = ["a b c d e", "f g h", "a z longword", "longword a"]
+    assert [x for t in texts for x, _ in table.encode([t])] == [x for t in texts for x, _ in sentencepiece_table.ChunkTable(queries.tokenizer_model()).encode([t])]
 
 
 def test_quality_finds_the_labelled_junk(spark):
@@ -180,6 +206,12 @@ def test_archives_round_trip(spark):
     assert warc_zstd.read_archives(warc_zstd.write_archives(frame.where("false"))).count() == 0
 
 
+def test_urls_come_back(spark):
+    urls = [None, "", "http://x/a b", " lead", "http://x/a%20b", "line\r\nbreak: y", "é\u3000ü", "a%\tb"]
+    frame = spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["url"] for r in warc_zstd.read_archives(warc_zstd.write_archives(frame)).collect()} == dict(enumerate(urls))
+
+
 def test_archive_files(spark, tmp_path):
     frame = spark.createDataFrame([(i, f"u{i}", f"<p>page {i}</p>" * 50) for i in range(300)], "page_id long, url string, html string")
     assert warc_zstd.export_files(warc_zstd.write_archives(frame), str(tmp_path)).count() >= 1
