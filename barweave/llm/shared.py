@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+BATCH_ROWS = 2048
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only if the session names none.
 
@@ -29,11 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation. The reader also knows the table's
-    size, so that Spark broadcasts it in a join only if it is below the session's limit.
+    size, so that Spark broadcasts it in a join only if it is below the session's limit. Rows that go to Python and
+    back hold whole texts, so they go in batches of BATCH_ROWS at most.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table
