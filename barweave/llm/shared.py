@@ -10,6 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 BATCH_ROWS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> str:
+    """From now on rows go to Python in batches of BATCH_ROWS at most, as whole texts should; returns the setting before."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    return before
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,13 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    before = small_batches(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(batch, before)
+        spark.conf.set(_BATCH, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table

@@ -17,7 +17,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _powers: dict[str, np.ndarray] = {}
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
