@@ -7,11 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barweave.llm import decontaminate, ngram_trees, queries, sentencepiece_table, substring_chain, weak_quality
-from barweave.llm.shared import shared_dir, written
+from barweave.llm.shared import shared_dir, small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label quality scorer rejects go."""
+    """Documents that the weak-label quality scorer rejects go.
+
+    Null and empty texts are judged by their missing statistics; equal texts are judged alike, so repeated rows stay or
+    go together; null ids stay null.
+    """
+    small_batches(spark)
     return weak_quality.keep_good(docs, *weak_quality.fit(docs))
 
 
@@ -22,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     words are no copies of each other. Of rows with one doc_id in one group one stays; different texts under one doc_id
     are told apart by the hash of id and text, and each goes or stays by its own group. Rows with a null id stay.
     """
+    small_batches(spark)
     doc = F.col("doc_id").cast("long")
     texts = docs.where(doc.isNotNull()).groupBy(doc.alias("__clash")).agg(F.min(F.xxhash64("text")).alias("t0"), F.max(F.xxhash64("text")).alias("t1"))
     clashes = written(texts.where("t0 <> t1").select("__clash"), "clashes")
@@ -42,17 +48,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has too are cut out; documents of which nothing is left go."""
+    """Passages that an earlier document has too are cut out; documents of which nothing is left go.
+
+    Null texts stay; empty ones and those of white space only go. A document keeps the first of its own repeats. Rows of
+    one doc_id count as one document, and null ids are left as they are.
+    """
+    small_batches(spark)
     return substring_chain.cut_out(docs).where(F.col("text").isNull() | (F.length(F.btrim("text")) > 0))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go; null and empty texts and null ids have none and stay.
+
+    Of rows with one doc_id all go if one of them has a passage. An empty benchmark keeps everything.
+    """
     return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's SentencePiece ids, counted and digested."""
+    """Every document's SentencePiece ids, counted and digested: a row for each row, with two ids for null and empty texts."""
+    small_batches(spark)
     return sentencepiece_table.encode_documents(docs, queries.tokenizer_model())
 
 
@@ -69,5 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can express neither the trained scorer nor SentencePiece; the tests compare with brute-force versions.
+#: SQL can express neither the trained scorer nor SentencePiece; the tests compare its stages with plain versions on small tables.
 ORACLE_SQL = None
