@@ -11,7 +11,8 @@ searched for exactly:
   with the same documents one is looked at.
 - Trees. The documents of a key, in blocks of bounded size, form a tree by size whose nodes hold the size range and
   the OR of their token bitmaps. Two nodes are walked down together and dropped when their largest possible overlap is
-  too small. Pairs of different groups that are left are verified on whole sets.
+  too small. Pairs of different groups that are left are verified on whole sets: the best pair of two groups in each
+  block first, and then, for groups that these did not join, every one.
 """
 
 from __future__ import annotations
@@ -97,8 +98,12 @@ def keys_of(s: np.ndarray, least: Fraction, frequent: np.ndarray) -> np.ndarray:
 
 
 def width(size: int) -> int:
-    """Bits of a set's bitmap; a power of two, from 1.4 to 2.8 bits a shingle, which tells sets apart up to a similarity of about 0.6."""
-    return 1 << max(6, min(20, round(np.log2(2 * size))))
+    """Bits of a set's bitmap, a power of two that doesn't fall with the size.
+
+    It is near 8 a shingle for small sets, which tells them apart up to a similarity of about 0.77, and near 2 for large
+    ones, which does so up to about 0.65 and keeps what travels with each key short.
+    """
+    return 1 << max(6, min(20, round(np.log2(max(min(8 * size, 2048), 2 * size)))))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -286,20 +291,33 @@ def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction, frequ
     part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     hits = written(met.join(open_keys, "key").select("doc_id", "key", "blocks", part.alias("part")), "hits")
     dropped(labelled, shared, met, open_keys)
-    dealt = hits.join(routed.select("doc_id", "group", "size", "bits"), "doc_id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    dealt = dealt.select(F.xxhash64("key", low, high).alias("block"), "doc_id", "group", "size", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"), "bits")
-    pairs = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: tree_pairs(b, Fraction(num, den)), "a long, b long").distinct()
-    pairs = written(pairs, "pairs")
-    dropped(routed, hits)
-    more = written(verify(pairs, documents, n, least), "verified")
-    every = written(edges.unionByName(more), "links")
-    dropped(edges, pairs, more)
+
+    def rounds(groups: DataFrame, one_each: bool) -> DataFrame:
+        """Verified pairs between the groups (doc_id, group); with ``one_each`` the best pair of two groups in a block."""
+        dealt = hits.join(groups, "doc_id").join(routed.select("doc_id", "size", "bits"), "doc_id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        low, high = F.least("part", "other"), F.greatest("part", "other")
+        dealt = dealt.select(F.xxhash64("key", low, high).alias("block"), "doc_id", "group", "size", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"), "bits")
+        pairs = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: tree_pairs(b, Fraction(num, den), one_each), "a long, b long").distinct()
+        pairs = written(pairs, "pairs")
+        found = written(verify(pairs, documents, n, least), "verified")
+        dropped(pairs)
+        return found
+
+    # Two groups that many links join need one of them: the best pair of each block first, then whatever may join the rest
+    first = rounds(routed.select("doc_id", "group"), True)
+    ends = first.join(routed.select(F.col("doc_id").alias("a"), F.col("group").alias("x")), "a").join(routed.select(F.col("doc_id").alias("b"), F.col("group").alias("y")), "b").select("x", "y")
+    merged = written(connected_components(ends, "x", "y").select(F.col("id").alias("group"), "component_id"), "merged")
+    second = rounds(routed.select("doc_id", "group").join(merged, "group", "left").select("doc_id", F.coalesce("component_id", "group").alias("group")), False)
+    every = written(edges.unionByName(first).unionByName(second), "links")
+    dropped(routed, hits, edges, first, merged, second)
     return every
 
 
-def tree_pairs(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[pa.RecordBatch]:
-    """Blocks (block, doc_id, group, size, side, bits) to the pairs of documents that their trees leave."""
+def tree_pairs(batches: Iterator[pa.RecordBatch], least: Fraction, one_each: bool = False) -> Iterator[pa.RecordBatch]:
+    """Blocks (block, doc_id, group, size, side, bits) to the pairs of documents that their trees leave.
+
+    With ``one_each`` that is for two groups the one pair whose bitmaps differ least for its size.
+    """
     for group in grouped(batches):
         if group.num_rows < 2:
             continue
@@ -308,7 +326,7 @@ def tree_pairs(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[p
             continue
         raw, sizes = group.column(5).to_pylist(), sizes.astype(np.int64)
         widths = np.array([len(x) * 8 for x in raw])
-        found = []
+        found, near_by = [], []
         for bits in np.unique(widths):  # bitmaps of neighbouring widths are compared at the smaller
             near = np.flatnonzero((widths >= bits) & (widths * least.numerator <= 2 * bits * least.denominator))
             maps = np.stack([_fold(raw[i], int(bits)) for i in near])
@@ -318,8 +336,17 @@ def tree_pairs(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[p
                     p, q = np.flatnonzero(left & (own == x)), np.flatnonzero(right & (own == y))
                     if len(p) and len(q):
                         q = p if left is right and x == y else q
-                        found += [(near[i], near[j]) for i, j in candidate_pairs(p, q, sizes[near], maps, groups[near], least)]
+                        for i, j in candidate_pairs(p, q, sizes[near], maps, groups[near], least):
+                            found.append((near[i], near[j]))
+                            if one_each:
+                                near_by.append(np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1) / (sizes[near[i]] + sizes[near[j]]))
         if found:
             i, j = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+            if one_each and len(i):
+                x, y = np.minimum(groups[i], groups[j]), np.maximum(groups[i], groups[j])
+                order = np.lexsort((np.concatenate(near_by), y, x))
+                x, y = x[order], y[order]
+                best = order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])]
+                i, j = i[best], j[best]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["a", "b"])
