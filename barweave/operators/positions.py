@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from barweave.functions.windows import BY, over, so_far
 from barweave.operators.resample import asof_join
@@ -84,56 +85,73 @@ def _hold(target: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _per_series(df: DataFrame, by: Sequence[str], added: dict[str, str], walk: Callable[[pa.Table], list[pa.Array]]) -> DataFrame:
+    """The rows of each series in order of ts, all their columns as they are, with columns that ``walk`` makes."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column("ts").to_numpy(), kind="stable")))
+        for name, values in zip(added, walk(rows), strict=True):
+            rows = rows.append_column(name, values)
+        return rows
+
+    return df.groupBy(*by).applyInArrow(run, schema)
+
+
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    return np.nan_to_num(rows.column(name).to_numpy().astype(float))
+
+
 def min_hold(df: DataFrame, n: int | str, by: Sequence[str] = BY, target: str = "target") -> DataFrame:
     """Adds pos: the target, but a position stays ``n`` bars at least (a number, or a column constant per group).
 
-    Each group's order matters, so a group is one task's; only its time, target and key go there.
+    Each group's order matters, so a group is one task's. Rows with equal ts keep their order and stay as many.
     """
-    schema = df.select(*by, "ts").schema.add("pos", "double")
-    number = n if isinstance(n, int) else None
-    cols = [*by, "ts", target] + ([] if number is not None or n in by else [n])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        held = number if number is not None else int(rows[n].iloc[0])
-        return rows[[*by, "ts"]].assign(pos=_hold(rows[target].fillna(0.0).to_numpy(dtype=float), held))
-
-    return df.join(df.select(*cols).groupBy(*by).applyInPandas(run, schema), [*by, "ts"])
-
-
-def thesis_walk(signal: np.ndarray, ret: np.ndarray, tp: float, sl: float, max_hold: int, least: int, cooldown: int, on_flip: bool) -> tuple[np.ndarray, list[str | None]]:
-    """Positions with take-profit, stop, timeout and invalidation; the reason stands at the bar after which one closes."""
-    pos, reason = np.zeros(len(signal)), [None] * len(signal)
-    cur, held, gain, rest, before = 0.0, 0, 0.0, 0, 0.0
-    for i, (sig, r) in enumerate(zip(signal, ret, strict=True)):
-        if cur == 0.0 and rest > 0:
-            rest -= 1
-        elif cur == 0.0:
-            if sig != 0 and (not on_flip or sig != before):
-                cur, held, gain = sig, 1, sig * r
-            pos[i] = cur
-        else:
-            pos[i] = cur
-            gain += cur * r
-            held += 1
-            old_enough = held >= least
-            why = "tp" if old_enough and gain >= tp else "sl" if old_enough and gain <= -sl else "timeout" if held >= max_hold else "invalidate" if old_enough and sig not in (0, cur) else None
-            if why:
-                reason[i], cur, rest = why, 0.0, cooldown
-        before = sig
-    return pos, reason
+
+    def walk(rows: pa.Table) -> list[pa.Array]:
+        held = n if isinstance(n, int) else int(rows.column(n)[0].as_py())
+        return [pa.array(_hold(_numbers(rows, target), held), pa.float64())]
+
+    return _per_series(df, by, {"pos": "double"}, walk)
+
+
+def thesis_trades(signal: np.ndarray, ret: np.ndarray, tp: float, sl: float, max_hold: int, least: int, cooldown: int, on_flip: bool) -> list[tuple[int, int, float, str | None]]:
+    """Trades (first bar, last bar, direction, why it ends; None at the end of the series).
+
+    A trade starts where the signal stands (or changes, with ``on_flip``) and no other is open or cooling down. It ends
+    at the first bar after it where the running gain has reached ``tp`` or ``-sl`` or the signal is opposite, each from
+    ``least`` bars on, or that is its ``max_hold``-th bar; that bar is found in the running sums of the bars ahead.
+    """
+    starts = np.flatnonzero((signal != 0) & ((signal != np.concatenate([[0.0], signal[:-1]])) | (not on_flip)))
+    trades, free = [], 0
+    while (k := int(np.searchsorted(starts, free))) < len(starts):
+        i = int(starts[k])
+        side, ahead = signal[i], slice(i, i + max(2, max_hold))
+        gain, bars = np.cumsum(side * ret[ahead]), np.arange(1, len(ret[ahead]) + 1)
+        ripe = (bars >= least) & (bars > 1)
+        reasons = {"tp": ripe & (gain >= tp), "sl": ripe & (gain <= -sl), "timeout": (bars >= max_hold) & (bars > 1), "invalidate": ripe & (signal[ahead] != 0) & (signal[ahead] != side)}
+        ends = np.flatnonzero(np.any(list(reasons.values()), axis=0))
+        if not len(ends):
+            trades.append((i, len(signal) - 1, side, None))
+            break
+        last = int(ends[0])
+        trades.append((i, i + last, side, next(name for name, at in reasons.items() if at[last])))
+        free = i + last + 1 + cooldown
+    return trades
 
 
 def thesis_hold(df: DataFrame, tp: float = 0.0030, sl: float = 0.0045, max_hold: int = 48, least: int = 6, cooldown: int = 0, on_flip: bool = False, by: Sequence[str] = BY, signal: str = "sig", ret: str = "fwd") -> DataFrame:
-    """Adds pos and exit_reason: positions that follow a signal until a take-profit, stop, timeout or opposite signal."""
-    schema = df.select(*by, "ts").schema.add("pos", "double").add("exit_reason", "string")
+    """Adds pos and exit_reason (at a trade's last bar): positions that follow a signal until a take-profit, stop, timeout or opposite signal."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        pos, reason = thesis_walk(rows[signal].fillna(0).to_numpy(dtype=float), rows[ret].fillna(0).to_numpy(dtype=float), tp, sl, max_hold, least, cooldown, on_flip)
-        return rows[[*by, "ts"]].assign(pos=pos, exit_reason=reason)
+    def walk(rows: pa.Table) -> list[pa.Array]:
+        pos, reason = np.zeros(rows.num_rows), [None] * rows.num_rows
+        for first, last, side, why in thesis_trades(_numbers(rows, signal), _numbers(rows, ret), tp, sl, max_hold, least, cooldown, on_flip):
+            pos[first : last + 1], reason[last] = side, why
+        return [pa.array(pos, pa.float64()), pa.array(reason, pa.string())]
 
-    return df.join(df.select(*by, "ts", signal, ret).groupBy(*by).applyInPandas(run, schema), [*by, "ts"])
+    return _per_series(df, by, {"pos": "double", "exit_reason": "string"}, walk)
 
 
 def exit_counts(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:

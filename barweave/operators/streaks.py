@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -251,36 +252,52 @@ def quarterly(df: DataFrame, period: Column | None = None, by: Sequence[str] = B
     return ranked.withColumns({"slope": F.regr_slope("reversion_index", "_at").over(w), "corr": F.corr("reversion_index", F.col("_at").cast("double")).over(w)}).drop("_at")
 
 
-def catalog_rules() -> dict[str, Column]:
-    """The catalogue's predicates over two assets' tier columns a_* and b_*."""
-    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    cross = (a("tier") == "elite") & (b("tier") == "elite") & (a("dir") == b("dir")) & (a("dir") != 0)
-    both = lambda n: (a("slen") >= n) & (b("slen") >= n)
-    move = lambda x: a("absret") >= x
-    s4 = both(4) & (a("tf_agree") == 4) & (b("tf_agree") == 4) & a("aligned") & b("aligned") & (a("dir") == b("dir")) & (a("dir") != 0)
-    low, high = (a("vr") == "LOW_VR") & (b("vr") == "LOW_VR"), (a("vr") == "HIGH_VR") & (b("vr") == "HIGH_VR")
-    elite = (a("tier") == "elite") & (a("dir") != 0)
-    fund = F.coalesce(a("fund_extreme"), F.lit(False))
-    return {
-        "elite": cross, "elite_s4": cross & both(4), "elite_s5": cross & both(5), "elite_low": cross & low, "elite_high": cross & high, "elite_freq": cross & a("freq") & b("freq"),
-        "all_s4": s4, "all_s4_low": s4 & (a("vr") == "LOW_VR"), "a_s4_b_agrees": (a("slen") >= 4) & (a("tf_agree") == 4) & a("aligned") & (b("dir") == a("dir")) & (a("dir") != 0),
-        "elite_m05": cross & move(0.005), "elite_m08": cross & move(0.008), "elite_m10": cross & move(0.01), "elite_s4_m05": cross & both(4) & move(0.005), "elite_m05_a4": cross & move(0.005) & (a("slen") >= 4),
-        "a_elite_m05": elite & move(0.005), "a_elite_m10": elite & move(0.01), "a_elite_s4_m05": elite & (a("slen") >= 4) & (a("tf_agree") == 4) & a("aligned") & move(0.005),
-        "elite_m05_fund": cross & move(0.005) & fund, "elite_m10_a4": cross & move(0.01) & (a("slen") >= 4), "elite_m05_b4": cross & move(0.005) & (b("slen") >= 4), "elite_high_m05": cross & high & move(0.005),
-        "elite_m05_both4": cross & move(0.005) & both(4), "elite_m08_both4": cross & move(0.008) & both(4), "elite_m08_b4": cross & move(0.008) & (b("slen") >= 4), "elite_m10_both4": cross & move(0.01) & both(4),
-        "all_s4_m05": s4 & move(0.005), "elite_low_m05": cross & low & move(0.005), "elite_fund": cross & fund, "elite_m08_a4": cross & move(0.008) & (a("slen") >= 4),
-    }
-
-
-def rule_catalog(pair: DataFrame, rules: dict[str, Column] | None = None, min_n: int = 20) -> DataFrame:
-    """Every predicate side by side on (a_*, b_*, a_fwd): n, coverage_pct, hit_rate, rank among those with enough cases."""
+#: Conditions on two assets' tier columns, as SQL over {a} and {b}, the prefixes of the predicted and the other asset.
+CONDITIONS: dict[str, dict[str, str]] = {
+    "base": {
+        "own": "{a}tier = 'elite' AND {a}dir <> 0",
+        "pair": "{a}tier = 'elite' AND {b}tier = 'elite' AND {a}dir = {b}dir AND {a}dir <> 0",
+        "frames": "{a}tf_agree = 4 AND {b}tf_agree = 4 AND {a}aligned AND {b}aligned AND {a}dir = {b}dir AND {a}dir <> 0",
+        "led": "{a}tf_agree = 4 AND {a}aligned AND {a}dir = {b}dir AND {a}dir <> 0",
+    },
+    "side": {"": "", "a": "{a}slen >= {run}", "b": "{b}slen >= {run}", "ab": "{a}slen >= {run} AND {b}slen >= {run}"},
+    "regime": {"": "", "low": "{a}vr = 'LOW_VR' AND {b}vr = 'LOW_VR'", "high": "{a}vr = 'HIGH_VR' AND {b}vr = 'HIGH_VR'"},
+    "extra": {"": "", "freq": "{a}freq AND {b}freq", "fund": "coalesce({a}fund_extreme, false)"},
+}
+
+
+def catalog_rules(bases: Sequence[str] = ("own", "pair", "frames", "led"), sides: Sequence[str] = ("", "a", "b", "ab"), runs: Sequence[int] = (4,), regimes: Sequence[str] = ("", "low", "high"), moves: Sequence[float] = (0.0, 0.005, 0.01), extras: Sequence[str] = ("",)) -> dict[str, str]:
+    """A catalogue of rules, one for each choice of a base, runs of some length on some side, a regime, a least move and more.
+
+    Names tell the choices, moves in basis points (``pair_ab4_low_m50``); values are conditions in SQL over {a} and {b}.
+    """
+    out = {}
+    for base, side, regime, move, extra in product(bases, sides, regimes, moves, extras):
+        for run in runs if side else (0,):
+            parts = [CONDITIONS["base"][base], CONDITIONS["side"][side].replace("{run}", str(run)), CONDITIONS["regime"][regime], f"{{a}}absret >= {move}" if move else "", CONDITIONS["extra"][extra]]
+            name = "_".join(x for x in (base, f"{side}{run}" if side else "", regime, f"m{round(move * 10_000)}" if move else "", extra) if x)
+            out[name] = " AND ".join(x for x in parts if x)
+    return out
+
+
+def _holds(condition: str) -> Column:
+    return F.coalesce(F.expr(condition.format(a="a_", b="b_")), F.lit(False))
+
+
+def rule_catalog(pair: DataFrame, rules: dict[str, str] | None = None, min_n: int = 20) -> DataFrame:
+    """Every rule side by side on (a_*, b_*, a_fwd): n, coverage_pct, hit_rate, rank among those with enough cases.
+
+    A row counts for each rule that holds, in one pass over the pair's rows.
+    """
     rules = rules or catalog_rules()
     rows = pair.where("a_fwd is not null")
-    hit = (F.signum("a_fwd") == F.col("a_dir")).cast("int")
-    wide = rows.agg(F.count("*").alias("_n"), *[F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(f"n_{k}") for k, c in rules.items()], *[F.sum(F.when(F.coalesce(c, F.lit(False)), hit)).alias(f"h_{k}") for k, c in rules.items()])
-    out = wide.select("_n", F.explode(F.array(*[F.struct(F.lit(k).alias("rule_id"), F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias("n"), F.col(f"h_{k}").alias("h")) for k in rules])).alias("r")).select("_n", "r.*")
-    out = out.select("rule_id", "n", (100.0 * F.col("n") / F.nullif("_n", F.lit(0))).alias("coverage_pct"), (F.col("h") / F.nullif("n", F.lit(0))).alias("hit_rate"))
-    # as many rows as there are rules
+    hit = (F.signum("a_fwd") == F.col("a_dir")).cast("int").alias("hit")
+    held = F.array_compact(F.array(*[F.when(_holds(c), F.lit(k)) for k, c in rules.items()], F.lit("")))  # "" stands for every row
+    counts = rows.select(hit, F.explode(held).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"), F.avg("hit").alias("hit_rate"))
+    every = pair.sparkSession.createDataFrame([(k,) for k in rules], "rule_id string")  # as many rows as there are rules
+    total = counts.where("rule_id = ''").select(F.col("n").alias("_n"))
+    out = F.broadcast(every).join(counts, "rule_id", "left").join(F.broadcast(total), F.lit(True), "left")
+    out = out.select("rule_id", F.coalesce("n", F.lit(0)).alias("n"), (100.0 * F.coalesce("n", F.lit(0)) / F.col("_n")).alias("coverage_pct"), "hit_rate")
     rank = F.row_number().over(Window.orderBy((F.col("n") >= min_n).desc(), F.col("hit_rate").desc_nulls_last(), F.col("n").desc(), "rule_id"))
     return out.withColumn("rank", rank)
 
@@ -290,9 +307,9 @@ def promote(catalog: DataFrame, active_hit: float, min_n: int = 20, margin: floa
     return catalog.where((F.col("rank") == 1) & (F.col("n") >= min_n)).withColumn("promote", F.col("hit_rate") > active_hit + margin)
 
 
-def rule_replay(pair: DataFrame, rule_id: str, rules: dict[str, Column] | None = None) -> DataFrame:
+def rule_replay(pair: DataFrame, rule_id: str, rules: dict[str, str] | None = None) -> DataFrame:
     """A rule's signals with their outcome."""
-    picked = (rules or catalog_rules())[rule_id]
+    picked = _holds((rules or catalog_rules())[rule_id])
     out = pair.where(picked & F.col("a_fwd").isNotNull())
     return out.select("ts", F.when(F.col("a_dir") > 0, "UP").otherwise("DOWN").alias("direction"), F.when(F.signum("a_fwd") == F.col("a_dir"), "hit").otherwise("miss").alias("outcome"), (100 * F.col("a_fwd")).alias("forward_return_pct"))
 

@@ -230,16 +230,20 @@ def q17q(spark, sf):
     return Q.quarterly(daily_pool(spark, sf))
 
 
-_RULES_SQL = {
-    "elite": "cr", "elite_low": "cr AND a.vr = 'LOW_VR' AND b.vr = 'LOW_VR'", "a_elite_m05": "a.tier = 'elite' AND a.dir <> 0 AND abs(a.return_1h) >= 0.005", "all_s4": "a.slen >= 4 AND b.slen >= 4 AND a.tf_agree = 4 AND b.tf_agree = 4 AND a.aligned AND b.aligned AND a.dir = b.dir AND a.dir <> 0",
-    "elite_m05": "cr AND abs(a.return_1h) >= 0.005", "elite_freq": "cr AND a.s15m <> 0 AND a.s15m = a.s30m AND a.s30m = a.s1h AND b.s15m <> 0 AND b.s15m = b.s30m AND b.s30m = b.s1h", "a_s4_b_agrees": "a.slen >= 4 AND a.tf_agree = 4 AND a.aligned AND b.dir = a.dir AND a.dir <> 0",
-}
-_CR = "(a.tier = 'elite' AND b.tier = 'elite' AND a.dir = b.dir AND a.dir <> 0)"
+def _each_rule() -> str:
+    parts = []
+    for name, condition in Q.catalog_rules().items():
+        holds = f"coalesce({condition.format(a='a.', b='b.')}, false)"
+        parts.append(f"SELECT '{name}' AS rule_id, count(*) FILTER ({holds}) AS n, 100.0 * count(*) FILTER ({holds}) / count(*) AS coverage_pct, avg(CAST(sign(a.fwd) = a.dir AS INT)) FILTER ({holds}) AS hit_rate FROM moved AS a JOIN moved AS b USING (t) WHERE a.asset = 'click' AND b.asset = 'view' AND a.fwd IS NOT NULL")
+    return " UNION ALL ".join(parts)
 
 
-@query("q18_rule_catalog", "rule_id n:i coverage_pct:d hit_rate:d", " UNION ALL ".join(f"SELECT '{k}' AS rule_id, count(*) FILTER (coalesce({c.replace('cr', _CR, 1) if c.startswith('cr') else c}, false)) AS n, 100.0 * count(*) FILTER (coalesce({c.replace('cr', _CR, 1) if c.startswith('cr') else c}, false)) / count(*) AS coverage_pct, avg(CAST(sign(a.fwd) = a.dir AS INT)) FILTER (coalesce({c.replace('cr', _CR, 1) if c.startswith('cr') else c}, false)) AS hit_rate FROM tiers AS a JOIN tiers AS b USING (t) WHERE a.asset = 'click' AND b.asset = 'view' AND a.fwd IS NOT NULL" for k, c in _RULES_SQL.items()))
+cte("moved", "SELECT *, abs(return_1h) AS absret FROM tiers")
+
+
+@query("q18_rule_catalog", "rule_id n:i coverage_pct:d hit_rate:d", _each_rule())
 def q18(spark, sf):
-    return Q.rule_catalog(W.tier_pair(tiers(spark, sf), "click", "view", _COLS)).where(F.col("rule_id").isin(*_RULES_SQL))
+    return Q.rule_catalog(W.tier_pair(tiers(spark, sf), "click", "view", _COLS))
 
 
 @query("q18_all_rules_ranked", "rule_id n:i rank:i promote:b")
@@ -250,7 +254,7 @@ def q18a(spark, sf):
 
 @query("q19_rule_replay", "ts:i direction outcome forward_return_pct:d", "SELECT t AS ts, CASE WHEN a.dir > 0 THEN 'UP' ELSE 'DOWN' END AS direction, CASE WHEN sign(a.fwd) = a.dir THEN 'hit' ELSE 'miss' END AS outcome, 100 * a.fwd AS forward_return_pct FROM tiers AS a JOIN tiers AS b USING (t) WHERE a.asset = 'click' AND b.asset = 'view' AND a.fwd IS NOT NULL AND a.tier = 'elite' AND a.dir <> 0 AND abs(a.return_1h) >= 0.005")
 def q19(spark, sf):
-    return Q.rule_replay(W.tier_pair(tiers(spark, sf), "click", "view", _COLS), "a_elite_m05")
+    return Q.rule_replay(W.tier_pair(tiers(spark, sf), "click", "view", _COLS), "own_m50")
 
 
 cte("sess", "SELECT *, CAST(s * row_number() OVER (PARTITION BY asset, d, isl ORDER BY t) AS BIGINT) AS sst FROM (SELECT *, sum(ch) OVER (PARTITION BY asset, d ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY asset, d ORDER BY t) THEN 0 ELSE 1 END AS ch FROM (SELECT asset, t, return_1h, t // 86400 AS d, coalesce(sign(lag(return_1h) OVER (PARTITION BY asset ORDER BY t)), 0) AS s FROM pool) AS a) AS b) AS c")

@@ -106,11 +106,38 @@ def test_live_step_is_the_same_machine():
     assert out == naive_hold(target, 4)
 
 
-def test_thesis_exits():
-    pos, why = H.thesis_walk(np.array([1, 1, 1, 1, -1, -1]), np.array([0.01, 0.01, 0, 0, 0, 0]), 0.015, 0.1, 9, 2, 1, False)
-    assert why[1] == "tp" and list(pos[:3]) == [1, 1, 0]
-    _, why = H.thesis_walk(np.array([1, -1, -1]), np.zeros(3), 1, 1, 9, 1, 0, False)
-    assert why[1] == "invalidate"
+def bar_by_bar(signal, ret, tp, sl, most, least, cooldown, on_flip):
+    """Trades of the stated rules, looked up bar by bar."""
+    out, i = [], 0
+    while i < len(signal):
+        if not signal[i] or on_flip and i and signal[i] == signal[i - 1]:
+            i += 1
+            continue
+        for j in range(i + 1, len(signal)):
+            gain, bars = sum(signal[i] * r for r in ret[i : j + 1]), j - i + 1
+            why = [k for k, x in (("tp", gain >= tp and bars >= least), ("sl", gain <= -sl and bars >= least), ("timeout", bars >= most), ("invalidate", bars >= least and signal[j] == -signal[i])) if x]
+            if why:
+                out.append((i, j, signal[i], why[0]))
+                break
+        else:
+            return [*out, (i, len(signal) - 1, signal[i], None)]
+        i = j + 1 + cooldown
+    return out
+
+
+def test_thesis_trades():
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randrange(1, 40)
+        signal, ret = [float(rng.choice([-1, 0, 1, 1])) for _ in range(n)], [rng.choice([-2, -1, 0, 1, 2]) / 64 for _ in range(n)]
+        rest = rng.choice([3, 5]) / 64, rng.choice([3, 5]) / 64, rng.randrange(1, 9), rng.randrange(0, 5), rng.randrange(0, 3), rng.random() < 0.5
+        assert H.thesis_trades(np.array(signal), np.array(ret), *rest) == bar_by_bar(signal, ret, *rest)
+
+
+def test_repeated_stamps_stay_as_many(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0, "x"), ("a", 1, -1.0, "y"), ("a", 2, None, None)], "asset string, ts long, target double, note string").coalesce(1)
+    out = H.min_hold(rows, 2, ["asset"]).collect()
+    assert len(out) == 3 and {r["note"] for r in out} == {"x", "y", None}
 
 
 def test_drawdown_peak_leaves_out_the_start(spark):
