@@ -7,12 +7,13 @@ searched for exactly:
 - Routing. In one order of all shingles, two linked sets have a shingle in common among the first
   ``size - ceil(t * size) + 1`` of each; these are a set's keys. The order is that of the hashes, but shingles that a
   large share of the documents have come last, so that a key is shared by few. Which ones are told to be frequent
-  changes the work only, never the result. Keys whose documents all lie in one group need no further look, and of keys
-  with the same documents one is looked at.
-- Trees. The documents of a key, in blocks of bounded size, form a tree by size whose nodes hold the size range and
+  changes the work only, never the result. A key's documents are cut into ranges of sizes between which no link is
+  possible. Ranges whose documents all lie in one group need no further look, and of those with the same documents one
+  is looked at.
+- Trees. The documents of a range, in blocks of bounded size, form a tree by size whose nodes hold the size range and
   the OR of their token bitmaps. Two nodes are walked down together and dropped when their largest possible overlap is
   too small. Pairs of different groups that are left are verified on whole sets: the best pair of two groups in each
-  block first, and then, for groups that these did not join, every one.
+  block first, and then, in blocks with other pairs of groups that these did not join, every one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barweave.llm.batches import grouped, pieces_of
 from barweave.llm.components import connected_components
@@ -282,41 +283,64 @@ def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction, frequ
 
     text = labelled.select(F.col("doc_id").alias("rep"), "group").join(packed(documents), F.col("rep") == F.col("doc_id")).select("doc_id", "group", "packed")
     routed = written(text.mapInArrow(run, "doc_id long, `group` long, size long, keys array<long>, bits binary"), "routed")
-    mixed = routed.select("group", F.explode("keys").alias("key")).groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1")
-    shared = written(mixed.select("key"), "shared")
-    met = written(routed.select("doc_id", F.explode("keys").alias("key")).join(shared, "key"), "met")
-    members = met.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bit_xor(F.xxhash64("doc_id")).alias("all"))
-    open_keys = members.groupBy("n", "first", "last", "all").agg(F.min("key").alias("key"))
-    open_keys = written(open_keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    hits = written(met.join(open_keys, "key").select("doc_id", "key", "blocks", part.alias("part")), "hits")
-    dropped(labelled, shared, met, open_keys)
-
-    def rounds(groups: DataFrame, one_each: bool) -> DataFrame:
-        """Verified pairs between the groups (doc_id, group); with ``one_each`` the best pair of two groups in a block."""
-        dealt = hits.join(groups, "doc_id").join(routed.select("doc_id", "size", "bits"), "doc_id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        low, high = F.least("part", "other"), F.greatest("part", "other")
-        dealt = dealt.select(F.xxhash64("key", low, high).alias("block"), "doc_id", "group", "size", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"), "bits")
-        pairs = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: tree_pairs(b, Fraction(num, den), one_each), "a long, b long").distinct()
-        pairs = written(pairs, "pairs")
-        found = written(verify(pairs, documents, n, least), "verified")
-        dropped(pairs)
-        return found
+    keyed = routed.select("doc_id", "group", "size", F.explode("keys").alias("key"))
+    mixed = keyed.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("n")).where("g0 <> g1")
+    shared = written(mixed.select("key", "n"), "shared")
+    met = written(ranges(keyed.join(shared, "key"), num, den), "met")
+    once = met.where("doc_id = first").groupBy("n", "first", "last", "all").agg(F.min("range").alias("range"))
+    open_ranges = written(once.select("range", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    part, every_part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = met.select("range", "doc_id").join(open_ranges, "range").select("range", "doc_id", part.alias("part"), F.explode(every_part).alias("other"))
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    hits = written(dealt.select(F.xxhash64("range", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "doc_id", side.alias("side")), "hits")
+    dropped(labelled, shared, met, open_ranges)
+
+    def pairs_of(blocks: DataFrame, groups: DataFrame, one_each: bool) -> DataFrame:
+        full = blocks.join(groups, "doc_id").join(routed.select("doc_id", "size", "bits"), "doc_id").select("block", "doc_id", "group", "size", "side", "bits")
+        return full.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: tree_pairs(b, Fraction(num, den), one_each), "a long, b long, block long, more boolean")
 
     # Two groups that many links join need one of them: the best pair of each block first, then whatever may join the rest
-    first = rounds(routed.select("doc_id", "group"), True)
-    ends = first.join(routed.select(F.col("doc_id").alias("a"), F.col("group").alias("x")), "a").join(routed.select(F.col("doc_id").alias("b"), F.col("group").alias("y")), "b").select("x", "y")
-    merged = written(connected_components(ends, "x", "y").select(F.col("id").alias("group"), "component_id"), "merged")
-    second = rounds(routed.select("doc_id", "group").join(merged, "group", "left").select("doc_id", F.coalesce("component_id", "group").alias("group")), False)
+    best = written(pairs_of(hits, routed.select("doc_id", "group"), True), "best")
+    first = written(verify(best.select("a", "b").distinct(), documents, n, least), "verified")
+
+    def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        left, right = (groups.select(F.col("doc_id").alias(k), F.col("group").alias(g)) for k, g in (("a", "x"), ("b", "y")))
+        return pairs.join(left, "a").join(right, "b")
+
+    merged = connected_components(between(first, routed.select("doc_id", "group")).select("x", "y"), "x", "y").select(F.col("id").alias("group"), "component_id")
+    now = written(routed.select("doc_id", "group").join(merged, "group", "left").select("doc_id", F.coalesce("component_id", "group").alias("group")), "now")
+    again = written(between(best.where("more"), now).where("x <> y").select("block").distinct(), "again")
+    rest = written(pairs_of(hits.join(again, "block", "left_semi"), now, False).select("a", "b").distinct(), "rest")
+    second = written(verify(rest, documents, n, least), "verified")
     every = written(edges.unionByName(first).unionByName(second), "links")
-    dropped(routed, hits, edges, first, merged, second)
+    dropped(routed, hits, edges, best, first, now, again, rest, second)
     return every
 
 
+def ranges(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Parts of the keys (key, n, doc_id, group, size) that hold two groups: doc_id, range, n, first, last, all.
+
+    A key of BLOCK documents or fewer is cut wherever the next larger set is too large for a link; no link crosses such
+    a cut. ``n``, ``first``, ``last`` and ``all`` tell which documents a range has.
+    """
+    small, large = met.where(F.col("n") <= BLOCK), met.where(F.col("n") > BLOCK)
+    by_size = Window.partitionBy("key").orderBy("size")
+    gap = (den * F.lag("size").over(by_size) < num * F.col("size")).cast("int")
+    small = small.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("at", F.sum("gap").over(by_size))
+    of = Window.partitionBy("key", "at")
+    facts = [F.count("*"), F.min("doc_id"), F.max("doc_id"), F.bit_xor(F.xxhash64("doc_id"))]
+    names = ["n", "first", "last", "all"]
+    small = small.select("doc_id", F.xxhash64("key", "at").alias("range"), *[f.over(of).alias(x) for f, x in zip(facts, names, strict=True)], (F.min("group").over(of) != F.max("group").over(of)).alias("two"))
+    whole = large.groupBy("key").agg(*[f.alias(x) for f, x in zip(facts, names, strict=True)])
+    large = large.select("key", "doc_id").join(whole, "key").select("doc_id", F.xxhash64("key", F.lit(0).cast("bigint")).alias("range"), *names)
+    return small.where("two").drop("two").unionByName(large)
+
+
 def tree_pairs(batches: Iterator[pa.RecordBatch], least: Fraction, one_each: bool = False) -> Iterator[pa.RecordBatch]:
     """Blocks (block, doc_id, group, size, side, bits) to the pairs of documents that their trees leave.
 
-    With ``one_each`` that is for two groups the one pair whose bitmaps differ least for its size.
+    With ``one_each`` that is for two groups the one pair whose bitmaps differ least for its size; ``more`` tells that
+    the block has others of these groups.
     """
     for group in grouped(batches):
         if group.num_rows < 2:
@@ -342,11 +366,13 @@ def tree_pairs(batches: Iterator[pa.RecordBatch], least: Fraction, one_each: boo
                                 near_by.append(np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1) / (sizes[near[i]] + sizes[near[j]]))
         if found:
             i, j = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+            more = np.zeros(len(i), dtype=bool)
             if one_each and len(i):
                 x, y = np.minimum(groups[i], groups[j]), np.maximum(groups[i], groups[j])
                 order = np.lexsort((np.concatenate(near_by), y, x))
                 x, y = x[order], y[order]
-                best = order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])]
-                i, j = i[best], j[best]
+                starts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+                i, j, more = i[order[starts]], j[order[starts]], np.diff(starts, append=len(order)) > 1
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["a", "b"])
+                block = pa.array(np.full(len(i), group.column(0)[0].as_py(), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j])), block, pa.array(more)], names=["a", "b", "block", "more"])
