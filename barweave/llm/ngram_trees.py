@@ -283,10 +283,11 @@ def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction, frequ
 
     text = labelled.select(F.col("doc_id").alias("rep"), "group").join(packed(documents), F.col("rep") == F.col("doc_id")).select("doc_id", "group", "packed")
     routed = written(text.mapInArrow(run, "doc_id long, `group` long, size long, keys array<long>, bits binary"), "routed")
-    keyed = routed.select("doc_id", "group", "size", F.explode("keys").alias("key"))
-    mixed = keyed.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("n")).where("g0 <> g1")
-    shared = written(mixed.select("key", "n"), "shared")
-    met = written(ranges(keyed.join(shared, "key"), num, den), "met")
+    # Keys are shuffled once: the counts read the same columns as the join, so that both use one exchange
+    keyed = routed.select("doc_id", "group", "size", F.explode("keys").alias("key")).repartition("key")
+    mixed = keyed.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.expr("count(doc_id, size)").alias("n")).where("g0 <> g1")
+    shared = written(keyed.join(mixed.select("key", "n"), "key"), "shared")
+    met = written(ranges(shared, num, den), "met")
     once = met.where("doc_id = first").groupBy("n", "first", "last", "all").agg(F.min("range").alias("range"))
     open_ranges = written(once.select("range", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
     part, every_part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
