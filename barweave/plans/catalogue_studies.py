@@ -487,7 +487,11 @@ def _stream(spark: SparkSession, sf: str, job, mode: str = "append") -> DataFram
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(path if _is_folder(spark, path) else f"{sf}/{file.stem}*.parquet")
     ticks = raw.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), (1000 + F.col("value")).alias("price"), F.lit(1).alias("qty"), F.col("event_id").alias("seq"), "user_id")
     name = f"s{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barweave-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="barweave-")
     return ST.run_available(job(ticks), f"{folder}/{name}-out", f"{folder}/{name}-log", mode)
 
 
@@ -526,11 +530,11 @@ def w4(spark, sf):
     return ST.score_hold_cycles(targets_all(spark, sf), B.bars(spark, sf), 3)
 
 
-cte("tick_targets", "SELECT asset, s AS t, CASE WHEN first(price ORDER BY ts) > 1050 THEN 1.0 ELSE -1.0 END AS target FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM ticks) AS x GROUP BY asset, s")
+cte("tick_targets", "SELECT asset, epoch_us(ts) AS t, CASE WHEN first(price) > 1050 THEN 1.0 ELSE -1.0 END AS target FROM ticks GROUP BY asset, ts")
 cte("tick_held", hold_sql("tick_targets", 3))
 
 
-@query("w5_live_min_hold", "asset ts:i pos:d traded:b", "SELECT *, t AS ts, pos <> coalesce(lag(pos) OVER (PARTITION BY asset ORDER BY t), 0) AS traded FROM tick_held")
+@query("w5_live_min_hold", "asset ts:i pos:d traded:b", "SELECT *, t // 1000000 AS ts, pos <> coalesce(lag(pos) OVER (PARTITION BY asset ORDER BY t), 0) AS traded FROM tick_held")
 def w5(spark, sf):
     """Every tick above its asset's start is a target to be long; the positions as a stream keeps them."""
     return _stream(spark, sf, lambda t: ST.live_min_hold(t.select("asset", "ts", F.when(F.col("price") > 1050, 1.0).otherwise(-1.0).alias("target")), 3))

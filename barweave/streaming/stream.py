@@ -63,7 +63,7 @@ def _step(pos: float, held: int, want: float, n: int) -> tuple[float, int]:
 def live_min_hold(targets: DataFrame, n: int, by: str = "asset") -> DataFrame:
     """A stream of targets (by, ts, target) to positions with a minimum hold; a bar that came before is ignored.
 
-    The state per key is the position, its age and the last bar. Rows of a batch are taken in order of time.
+    The state per key is the position, its age and the last bar's time in microseconds. Rows of a batch are taken in order of time.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,7 +71,7 @@ def live_min_hold(targets: DataFrame, n: int, by: str = "asset") -> DataFrame:
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         out = []
         for ts, want in zip(rows["ts"], rows["target"].fillna(0.0), strict=True):
-            stamp = int(pd.Timestamp(ts).timestamp())
+            stamp = pd.Timestamp(ts).value // 1000  # .value is in nanoseconds; Spark's times are in microseconds
             if stamp <= last:
                 continue
             old = pos
