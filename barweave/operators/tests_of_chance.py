@@ -216,7 +216,7 @@ def _mi(cells: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 
 def greedy_subset(df: DataFrame, cols: Sequence[str], target: str = "up", bins: int = 4, most: int = 4) -> list[tuple[str, float]]:
-    """Columns that add most joint information, one at a time, for one series; each step is one aggregate."""
+    """Columns that add most joint information, one at a time, for one series; each candidate of a step is one aggregate."""
     rows = df.dropna(subset=[*cols, target]).withColumn("_all", F.lit(0))
     for c in cols:
         rows = quantile_bins(rows, c, bins, ["_all"], f"_b_{c}")
