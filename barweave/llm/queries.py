@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barweave.llm import decontaminate, embedding_lsh, html_graph, html_labelled, license_digest, ngram_trees, sentencepiece_table, substring_chain, toxicity_cnn, warc_zstd, weak_quality
+from barweave.llm import conversation_cyk, decontaminate, embedding_lsh, exact_trie, html_graph, html_labelled, license_digest, ngram_trees, sentencepiece_table, spelling_permuterm, substring_chain, toxicity_cnn, warc_zstd, weak_quality
 from barweave.llm.shared import written
 
 
@@ -67,6 +67,18 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op11_conversation_cyk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_cyk.report(conversation_cyk.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_trie.membership(table(spark, sf_dir, "documents"))
+
+
+def op13_permuterm_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_permuterm.variants(table(spark, sf_dir, "documents"), typo_every=spelling_permuterm.TYPO_EVERY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_graph": op1_html_graph,
     "op2_substring_chain": op2_substring_chain,
@@ -78,5 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_trees": op8_ngram_trees,
     "op9_license_digest": op9_license_digest,
     "op10_warc_zstd": op10_warc_zstd,
+    "op11_conversation_cyk": op11_conversation_cyk,
+    "op12_patricia_owners": op12_patricia_owners,
+    "op13_permuterm_spelling": op13_permuterm_spelling,
 }
-ORACLES: dict[str, str] = {"op9_license_digest": license_digest.oracle()}
+ORACLES: dict[str, str] = {"op9_license_digest": license_digest.oracle(), "op12_patricia_owners": exact_trie.oracle()}
