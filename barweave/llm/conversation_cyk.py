@@ -217,28 +217,32 @@ def _batch(rows: list[list], kinds: dict[str, str]) -> pa.RecordBatch:
 _SEGMENTS = {"conv_id": "long", "part": "long", "seg": "long", **_SEGMENT}
 
 
-def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows to segments of SEGMENT_ROWS distinct rows at most; a conversation's are in the order of (part, seg)."""
-    part = TaskContext.get().partitionId()
-    held, conv, seg, size, done = None, None, 0, 0, []
-    for piece in pieces_of(batches):
-        for row in zip(*(c.to_pylist() for c in piece.columns), strict=True):
-            if held is not None and (row[0] != conv or size >= SEGMENT_ROWS):
-                done.append([conv, part, seg, *held.values()])
-                held = None
-            if held is None:
-                held, seg, size, conv = Segment(), seg + 1, 0, row[0]
-            held.add(*row[1:])
-            size += 1
-        if len(done) >= 256:
-            yield _batch(done, _SEGMENTS)
-            done = []
-    if held is not None:
-        done.append([conv, part, seg, *held.values()])
-    yield _batch(done, _SEGMENTS)
-
-
-def segments(rows: DataFrame) -> DataFrame:
+def _segments(most: int):
+    """Sorted rows to segments of ``most`` distinct rows; a conversation's are in the order of (part, seg)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held, conv, seg, size, done = None, None, 0, 0, []
+        for piece in pieces_of(batches):
+            for row in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                if held is not None and (row[0] != conv or size >= most):
+                    done.append([conv, part, seg, *held.values()])
+                    held = None
+                if held is None:
+                    held, seg, size, conv = Segment(), seg + 1, 0, row[0]
+                held.add(*row[1:])
+                size += 1
+            if len(done) >= 256:
+                yield _batch(done, _SEGMENTS)
+                done = []
+        if held is not None:
+            done.append([conv, part, seg, *held.values()])
+        yield _batch(done, _SEGMENTS)
+
+    return run
+
+
+def segments(rows: DataFrame, most: int = SEGMENT_ROWS) -> DataFrame:
     """(conv_id, part, seg, ...): the cells and counts of pieces of conversations; ``rows`` as ``damaged`` gives them.
 
     Equal rows of a turn are one row with a number before anything is shuffled by conversation; texts stay behind, as
@@ -255,7 +259,7 @@ def segments(rows: DataFrame) -> DataFrame:
     new = F.col("_n").isNull() | (at == F.col("_first")) | (F.col("turn").isNull() & ~F.col("_first.known"))
     order = ("conv_id", "turn", "content")
     dealt = found.select(*order, "initial", "blank", "cut", F.coalesce(new, F.lit(False)).alias("new"), "copies").repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.drop("content").mapInArrow(_segments, ", ".join(f"{k} {v}" for k, v in _SEGMENTS.items()))
+    return dealt.drop("content").mapInArrow(_segments(most), ", ".join(f"{k} {v}" for k, v in _SEGMENTS.items()))
 
 
 _REPORT = {"conv_id": "long", "gaps": "long", "blank": "long", "duplicate": "long", "truncated": "long", "illegal": "long", "cost": "long", "audit": "string", "repaired_sha256": "string"}
@@ -345,17 +349,17 @@ def _walk(turns_wanted: bool):
     return run
 
 
-def _met(rows: DataFrame, turns_wanted: bool) -> DataFrame:
+def _met(rows: DataFrame, turns_wanted: bool, most: int) -> DataFrame:
     """Segments and texts of a conversation in one sorted stream, whose order makes any join needless."""
     null = lambda names: [F.lit(None).cast(_SEGMENT[x]).alias(x) for x in names]
-    cells = segments(rows).select("conv_id", F.lit(0).alias("kind"), *_SEGMENT, F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("copies"), "part", "seg", F.lit(None).cast("binary").alias("content"))
+    cells = segments(rows, most).select("conv_id", F.lit(0).alias("kind"), *_SEGMENT, F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("copies"), "part", "seg", F.lit(None).cast("binary").alias("content"))
     said = rows.where("copies > 0").select("conv_id", F.lit(1).alias("kind"), *null(_SEGMENT), "role", "text", F.col("copies").cast("long").alias("copies"), F.col("turn").alias("part"), F.lit(0).cast("long").alias("seg"), _content().alias("content"))
     ordered = cells.unionByName(said).repartition("conv_id").sortWithinPartitions("conv_id", "kind", "part", "seg", "content").drop("part", "seg", "content")
     kinds = _REPAIRED if turns_wanted else _REPORT
     return ordered.mapInArrow(_walk(turns_wanted), ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
-def report(rows: DataFrame) -> DataFrame:
+def report(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Per conversation its faults, the least cost, the least audit of that cost, and the digest of the repaired turns.
 
     ``rows``: conv_id, turn, role, text and copies (how often the row stands there; 0: only its conversation counts).
@@ -364,9 +368,9 @@ def report(rows: DataFrame) -> DataFrame:
     audit and the digest of an empty text. A digest is one chain over a conversation's text, so its rows pass one task;
     they stream through it in sorted order and are never held, but for the audit's letters. Other columns aren't read.
     """
-    return _met(rows, False)
+    return _met(rows, False, segment_rows)
 
 
-def repaired(rows: DataFrame) -> DataFrame:
+def repaired(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """The turns after repair: conv_id, position from 0, edit (K, R or I), role, text; as ``report`` takes and sorts rows."""
-    return _met(rows, True)
+    return _met(rows, True, segment_rows)

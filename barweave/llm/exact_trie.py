@@ -195,7 +195,7 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shas, pa.string())], names=["doc_id", "text_sha256"])
 
 
-def membership(documents: DataFrame) -> DataFrame:
+def membership(documents: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """A row for each row of ``documents``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are after lower-casing A-Z; a null text is empty, and all empty texts are one group.
@@ -203,7 +203,7 @@ def membership(documents: DataFrame) -> DataFrame:
     repeated rows with one id all are kept; rows with a null id are kept only where keep_id is null). Columns besides
     doc_id and text aren't read. An empty table gives an empty one.
     """
-    groups = written(owners(documents), "owners")
+    groups = written(owners(documents, trie_bytes=trie_bytes), "owners")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_digests, "doc_id long, text_sha256 string")
     out = rows.join(groups, "text_sha256", "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("owner"))

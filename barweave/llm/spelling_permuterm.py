@@ -79,21 +79,23 @@ def _digests(letters: np.ndarray, at: np.ndarray, skip: int) -> np.ndarray:
     return np.array([out[0] << np.uint64(31) | out[1], out[2] << np.uint64(31) | out[3]]).astype(np.int64)
 
 
-def _turned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``rotations`` of long words under digests instead of the keys, in slices."""
-    for batch in batches:
-        for word, n, name in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            letters = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-            for skip in (1, 0):
-                if skip and len(letters) <= LONG:
-                    continue
-                turns = np.arange(len(letters) + 1 - skip)
-                keys = _digests(letters, turns, skip)
-                for a in range(0, len(turns), SLICE):
-                    at = turns[a : a + SLICE]
-                    c = [word[i] for i in at] if skip else [None] * len(at)
-                    indel = [bool(skip) and (i == 0 or word[i - 1] != word[i]) for i in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0, at]), pa.array(keys[1, at]), pa.array(c, pa.string()), pa.array([n] * len(at), pa.int64()), pa.array(indel), pa.array([name] * len(at), pa.string())], names=["key", "more", "c", "n", "indel", "id"])
+def _turned(most: int):
+    """``rotations`` of words of ``most`` characters and more under digests instead of the keys, in slices."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word, n, name in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                letters = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                for skip in (1, 0) if len(letters) > most else (0,):
+                    turns = np.arange(len(letters) + 1 - skip)
+                    keys = _digests(letters, turns, skip)
+                    for a in range(0, len(turns), SLICE):
+                        at = turns[a : a + SLICE]
+                        c = [word[i] for i in at] if skip else [None] * len(at)
+                        indel = [bool(skip) and (i == 0 or word[i - 1] != word[i]) for i in at]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[0, at]), pa.array(keys[1, at]), pa.array(c, pa.string()), pa.array([n] * len(at), pa.int64()), pa.array(indel), pa.array([name] * len(at), pa.string())], names=["key", "more", "c", "n", "indel", "id"])
+
+    return run
 
 
 def _scanned(rows: DataFrame, keys: Sequence[str], me: Column) -> DataFrame:
@@ -128,7 +130,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     met = _scanned(rotations(words), ["key"], F.struct("n", "c")).select(word(F.col("c")).alias("word"), "near", best(lambda x: word(x["c"])).alias("best"))
     long = words.where(F.char_length("word") >= LONG).withColumn("id", F.sha2("word", 256))
     if not long.isEmpty():
-        turned = long.select("word", "n", "id").mapInArrow(_turned, "key long, more long, c string, n long, indel boolean, id string")
+        turned = long.select("word", "n", "id").mapInArrow(_turned(LONG), "key long, more long, c string, n long, indel boolean, id string")
         found = _scanned(turned, ["key", "more"], F.struct("n", "c", "id"))
         # of a key's two kinds of neighbours each is looked up by its id; the first carries the count
         kinds = F.array(F.struct(F.when(skips, other).otherwise(F.col("e1")).alias("o"), F.col("near").alias("near")), F.struct(F.when(skips, F.col("short")).alias("o"), F.lit(0).cast("long").alias("near")))

@@ -101,9 +101,9 @@ def plain_report(rows, answer):
     return (gaps, *(found.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest)
 
 
-def reported(spark, rows, parts=3):
+def reported(spark, rows, parts=3, most=4096):
     table = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], TURN).repartition(parts)
-    return {r[0]: tuple(r[1:]) for r in cyk.report(cyk.damaged(table)).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").collect()}
+    return {r[0]: tuple(r[1:]) for r in cyk.report(cyk.damaged(table), most).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").collect()}
 
 
 def chat(rng, conv, n):
@@ -126,8 +126,7 @@ def test_every_sequence_of_edits(spark):
     assert reported(spark, rows) == {c: plain_report(plain[c], answer) for c in {r[0] for r in rows}}
 
 
-def test_long_null_repeated_and_clashing(spark, monkeypatch):
-    monkeypatch.setattr(cyk, "SEGMENT_ROWS", 4)
+def test_long_null_repeated_and_clashing(spark):
     rng = np.random.default_rng(2)
     rows = [r for c in range(8) for r in chat(rng, c, 90)]
     rows += chat(rng, None, 20) + chat(rng, 99, 6) * 3 + [(100, None, None, None), (101, 5, "user", "x" * 300_000 + "."), (101, 6, "assistant", "Same.")]
@@ -136,10 +135,10 @@ def test_long_null_repeated_and_clashing(spark, monkeypatch):
     for r in rows:
         plain[r[0]]  # every conversation is there, even if nothing of it is left
     want = {c: plain_report(own, by_rows) for c, own in plain.items()}
-    assert reported(spark, rows) == want and reported(spark, rows, 1) == want
+    assert reported(spark, rows) == want and reported(spark, rows, 1, 4) == want and reported(spark, rows, 4, 7) == want
     whole = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], TURN)
     turns = defaultdict(list)
-    for r in cyk.repaired(cyk.damaged(whole)).collect():
+    for r in cyk.repaired(cyk.damaged(whole), 16).collect():
         turns[r["conv_id"]].append((r["position"], r["role"], r["text"]))
     for c, own in want.items():
         text = "\n".join(f"{r}:{t}" for _, r, t in sorted(turns[c]))
@@ -189,8 +188,7 @@ def test_trie_holds_and_spills():
 
 
 @pytest.mark.parametrize("most", [exact_trie.TRIE_BYTES, 2000])
-def test_copies_against_plain(spark, monkeypatch, most):
-    monkeypatch.setattr(exact_trie, "TRIE_BYTES", most)
+def test_copies_against_plain(spark, most):
     rng = np.random.default_rng(4)
     texts = ["", None, "A", "a", "É", "é", "Straße", "x" * 300_000, "X" * 300_000, "K", "K", "same text", "Same Text", "same text "]
     rows = [(int(i), texts[rng.integers(len(texts))]) for i in rng.permutation(300)] + [(5, "a"), (5, "a"), (None, "a"), (None, "only"), (7, "a"), (None, "only")]
@@ -203,7 +201,7 @@ def test_copies_against_plain(spark, monkeypatch, most):
     for i, t in rows:
         keep = max((x for x in groups[low(t)] if x is not None), default=None)
         want.append((i, keep, len(groups[low(t)]), i == keep, hashlib.sha256(low(t).encode()).hexdigest()))
-    assert sorted(map(tuple, exact_trie.membership(table).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, exact_trie.membership(table, most).collect()), key=repr) == sorted(want, key=repr)
     assert exact_trie.membership(table.where("false")).count() == 0
 
 
