@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barweave.functions.slices import numbered
 from barweave.functions.windows import BY, over, percentiles, trailing
 
 # Cuts that are not fitted.
@@ -84,13 +85,20 @@ def shock_regime(changes: DataFrame, bars: int = 4, by: Sequence[str] = BY) -> D
     return changes.withColumn("regime", F.when(any_shock == 1, "SHOCK_ACTIVE").when(before == 1, "POST_SHOCK").otherwise("NORMAL"))
 
 
-def chrono_split(df: DataFrame, frac: float = 0.3, by: Sequence[str] = BY, name: str = "part") -> DataFrame:
-    """dev for each series' first floor(n * (1 - frac)) rows, hold for the rest."""
+def chrono_split(df: DataFrame, frac: float = 0.3, by: Sequence[str] = BY, name: str = "part", rows: int | None = None) -> DataFrame:
+    """dev for each series' first floor(n * (1 - frac)) rows, hold for the rest; ``rows`` numbers a series in slices of about so many."""
+    if rows is not None:
+        at = numbered(df, rows, by)
+        return at.withColumn(name, F.when(F.col("_at") < F.floor(F.col("_n") * (1 - frac) + 1e-9), "dev").otherwise("hold")).select(*df.columns, name)
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     return df.withColumn("_rn", F.row_number().over(over(by))).withColumn(name, F.when(F.col("_rn") <= F.floor(n * (1 - frac) + 1e-9), "dev").otherwise("hold")).drop("_rn")
 
 
-def three_way(df: DataFrame, first: float = 0.55, second: float = 0.80, by: Sequence[str] = BY, name: str = "part") -> DataFrame:
+def three_way(df: DataFrame, first: float = 0.55, second: float = 0.80, by: Sequence[str] = BY, name: str = "part", rows: int | None = None) -> DataFrame:
+    if rows is not None:
+        at = numbered(df, rows, by)
+        share = lambda x: F.col("_at") < F.floor(F.col("_n") * x + 1e-9)
+        return at.withColumn(name, F.when(share(first), "train").when(share(second), "validate").otherwise("test")).select(*df.columns, name)
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     rn = F.row_number().over(over(by))
     return df.withColumn(name, F.when(rn <= F.floor(n * first + 1e-9), "train").when(rn <= F.floor(n * second + 1e-9), "validate").otherwise("test"))

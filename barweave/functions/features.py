@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barweave.functions.slices import run_lengths
 from barweave.functions.windows import BY, div, over, rolling, so_far, trailing
 
 # Named sets of features.
@@ -51,8 +52,13 @@ def diff(df: DataFrame, col: str, by: Sequence[str] = BY, name: str | None = Non
     return df.withColumn(name or f"{col}_chg", F.col(col) - F.lag(col).over(over(by)))
 
 
-def _run(df: DataFrame, sign: Column, name: str, by: Sequence[str]) -> DataFrame:
-    """Signed length of the run of equal signs that ends here; 0 where the sign is 0 or null."""
+def _run(df: DataFrame, sign: Column, name: str, by: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Signed length of the run of equal signs that ends here; 0 where the sign is 0 or null.
+
+    ``rows`` cuts each series into slices of about so many rows, for series too long for one task.
+    """
+    if rows is not None:
+        return run_lengths(df, sign, name, rows, by)
     w = over(by)
     marked = df.withColumn("_sign", F.coalesce(sign.cast("int"), F.lit(0)))
     change = F.when(F.col("_sign") == F.lag("_sign").over(w), 0).otherwise(1)
@@ -61,13 +67,15 @@ def _run(df: DataFrame, sign: Column, name: str, by: Sequence[str]) -> DataFrame
     return islands.withColumn(name, F.col("_sign") * length).drop("_sign", "_change", "_island")
 
 
-def streak_signed(df: DataFrame, ret: str = "return_1h", by: Sequence[str] = BY, name: str = "streak_signed") -> DataFrame:
+def streak_signed(df: DataFrame, ret: str = "return_1h", by: Sequence[str] = BY, name: str = "streak_signed", rows: int | None = None) -> DataFrame:
     """Run length with the current bar; flat or missing returns are 0 and end a run."""
-    return _run(df, F.signum(ret), name, by)
+    return _run(df, F.signum(ret), name, by, rows)
 
 
-def streak_before(df: DataFrame, ret: str = "return_1h", by: Sequence[str] = BY, name: str = "streak") -> DataFrame:
-    """Run length up to the bar before."""
+def streak_before(df: DataFrame, ret: str = "return_1h", by: Sequence[str] = BY, name: str = "streak", rows: int | None = None) -> DataFrame:
+    """Run length up to the bar before; ``rows`` as in ``_run``."""
+    if rows is not None:
+        return run_lengths(df, F.signum(ret), name, rows, by, shifted=True)
     inner = _run(df, F.signum(ret), "_inclusive", by)
     return inner.withColumn(name, F.coalesce(F.lag("_inclusive").over(over(by)), F.lit(0))).drop("_inclusive")
 
@@ -78,9 +86,9 @@ def streak_session(df: DataFrame, ret: str = "return_1h", by: Sequence[str] = BY
     return _run(prior, F.col("_prior"), name, [*by, "_day"]).drop("_prior", "_day")
 
 
-def streak_big(df: DataFrame, k: float = 1.0, ret: str = "return_1h", vol: str = "volatility", by: Sequence[str] = BY, name: str = "streak_big") -> DataFrame:
+def streak_big(df: DataFrame, k: float = 1.0, ret: str = "return_1h", vol: str = "volatility", by: Sequence[str] = BY, name: str = "streak_big", rows: int | None = None) -> DataFrame:
     """Run length of returns over k times the volatility; any smaller one ends the run."""
-    return _run(df, F.when(F.abs(ret) > k * F.col(vol), F.signum(ret)).otherwise(0), name, by)
+    return _run(df, F.when(F.abs(ret) > k * F.col(vol), F.signum(ret)).otherwise(0), name, by, rows)
 
 
 def _flag(condition: Column) -> Column:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructType
 
+from barweave.functions.slices import ROWS, through_chunks
 from barweave.functions.windows import BY, over, so_far
+from barweave.operators.chains import Holding, Trading, trade_end
 from barweave.operators.resample import asof_join
+from barweave.sources.stored import stored
 
 BARS_PER_YEAR = {"5m": 105_120, "15m": 35_040, "30m": 17_520, "1h": 8_760, "4h": 2_190, "8h": 1_095, "1d": 365, "1w": 52}
 MIN_HOLDS = (1, 2, 3, 4, 6, 8, 12, 24, 48)
@@ -63,95 +64,39 @@ def return_stats(df: DataFrame, bars_per_year: float, by: Sequence[str] = BY, re
     return out.withColumns({"total": F.col("_e") - 1, "annual": annual, "sharpe": sharpe}).drop("_e", "_m", "_s")
 
 
-def _hold(target: np.ndarray, n: int) -> np.ndarray:
-    """Positions that change only from 0 or after n bars; jumps from change to change."""
-    out = np.empty(len(target))
-    at, cur, size = 0, 0.0, len(target)
-    while at < size:
-        differs = np.flatnonzero(target[at:] != cur)
-        if not len(differs):
-            out[at:] = cur
-            break
-        change = at + int(differs[0])
-        out[at:change] = cur
-        cur = target[change]
-        if cur == 0:
-            out[change] = 0.0
-            at = change + 1
-            continue
-        stop = min(size, change + n)
-        out[change:stop] = cur
-        at = stop
-    return out
-
-
-def _per_series(df: DataFrame, by: Sequence[str], added: dict[str, str], walk: Callable[[pa.Table], list[pa.Array]]) -> DataFrame:
-    """The rows of each series in order of ts, all their columns as they are, with columns that ``walk`` makes."""
-    schema = StructType(list(df.schema.fields))
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.take(pa.array(np.argsort(rows.column("ts").to_numpy(), kind="stable")))
-        for name, values in zip(added, walk(rows), strict=True):
-            rows = rows.append_column(name, values)
-        return rows
-
-    return df.groupBy(*by).applyInArrow(run, schema)
-
-
-def _numbers(rows: pa.Table, name: str) -> np.ndarray:
-    return np.nan_to_num(rows.column(name).to_numpy().astype(float))
-
-
-def min_hold(df: DataFrame, n: int | str, by: Sequence[str] = BY, target: str = "target") -> DataFrame:
+def min_hold(df: DataFrame, n: int | str, by: Sequence[str] = BY, target: str = "target", rows: int = ROWS) -> DataFrame:
     """Adds pos: the target, but a position stays ``n`` bars at least (a number, or a column constant per group).
 
-    Each group's order matters, so a group is one task's. Rows with equal ts keep their order and stay as many.
+    Missing targets are 0. A series is worked in chunks of ``rows`` bars by as many tasks. Rows with equal ts stay as
+    many and are taken in order of their targets. ``df`` is written once, as it is read several times.
     """
-
-    def walk(rows: pa.Table) -> list[pa.Array]:
-        held = n if isinstance(n, int) else int(rows.column(n)[0].as_py())
-        return [pa.array(_hold(_numbers(rows, target), held), pa.float64())]
-
-    return _per_series(df, by, {"pos": "double"}, walk)
+    size = F.lit(n) if isinstance(n, int) else F.col(n)
+    return through_chunks(stored(df, "targets"), Holding(), {"target": F.col(target), "n": size}, {"pos": "double"}, rows, by)
 
 
 def thesis_trades(signal: np.ndarray, ret: np.ndarray, tp: float, sl: float, max_hold: int, least: int, cooldown: int, on_flip: bool) -> list[tuple[int, int, float, str | None]]:
-    """Trades (first bar, last bar, direction, why it ends; None at the end of the series).
+    """Trades (first bar, last bar, direction, why it ends; None at the end of the series) of one short series.
 
-    A trade starts where the signal stands (or changes, with ``on_flip``) and no other is open or cooling down. It ends
-    at the first bar after it where the running gain has reached ``tp`` or ``-sl`` or the signal is opposite, each from
-    ``least`` bars on, or that is its ``max_hold``-th bar; that bar is found in the running sums of the bars ahead.
+    A trade starts where the signal stands (or changes, with ``on_flip``) and no other is open or cooling down, and ends
+    as ``trade_end`` says.
     """
     starts = np.flatnonzero((signal != 0) & ((signal != np.concatenate([[0.0], signal[:-1]])) | (not on_flip)))
     trades, free = [], 0
     while (k := int(np.searchsorted(starts, free))) < len(starts):
         i = int(starts[k])
-        side, ahead = signal[i], slice(i, i + max(2, max_hold))
-        gain, bars = np.cumsum(side * ret[ahead]), np.arange(1, len(ret[ahead]) + 1)
-        ripe = (bars >= least) & (bars > 1)
-        reasons = {"tp": ripe & (gain >= tp), "sl": ripe & (gain <= -sl), "timeout": (bars >= max_hold) & (bars > 1), "invalidate": ripe & (signal[ahead] != 0) & (signal[ahead] != side)}
-        ends = np.flatnonzero(np.any(list(reasons.values()), axis=0))
-        if not len(ends):
-            trades.append((i, len(signal) - 1, side, None))
-            break
-        last = int(ends[0])
-        trades.append((i, i + last, side, next(name for name, at in reasons.items() if at[last])))
-        free = i + last + 1 + cooldown
+        last, why = trade_end(signal, ret, i, tp, sl, max_hold, least)
+        trades.append((i, last, signal[i], why))
+        free = last + 1 + cooldown
     return trades
 
 
-def thesis_hold(df: DataFrame, tp: float = 0.0030, sl: float = 0.0045, max_hold: int = 48, least: int = 6, cooldown: int = 0, on_flip: bool = False, by: Sequence[str] = BY, signal: str = "sig", ret: str = "fwd") -> DataFrame:
-    """Adds pos and exit_reason (at a trade's last bar): positions that follow a signal until a take-profit, stop, timeout or opposite signal."""
-
-    def walk(rows: pa.Table) -> list[pa.Array]:
-        pos, reason = np.zeros(rows.num_rows), [None] * rows.num_rows
-        for first, last, side, why in thesis_trades(_numbers(rows, signal), _numbers(rows, ret), tp, sl, max_hold, least, cooldown, on_flip):
-            pos[first : last + 1], reason[last] = side, why
-        return [pa.array(pos, pa.float64()), pa.array(reason, pa.string())]
+def thesis_hold(df: DataFrame, tp: float = 0.0030, sl: float = 0.0045, max_hold: int = 48, least: int = 6, cooldown: int = 0, on_flip: bool = False, by: Sequence[str] = BY, signal: str = "sig", ret: str = "fwd", rows: int = ROWS) -> DataFrame:
+    """Adds pos and exit_reason (at a trade's last bar): positions that follow a signal until a take-profit, stop, timeout or opposite signal.
 
-    return _per_series(df, by, {"pos": "double", "exit_reason": "string"}, walk)
+    Missing signals and returns are 0. A series is worked in chunks, and equal times are ordered, as in ``min_hold``.
+    """
+    trading = Trading(tp, sl, max_hold, least, cooldown, on_flip)
+    return through_chunks(stored(df, "signals"), trading, {"signal": F.col(signal), "ret": F.col(ret)}, {"pos": "double", "exit_reason": "string"}, rows, by)
 
 
 def exit_counts(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barweave.functions import slices
 from barweave.functions.windows import BY, over, so_far
 
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -70,13 +71,16 @@ def resample_sum(df: DataFrame, col: str, rule: str, by: Sequence[str] = BY) ->
     return dense_grid(df, rule, by).join(out, [*by, "ts"], "left").withColumn(col, F.coalesce(col, F.lit(0.0)))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ("asset",), on: str = "ts", tolerance: str | None = None, right_on: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ("asset",), on: str = "ts", tolerance: str | None = None, right_on: str | None = None, rows: int | None = None) -> DataFrame:
     """Each left row with the right row of the same key that is latest at or before it.
 
     One union, one shuffle and one sort: no pairs are made. Right columns must have names of their own; ``tolerance``
-    is a rule such as "1h". Of right rows with equal times the largest counts.
+    is a rule such as "1h". Of right rows with equal times the largest counts. ``rows`` cuts a key's rows into slices of
+    about so many, for keys too long for one task.
     """
     at = right_on or on
+    if rows is not None:
+        return slices.asof_join(left, right.withColumnRenamed(at, on), by, on, None if tolerance is None else seconds(tolerance), rows)
     extra = [c for c in right.columns if c not in by and c != at]
     r = right.select(*by, F.col(at).alias(on), F.struct(F.col(at).alias("_at"), *extra).alias("_r"), F.lit(0).alias("_tag"))
     rest = [c for c in left.columns if c not in by and c != on]

@@ -162,6 +162,12 @@ def r5(spark, sf):
     return R.asof_join(B.bars(spark, sf).select("asset", "ts", "close"), B.funding_like(spark, sf), tolerance="4h")
 
 
+@query("r5_asof_slices", "asset ts:i close:d funding_rate:d", "SELECT b.asset, b.t AS ts, b.close, CASE WHEN b.t - f.t <= 14400 THEN f.funding_rate END AS funding_rate FROM bars_1h AS b ASOF LEFT JOIN funding AS f ON b.asset = f.asset AND b.t >= f.t")
+def r5s(spark, sf):
+    """The same with each asset in slices of 40 rows, each a task's."""
+    return R.asof_join(B.bars(spark, sf).select("asset", "ts", "close"), B.funding_like(spark, sf), tolerance="4h", rows=40)
+
+
 @query("r6_available_at", "asset ts:i day_close:d", "SELECT b.asset, b.t AS ts, d.close AS day_close FROM bars_1h AS b ASOF LEFT JOIN (SELECT asset, t // 86400 * 86400 + 86400 AS av, last(close ORDER BY t) AS close FROM bars_1h GROUP BY ALL) AS d ON b.asset = d.asset AND b.t >= d.av")
 def r6(spark, sf):
     b = B.bars(spark, sf)
@@ -242,6 +248,13 @@ def f7(spark, sf):
     return pool_streak(spark, sf)
 
 
+@query("f7_f10_streak_slices", _F + "streak_signed:i streak_big:i streak:i", "SELECT *, t AS ts FROM pool")
+def f7s(spark, sf):
+    """Runs over slices of 30 rows."""
+    rows = pool(spark, sf).drop("streak_signed", "streak_big")
+    return X.streak_before(X.streak_big(X.streak_signed(rows, rows=30), rows=30), rows=30)
+
+
 @query("f9_session_streak", _F + "streak:i", "SELECT asset, t AS ts, CAST(s * row_number() OVER (PARTITION BY asset, d, isl ORDER BY t) AS BIGINT) AS streak FROM (SELECT *, sum(ch) OVER (PARTITION BY asset, d ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY asset, d ORDER BY t) THEN 0 ELSE 1 END AS ch FROM (SELECT asset, t, t // 86400 AS d, coalesce(sign(lag(return_1h) OVER (PARTITION BY asset ORDER BY t)), 0) AS s FROM pool) AS a) AS b) AS c")
 def f9(spark, sf):
     return X.streak_session(pool(spark, sf))
@@ -423,6 +436,11 @@ def p14(spark, sf):
     return P.three_way(P.chrono_split(B.bars(spark, sf), name="two"), name="three")
 
 
+@query("p14_split_slices", _F + "two three", "SELECT asset, t AS ts, CASE WHEN r <= floor(n * 0.7 + 1e-9) THEN 'dev' ELSE 'hold' END AS two, CASE WHEN r <= floor(n * 0.55 + 1e-9) THEN 'train' WHEN r <= floor(n * 0.8 + 1e-9) THEN 'validate' ELSE 'test' END AS three FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS r, count(*) OVER (PARTITION BY asset) AS n FROM bars_1h) AS x")
+def p14s(spark, sf):
+    return P.three_way(P.chrono_split(B.bars(spark, sf), name="two", rows=50), name="three", rows=50)
+
+
 def folds_sql(src: str, n_folds: int = 5, initial: float = 0.4, keys: str = "asset") -> str:
     return f"""SELECT * FROM (SELECT *, CASE WHEN r < st + fold * sp THEN 'train' WHEN r < CASE WHEN fold = {n_folds - 1} THEN n ELSE st + (fold + 1) * sp END THEN 'test' END AS role FROM (SELECT *, greatest(1, floor((n - st) / {n_folds})) AS sp, unnest(range({n_folds})) AS fold FROM
         (SELECT *, floor(n * {initial} + 1e-9) AS st FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY {keys}) AS n FROM {src}) AS a) AS b) AS c) AS d WHERE role IS NOT NULL"""

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barweave.functions import features as X
-from barweave.operators import positions as H, resample as R
 from barweave.plans import bindings as B
 from barweave.plans.catalogue import pool_streak
 from barweave.plans.registry import cte, query
+from barweave.sources.stored import shared_folder
 from barweave.streaming import live as L, stream as ST
 
 SLICES = 4
 DAY = 86400
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="barweave-")
-    return f"{folder.rstrip('/')}/live-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
 
 
 def _sliced(spark: SparkSession, sf: str, rows: DataFrame, late: Column) -> DataFrame:
@@ -71,7 +65,7 @@ cte("tick_in_time", in_time("tick_feed", "tick_marks", "floor(f.s / 3600) * 3600
 @query("w1_live_bars", "asset ts:i open:d high:d low:d close:d volume:d", f"SELECT asset, CAST(floor(s / 3600) * 3600 AS BIGINT) AS ts, min_by(price, (s, seq)) AS open, max(price) AS high, min(price) AS low, max_by(price, (s, seq)) AS close, sum(qty) AS volume FROM tick_in_time GROUP BY asset, floor(s / 3600) HAVING floor(s / 3600) * 3600 + 3600 <= (SELECT mark FROM tick_marks WHERE slice = {SLICES - 1})")
 def w1_live(spark, sf):
     """Bars of a stream that is an hour behind: those that the watermark has closed."""
-    return L.replay({"ticks": tick_feed(spark, sf)}, SLICES, lambda ticks: ST.stream_bars(ticks, "1h", delay="1 hour"), shared_folder(spark))
+    return L.replay({"ticks": tick_feed(spark, sf)}, SLICES, lambda ticks: ST.stream_bars(ticks, "1h", delay="1 hour"), _folder(spark))
 
 
 def _sessions_sql(gap: int) -> str:
@@ -91,7 +85,7 @@ def _sessions_sql(gap: int) -> str:
 @query("w6_live_sessions", "asset session_start:i session_end:i n:i", _sessions_sql(1800))
 def w6_live(spark, sf):
     """Sessions of a stream, each told once, when the watermark has passed its end."""
-    return L.replay({"ticks": tick_feed(spark, sf)}, SLICES, lambda ticks: ST.feed_sessions(ticks, "30 minutes", delay="1 hour"), shared_folder(spark))
+    return L.replay({"ticks": tick_feed(spark, sf)}, SLICES, lambda ticks: ST.feed_sessions(ticks, "30 minutes", delay="1 hour"), _folder(spark))
 
 
 # ---- W2, W3, W4: signals of hourly bars; each comes twice, some copies days later
@@ -127,7 +121,7 @@ cte("signal_in_time", in_time("signal_feed", "signal_marks", "f.t"))
 @query("w2_live_log", "asset ts:i direction:i close:d", "SELECT DISTINCT asset, t AS ts, direction, close FROM signal_in_time")
 def w2_live(spark, sf):
     """The log of a stream that repeats itself: one row for each asset and bar."""
-    return L.replay({"signals": signal_feed(spark, sf, True)}, SLICES, lambda signals: ST.log_signals(signals, delay="90 minutes"), shared_folder(spark))
+    return L.replay({"signals": signal_feed(spark, sf, True)}, SLICES, lambda signals: ST.log_signals(signals, delay="90 minutes"), _folder(spark))
 
 
 cte("pair_marks", mark_sql([("signal_once", "t"), ("bar_feed", "t")], 5400))
@@ -139,10 +133,10 @@ _LAST = f"(SELECT mark FROM pair_marks WHERE slice = {SLICES - 1})"
 @query("w3_live_scores", "asset ts:i direction:i forward_return_pct:d outcome", f"SELECT asset, t AS ts, direction, f AS forward_return_pct, CASE WHEN sign(f) = direction THEN 'hit' WHEN f IS NOT NULL THEN 'miss' END AS outcome FROM (SELECT s.asset, s.t, s.direction, 100 * (b.close / s.close - 1) AS f, b.t AS bt FROM pair_signals AS s LEFT JOIN pair_bars AS b ON b.asset = s.asset AND b.t = s.t + 3600) AS x WHERE bt IS NOT NULL OR t + 3600 < {_LAST}")
 def w3_live(spark, sf):
     """Signals and bars as two streams; a signal is scored when its next bar comes, or given up when that can't come in time."""
-    return L.replay({"signals": signal_feed(spark, sf, False), "bars": bar_feed(spark, sf)}, SLICES, lambda signals, bars: L.live_scores(signals, bars), shared_folder(spark))
+    return L.replay({"signals": signal_feed(spark, sf, False), "bars": bar_feed(spark, sf)}, SLICES, lambda signals, bars: L.live_scores(signals, bars), _folder(spark))
 
 
 @query("w4_live_cycles", "asset ts:i direction:i exit_price:d pnl:d outcome", f"SELECT *, t AS ts, CASE WHEN pnl > 0 THEN 'profit' WHEN pnl IS NOT NULL THEN 'loss' END AS outcome FROM (SELECT s.asset, s.t, s.direction, max(b.close) FILTER (b.t = s.t + 10800) AS exit_price, CASE WHEN count(ret) = 3 THEN (max(1 + s.direction * ret) FILTER (b.t = s.t + 3600) - 0.0005) * max(1 + s.direction * ret) FILTER (b.t = s.t + 7200) * max(1 + s.direction * ret) FILTER (b.t = s.t + 10800) * (1 - 0.0005) - 1 END AS pnl FROM pair_signals AS s JOIN pair_bars AS b ON b.asset = s.asset AND b.t > s.t AND b.t <= s.t + 10800 GROUP BY s.asset, s.t, s.direction) AS x WHERE t + 10800 < {_LAST}")
 def w4_live(spark, sf):
     """Hold cycles of three bars, told when the watermark has passed their last."""
-    return L.replay({"signals": signal_feed(spark, sf, False), "bars": bar_feed(spark, sf)}, SLICES, lambda signals, bars: L.live_cycles(signals, bars, 3), shared_folder(spark))
+    return L.replay({"signals": signal_feed(spark, sf, False), "bars": bar_feed(spark, sf)}, SLICES, lambda signals, bars: L.live_cycles(signals, bars, 3), _folder(spark))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -12,6 +11,7 @@ from barweave.operators import positions as H, resample as R, streaks as Q, stud
 from barweave.plans import bindings as B, workloads as W
 from barweave.plans.catalogue import bars_sql, daily_pool, pool_streak, roll
 from barweave.plans.registry import cte, query
+from barweave.sources.stored import shared_folder
 from barweave.streaming import stream as ST
 
 A = ["asset"]
@@ -406,6 +406,12 @@ def a6(spark, sf):
     return H.min_hold(targets(spark, sf), 6)
 
 
+@query("a6_min_hold_chunks", "asset ts:i pos:d", _T + "held_six")
+def a6c(spark, sf):
+    """The same with each asset in chunks of 50 bars, each a task's."""
+    return H.min_hold(targets(spark, sf), 6, rows=50)
+
+
 _THESIS = """WITH RECURSIVE numbered AS (SELECT asset, t, fwd, target AS sig, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM pos_rows), walk AS (SELECT DISTINCT asset, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS pos, NULL::VARCHAR AS why, 0.0::DOUBLE AS cur, 0 AS held, 0.0::DOUBLE AS gain, 0 AS rest FROM numbered
     UNION ALL SELECT asset, t, rn, pos, why, CASE WHEN why IS NULL THEN pos ELSE 0 END, held, gain, CASE WHEN why IS NULL THEN rest ELSE 2 END FROM (SELECT *, CASE WHEN stay AND held >= 2 AND gain >= 0.003 THEN 'tp' WHEN stay AND held >= 2 AND gain <= -0.0045 THEN 'sl' WHEN stay AND held >= 12 THEN 'timeout' WHEN stay AND held >= 2 AND sig <> 0 AND sig <> pos THEN 'invalidate' END AS why
     FROM (SELECT n.*, w.cur <> 0 AS stay, CASE WHEN w.cur <> 0 THEN w.cur WHEN w.rest > 0 THEN 0 ELSE n.sig END AS pos, CASE WHEN w.cur <> 0 THEN w.held + 1 WHEN w.rest > 0 THEN 0 ELSE CAST(n.sig <> 0 AS INT) END AS held, CASE WHEN w.cur <> 0 THEN w.gain + w.cur * n.fwd WHEN w.rest > 0 THEN 0 ELSE n.sig * n.fwd END AS gain, CASE WHEN w.cur = 0 AND w.rest > 0 THEN w.rest - 1 ELSE 0 END AS rest FROM walk AS w JOIN numbered AS n ON n.asset = w.asset AND n.rn = w.rn + 1) AS x) AS y) SELECT * FROM walk WHERE rn > 0"""
@@ -417,6 +423,11 @@ def a7(spark, sf):
     return H.thesis_hold(targets(spark, sf), max_hold=12, least=2, cooldown=2)
 
 
+@query("a7_thesis_hold_chunks", "asset ts:i pos:d exit_reason", "SELECT *, t AS ts, why AS exit_reason FROM thesis")
+def a7c(spark, sf):
+    return H.thesis_hold(targets(spark, sf), max_hold=12, least=2, cooldown=2, rows=50)
+
+
 @query("a8_grid", "asset hold:i fee_bps:d move:d len:i total:d n_changes:i active:i viable:b rank:i")
 def a8(spark, sf):
     return H.grid_returns(targets(spark, sf), (1, 6), (1.0, 5.0), (0.0, 0.005), (0, 3))
@@ -487,11 +498,7 @@ def _stream(spark: SparkSession, sf: str, job, mode: str = "append") -> DataFram
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(path if _is_folder(spark, path) else f"{sf}/{file.stem}*.parquet")
     ticks = raw.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), (1000 + F.col("value")).alias("price"), F.lit(1).alias("qty"), F.col("event_id").alias("seq"), "user_id")
     name = f"s{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="barweave-")
+    folder = shared_folder(spark)
     return ST.run_available(job(ticks), f"{folder}/{name}-out", f"{folder}/{name}-log", mode)
 
 

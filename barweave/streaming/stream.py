@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barweave.operators.chains import Holding
 from barweave.operators.positions import hold_cycle_pnl
 from barweave.operators.resample import seconds
 
@@ -52,37 +54,32 @@ def score_hold_cycles(signals: DataFrame, bars: DataFrame, n: int = 6, fee_bps:
     return hold_cycle_pnl(signals, bars, n, fee_bps).where("pnl is not null")
 
 
-def _step(pos: float, held: int, want: float, n: int) -> tuple[float, int]:
-    if want == pos:
-        return pos, held + (pos != 0)
-    if pos == 0 or held >= n:
-        return want, int(want != 0)
-    return pos, held + 1
-
-
 def live_min_hold(targets: DataFrame, n: int, by: str = "asset") -> DataFrame:
     """A stream of targets (by, ts, target) to positions with a minimum hold; a bar that came before is ignored.
 
-    The state per key is the position, its age and the last bar's time in microseconds. Rows of a batch are taken in order of time.
+    The state per key is the position, the bars that it must still stay and the last bar's time in microseconds. Rows of
+    a batch are taken in order of time, two columns of a key's rows at once; the trigger's size bounds them. Missing
+    targets are 0; of rows with one time the first counts.
     """
+    machine = Holding()
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pos, held, last = state.get if state.exists else (0.0, 0, -1)
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        out = []
-        for ts, want in zip(rows["ts"], rows["target"].fillna(0.0), strict=True):
-            stamp = pd.Timestamp(ts).value // 1000  # .value is in nanoseconds; Spark's times are in microseconds
-            if stamp <= last:
-                continue
-            old = pos
-            pos, held = _step(pos, held, float(want), n)
-            last = stamp
-            out.append((key[0], ts, pos, pos != old))
-        state.update((pos, held, last))
-        yield pd.DataFrame(out, columns=[by, "ts", "pos", "traded"])
+        pos, stay, last = state.get if state.exists else (0.0, 0, -1)
+        parts = [(f["ts"].to_numpy("datetime64[us]").astype(np.int64), f["target"].fillna(0.0).to_numpy(float)) for f in frames]
+        at, want = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, first = np.unique(at, return_index=True)
+        at, want = at[at > last], want[first][at > last]
+        if len(at):
+            values = {"target": want, "n": np.full(len(want), float(n))}
+            _, (held,) = machine.walk(values, 0, len(want), (pos, stay))
+            moved = held != np.concatenate([[pos], held[:-1]])
+            pos, stay = machine.step((pos, stay), np.array(machine.table(values, 0, len(want))), len(want))
+            last = int(at[-1])
+            yield pd.DataFrame({by: key[0], "ts": at.astype("datetime64[us]"), "pos": held, "traded": moved})
+        state.update((pos, int(stay), last))
 
     kind = dict(targets.dtypes)[by]
-    return targets.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, ts timestamp, pos double, traded boolean", "pos double, held int, last long", "append", GroupStateTimeout.NoTimeout)
+    return targets.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, ts timestamp, pos double, traded boolean", "pos double, stay int, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def feed_sessions(ticks: DataFrame, gap: str = "1 hour", by: Sequence[str] = ("asset",), delay: str = "10 minutes") -> DataFrame:

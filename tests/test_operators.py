@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from barweave.functions import discretize as P, features as X
 from barweave.functions.windows import chunked
+from barweave.functions import slices as L
 from barweave.operators import mining as M, positions as H, resample as R, tests_of_chance as T
+from barweave.operators.chains import Holding, Trading
 from barweave.sources import io as S
 from barweave.streaming import stream as ST
 
@@ -88,22 +90,60 @@ def naive_hold(target, n):
     return pos
 
 
-@pytest.mark.parametrize("n", [1, 2, 5])
-def test_min_hold_like_a_plain_loop(n):
+def in_pieces(machine, values, cuts):
+    """What the machine says of a series cut into pieces, each worked by itself but for its start state."""
+    size = len(next(iter(values.values())))
+    state, parts = list(machine.start), []
+    for a, b in zip([0, *cuts], [*cuts, size]):
+        near = slice(max(0, a - machine.before), min(size, b + machine.after))
+        have, first = {k: v[near] for k, v in values.items()}, a - near.start
+        if b > a:
+            at, made = machine.walk(have, first, b - a, state)
+            parts.append((at + near.start, made))
+            state = list(machine.step(state, np.array(machine.table(have, first, b - a), dtype=float), b - a))
+    at = np.concatenate([x for x, _ in parts])
+    assert list(at) == list(range(size))  # each bar once
+    return [list(np.concatenate([np.asarray(made[i], dtype=object) for _, made in parts])) for i in range(len(parts[0][1]))]
+
+
+def cuts_of(rng, size):
+    return sorted(rng.randrange(size + 1) for _ in range(rng.choice([0, 1, 3, size])))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 70])
+def test_min_hold_in_pieces_like_a_plain_loop(n):
     rng = random.Random(n)
     for _ in range(200):
-        target = [float(rng.choice([-1, 0, 1, 1])) for _ in range(rng.randrange(40))]
-        assert list(H._hold(np.array(target), n)) == naive_hold(target, n)
+        target = [float(rng.choice([-1, 0, 1, 1, 0.5])) for _ in range(rng.randrange(1, 60))]
+        values = {"target": np.array(target), "n": np.full(len(target), float(n))}
+        assert in_pieces(Holding(), values, cuts_of(rng, len(target)))[0] == naive_hold(target, n)
 
 
-def test_live_step_is_the_same_machine():
-    rng = random.Random(3)
-    target = [float(rng.choice([-1, 0, 1])) for _ in range(300)]
-    pos, held, out = 0.0, 0, []
-    for want in target:
-        pos, held = ST._step(pos, held, want, 4)
-        out.append(pos)
-    assert out == naive_hold(target, 4)
+def test_one_series_in_64_pieces():
+    rng = np.random.default_rng(6)
+    target = np.repeat(rng.choice([-1.0, 0.0, 1.0], 4000), rng.integers(1, 9, 4000))
+    ret = rng.normal(0, 0.002, len(target))
+    cuts = [len(target) * k // 64 for k in range(1, 64)]
+    assert in_pieces(Holding(), {"target": target, "n": np.full(len(target), 12.0)}, cuts)[0] == naive_hold(list(target), 12)
+    for on_flip in (True, False):
+        pos = in_pieces(Trading(0.003, 0.0045, 48, 6, 3, on_flip), {"signal": target, "ret": ret}, cuts)
+        assert pos == told(H.thesis_trades(target, ret, 0.003, 0.0045, 48, 6, 3, on_flip), len(target))
+
+
+def told(trades, size):
+    pos, reason = [0.0] * size, [None] * size
+    for first, last, side, why in trades:
+        pos[first : last + 1], reason[last] = [side] * (last + 1 - first), why
+    return [pos, reason]
+
+
+def test_trades_in_pieces():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randrange(1, 40)
+        signal, ret = np.array([float(rng.choice([-1, 0, 1, 1])) for _ in range(n)]), np.array([rng.choice([-2, -1, 0, 1, 2]) / 64 for _ in range(n)])
+        rest = rng.choice([3, 5]) / 64, rng.choice([3, 5]) / 64, rng.randrange(1, 9), rng.randrange(0, 5), rng.randrange(0, 3), rng.random() < 0.5
+        assert in_pieces(Trading(*rest), {"signal": signal, "ret": ret}, cuts_of(rng, n)) == told(H.thesis_trades(signal, ret, *rest), n)
 
 
 def bar_by_bar(signal, ret, tp, sl, most, least, cooldown, on_flip):
@@ -140,6 +180,55 @@ def test_repeated_stamps_stay_as_many(spark):
     assert len(out) == 3 and {r["note"] for r in out} == {"x", "y", None}
 
 
+def long_rows(spark, n, seed):
+    """Two series, one of them long, one under a null key, with repeated and null times."""
+    rng = random.Random(seed)
+    data = [("a" if rng.random() < 0.8 else None, T0 + timedelta(minutes=rng.randrange(n)) if rng.random() > 0.01 else None, rng.choice([-1.0, 0.0, 1.0, 1.0, None]), i, "x") for i in range(n)]
+    return spark.createDataFrame(data, "asset string, ts timestamp, target double, id long, _n string").repartition(3)
+
+
+def test_numbers_over_slices(spark):
+    df = long_rows(spark, 400, 1).drop("_n")
+    got = {r["id"]: (r["_at"], r["_n"]) for r in L.numbered(df, 30, ["asset"], ["id"]).collect()}
+    rows = sorted(df.collect(), key=lambda r: (r["asset"] is not None, r["ts"] is not None, r["ts"] or T0, r["id"]))
+    for asset in ("a", None):
+        own = [r["id"] for r in rows if r["asset"] == asset]
+        assert [got[i] for i in own] == [(k, len(own)) for k in range(len(own))]
+    assert L.numbered(df, 30, ["asset"]).select("_key", "_slice").distinct().count() > 10
+    assert L.numbered(df.where("false"), 30, ["asset"]).count() == 0
+
+
+def test_chunks_of_null_keys_and_repeated_times(spark):
+    df = long_rows(spark, 400, 2)
+    got = H.min_hold(df, 4, ["asset"], rows=25).collect()
+    assert sorted(r["id"] for r in got) == list(range(400))
+    for asset in ("a", None):
+        own = sorted((r for r in got if r["asset"] == asset), key=lambda r: (r["ts"] is not None, r["ts"] or T0, r["target"] or 0.0))
+        want = naive_hold([r["target"] or 0.0 for r in own], 4)
+        # rows of one time and target can't be told apart: they have the same positions in some order
+        groups = {}
+        for r, pos in zip(own, want):
+            groups.setdefault((r["ts"], r["target"] or 0.0), []).append((r["pos"], pos))
+        assert all(sorted(a for a, _ in g) == sorted(b for _, b in g) for g in groups.values())
+    assert H.min_hold(df.where("false"), 4, ["asset"], rows=25).count() == 0
+
+
+@pytest.mark.parametrize("rows", [3, 50, 10_000])
+def test_slices_like_whole_series(spark, rows):
+    rng = random.Random(rows)
+    data = [(a, T0 + timedelta(minutes=i + (500 if i > 200 else 0)), rng.choice([-1.0, 1.0, 1.0, 0.0, None]) if i < 100 or i > 180 else 1.0) for a in ("a", "b") for i in range(rng.randrange(250, 300))]
+    df = spark.createDataFrame(data, "asset string, ts timestamp, return_1h double").repartition(3)
+    whole = X.streak_before(X.streak_signed(df, by=["asset"]), by=["asset"])
+    cut = X.streak_before(X.streak_signed(df, by=["asset"], rows=rows), by=["asset"], rows=rows)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.select(whole.columns).collect()))
+    right = df.where(F.minute("ts") % 7 == 0).select("asset", F.col("ts").alias("at"), F.col("return_1h").alias("v"))
+    for tolerance in (None, "1h"):
+        a, b = (R.asof_join(df, right, tolerance=tolerance, right_on="at", rows=x) for x in (None, rows))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    a, b = (P.three_way(P.chrono_split(df, by=["asset"], rows=x, name="two"), by=["asset"], rows=x) for x in (None, rows))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_drawdown_peak_leaves_out_the_start(spark):
     df = spark.createDataFrame([("a", "1h", T0 + timedelta(hours=i), r) for i, r in enumerate([-0.5, 0.2, -0.5])], "asset string, res string, ts timestamp, net_ret double")
     assert values(H.equity(df), "drawdown") == pytest.approx([0.0, 0.0, -0.5])
