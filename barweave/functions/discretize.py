@@ -14,9 +14,51 @@ from barweave.functions.windows import BY, over, percentiles, trailing
 FIXED_CUTS = {"streak_signed": (-2.0, 2.0), "streak_big": (-2.0, 2.0), **{k: (0.5, 0.5) for k in ("doji", "bullish_engulfing", "bearish_engulfing", "breakout_up", "breakout_down", "bull_flag", "bear_flag", "double_top", "double_bottom", "trend_hh_hl", "trend_lh_ll")}}
 
 
-def fit_thresholds(df: DataFrame, names: Sequence[str], by: Sequence[str] = BY, q: Sequence[float] = (1 / 3, 2 / 3), fixed: dict[str, tuple[float, float]] | None = None, exact: bool = True) -> DataFrame:
-    """(by, atom, lo, hi): quantiles per group, fixed cuts where there are some. One row per group and feature."""
+def exact_quantiles(df: DataFrame, names: Sequence[str], q: Sequence[float], by: Sequence[str] = BY, accuracy: int = 10_000) -> DataFrame:
+    """(by, a column per name): linear-interpolated quantiles, as ``percentile`` gives them, without a group's values in one buffer.
+
+    A mergeable sketch gives each quantile an interval that holds its ranks for sure (the sketch's error and some ranks
+    more on both sides; all values of a group of ``accuracy`` rows or fewer). Rows under the interval are counted, values
+    inside it, 8 of ``accuracy``, are counted by value, and the ranks are looked up in their running sum. Nulls count for nothing; a column without values has null.
+    """
+    key = F.struct(*by).alias("_key") if by else F.struct(F.lit(0).alias("_all")).alias("_key")
+    rows = df.select(key, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(names)])
+    wide = 4.0 / accuracy
+    sides = [min(1.0, max(0.0, x + d)) for x in q for d in (-wide, wide)]
+    cols = [f"_c{i}" for i in range(len(names))]
+    sketch = rows.groupBy("_key").agg(*[F.count(c).alias(f"_n{c}") for c in cols], *[F.percentile_approx(c, sides, accuracy).alias(f"_s{c}") for c in cols])
+    near = rows.join(sketch, "_key")
+    side = lambda c, at, all_: F.when(F.col(f"_n{c}") <= accuracy, F.lit(all_)).otherwise(F.col(f"_s{c}")[at])
+    spots = [(i, k, F.col(c), side(c, 2 * k, float("-inf")), side(c, 2 * k + 1, float("inf"))) for i, c in enumerate(cols) for k in range(len(q))]
+    under = near.groupBy("_key").agg(*[F.sum((x < lo).cast("long")).alias(f"_u{i}_{k}") for i, k, x, lo, _ in spots])
+    spot = lambda i, k, *more: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), *more)
+    inside = F.array_compact(F.array(*[F.when((x >= lo) & (x <= hi), spot(i, k, x.alias("v"))) for i, k, x, lo, hi in spots]))
+    found = near.select("_key", F.explode(inside).alias("s")).groupBy("_key", "s.i", "s.k", "s.v").agg(F.count("*").alias("c"))
+    heads = sketch.join(under, "_key").select("_key", F.explode(F.array(*[spot(i, k, F.col(f"_n_c{i}").alias("n"), F.col(f"_u{i}_{k}").alias("u")) for i, k, *_ in spots])).alias("h")).select("_key", "h.*")
+    found = found.withColumn("upto", F.sum("c").over(Window.partitionBy("_key", "i", "k").orderBy("v"))).join(heads, ["_key", "i", "k"])
+    at = F.element_at(F.array(*[F.lit(float(x)) for x in q]), F.col("k") + 1) * (F.col("n") - 1)
+    reach = F.col("upto") + F.col("u")
+    ranks = found.groupBy("_key", "i", "k").agg(F.max("n").alias("n"), F.max("u").alias("u"), F.max(reach).alias("most"), F.min(F.when(reach > F.floor(at), F.col("v"))).alias("lo"), F.min(F.when(reach > F.ceil(at), F.col("v"))).alias("hi"))
+    sure = (F.col("u") <= F.floor(at)) & (F.col("most") > F.ceil(at))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil(at) - at) * F.col("lo") + (at - F.floor(at)) * F.col("hi"))
+    cuts = ranks.select("_key", "i", "k", F.when(sure, value).otherwise(F.raise_error(F.lit("a quantile lies outside its interval"))).alias("x"))
+    at_spot = lambda i, k: F.max(F.when((F.col("i") == i) & (F.col("k") == k), F.col("x")))
+    filled = cuts.groupBy("_key").agg(*[F.array(*[at_spot(i, k) for k in range(len(q))]).alias(f"_x{i}") for i in range(len(names))])
+    out = sketch.select("_key", *[f"_n{c}" for c in cols]).join(filled, "_key", "left")
+    return out.select(*[F.col("_key")[b].alias(b) for b in by], *[F.when(F.col(f"_n_c{i}") > 0, F.col(f"_x{i}")).alias(c) for i, c in enumerate(names)])
+
+
+def fit_thresholds(df: DataFrame, names: Sequence[str], by: Sequence[str] = BY, q: Sequence[float] = (1 / 3, 2 / 3), fixed: dict[str, tuple[float, float]] | None = None, exact: bool = True, large: bool = False) -> DataFrame:
+    """(by, atom, lo, hi): quantiles per group, fixed cuts where there are some. One row per group and feature.
+
+    ``large``: exact too, but no task holds a group's values (``exact_quantiles``), for groups of many millions.
+    """
     fixed = FIXED_CUTS if fixed is None else fixed
+    if large and exact:
+        fitted = [n for n in names if n not in fixed]
+        wide = exact_quantiles(df, fitted, q, by)
+        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("atom"), (F.array(*[F.lit(x) for x in fixed[n]]) if n in fixed else F.col(n)).alias("cuts")) for n in names]))
+        return wide.select(*by, rows.alias("r")).select(*by, "r.atom", F.col("r.cuts")[0].alias("lo"), F.col("r.cuts")[1].alias("hi"))
     cuts = [F.array(F.lit(fixed[n][0]), F.lit(fixed[n][1])).alias(n) if n in fixed else percentiles(n, q, exact).alias(n) for n in names]
     wide = df.groupBy(*by).agg(F.count("*").alias("_n"), *[c for c, n in zip(cuts, names, strict=True) if n not in fixed])
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("atom"), (c if n in fixed else F.col(n)).alias("cuts")) for n, c in zip(names, cuts, strict=True)]))
@@ -177,9 +219,11 @@ def contrarian_signal(df: DataFrame, min_len: int = 2, name: str = "sig") -> Dat
     return df.withColumn(name, F.when(F.abs("streak") >= min_len, -F.signum("streak")).otherwise(0).cast("int"))
 
 
-def quantile_bins(df: DataFrame, col: str, n: int = 20, by: Sequence[str] = BY, name: str = "bin") -> DataFrame:
-    """The number of distinct inner quantile edges at or under the value."""
-    edges = df.groupBy(*by).agg(F.percentile(col, [i / n for i in range(1, n)]).alias("_edges")).withColumn("_edges", F.array_distinct("_edges"))
+def quantile_bins(df: DataFrame, col: str, n: int = 20, by: Sequence[str] = BY, name: str = "bin", large: bool = False) -> DataFrame:
+    """The number of distinct inner quantile edges at or under the value; ``large`` as in ``fit_thresholds``."""
+    inner = [i / n for i in range(1, n)]
+    edges = exact_quantiles(df, [col], inner, by).withColumnRenamed(col, "_edges") if large else df.groupBy(*by).agg(F.percentile(col, inner).alias("_edges"))
+    edges = edges.withColumn("_edges", F.array_distinct("_edges"))
     return df.join(edges, list(by)).withColumn(name, F.when(F.col(col).isNotNull(), F.size(F.filter("_edges", lambda e: e <= F.col(col))))).drop("_edges")
 
 

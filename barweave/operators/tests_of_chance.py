@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barweave.functions.discretize import quantile_bins
 from barweave.functions.windows import BY
+from barweave.sources.stored import stored
 
 
 def permutation_counts(preds: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -88,21 +89,66 @@ def coin_null(counts: DataFrame, n_draws: int = 2000, seed: int = 0, base: float
     return _draw(counts, by, draws, "rate double, p_value double", seed)
 
 
-def permute_means(df: DataFrame, label: str, value: str, key: str, strata: Sequence[str] = (), n: int = 200, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """Observed gap of means by a 0/1 label and its p under labels shuffled inside strata.
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: np.ndarray) -> np.ndarray:
+    """Draws without replacement; over 10^9 rows by the normal law of the same mean and variance."""
+    total = good + bad
+    if total < 1_000_000_000:
+        return rng.hypergeometric(good, bad, n)
+    share = good / total
+    spread = np.sqrt(np.maximum(0.0, n * share * (1 - share) * (total - n) / (total - 1)))
+    return np.clip(np.rint(rng.normal(n * share, spread)), np.maximum(0, n - bad), np.minimum(good, n)).astype(np.int64)
 
-    A replicate's shuffle ranks rows by a hash of (key, replicate, seed) inside the stratum; the first ones get label 1.
+
+def _dealt(rng: np.random.Generator, counts: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """How many of ``ones`` (one number per draw) fall to each of the counts: a row per count, by one conditional draw each."""
+    out, rest, left = np.empty((len(counts), len(ones)), dtype=np.int64), int(counts.sum()), ones.astype(np.int64)
+    for i, c in enumerate(counts.tolist()):
+        rest -= c
+        out[i] = _hypergeometric(rng, c, rest, left)
+        left = left - out[i]
+    return out
+
+
+def permute_means(df: DataFrame, label: str, value: str, strata: Sequence[str] = (), n: int = 200, seed: int = 0, by: Sequence[str] = (), block: int = 20_000) -> DataFrame:
+    """Observed gap of means by a 0/1 label, its mean under labels shuffled inside strata, and its p (at least as large).
+
+    Rows are counted by value and never shuffled: how often a value gets label 1 in a shuffle is a multivariate
+    hypergeometric draw. A stratum's values are dealt into blocks of about ``block`` by hash; the ones are dealt to the
+    blocks first and then, block by block in as many tasks, to the values. What comes back is ``n`` sums for a block,
+    so the shuffle doesn't grow with the draws but for these. Nulls in label or value count for nothing; without rows of
+    both labels all is null.
     """
     groups = [*by, *strata]
-    rows = df.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(*groups, key, F.col(label).cast("int").alias("l"), F.col(value).alias("v"))
-    ones = rows.withColumn("k", F.sum("l").over(Window.partitionBy(*groups))) if groups else rows.crossJoin(F.broadcast(rows.agg(F.sum("l").alias("k"))))
-    rep = ones.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    place = F.row_number().over(Window.partitionBy(*groups, "rep").orderBy(F.xxhash64(F.col(key).cast("string"), F.col("rep"), F.lit(seed)), key))
-    drawn = rep.withColumn("_p", place).withColumn("_l", F.when(F.col("rep") == 0, F.col("l")).otherwise((F.col("_p") <= F.col("k")).cast("int")))
-    gaps = drawn.groupBy(*by, "rep").agg((F.avg(F.when(F.col("_l") == 1, F.col("v"))) - F.avg(F.when(F.col("_l") == 0, F.col("v")))).alias("g"))
-    seen = gaps.where("rep = 0").select(*by, F.col("g").alias("observed"))
-    joined = gaps.where("rep > 0").join(seen, list(by)) if by else gaps.where("rep > 0").crossJoin(F.broadcast(seen))
-    return joined.groupBy(*by, "observed").agg(F.avg("g").alias("null_mean"), ((1 + F.sum((F.col("g") >= F.col("observed")).cast("int"))) / (1 + F.count("*"))).alias("p_value"))
+    rows = df.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(*groups, F.col(label).cast("int").alias("_l"), F.col(value).cast("double").alias("_v"))
+    rows = rows.withColumn("_by", F.struct(*by, F.lit(0).alias("_0"))).withColumn("_in", F.struct(*groups, F.lit(0).alias("_0")))
+    counts = rows.groupBy("_by", "_in", "_v").agg(F.count("*").alias("c"), F.sum("_l").cast("long").alias("k"))
+    strata_sizes = counts.groupBy("_in").agg(F.count("*").alias("_d"), F.sum("k").alias("_k"))
+    dealt = counts.join(strata_sizes, "_in").withColumn("_block", F.pmod(F.xxhash64("_v"), F.ceil(F.col("_d") / block)))
+    kinds = {c: dealt.schema[c].dataType.simpleString() for c in ("_by", "_in")}
+    blocks = dealt.groupBy("_by", "_in", "_block", "_k").agg(F.sum("c").alias("c"))
+
+    def to_blocks(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_block")
+        rng = _seeded([str(sorted(group["_in"].iloc[0].items()))], seed)
+        got = _dealt(rng, group["c"].to_numpy(), np.full(n, int(group["_k"].iloc[0])))
+        return pd.DataFrame({"_in": group["_in"], "_block": group["_block"], "_ones": list(got)})
+
+    shares = blocks.groupBy("_in").applyInPandas(to_blocks, f"_in {kinds['_in']}, _block long, _ones array<long>")
+
+    def to_values(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_v")
+        first = group.iloc[0]
+        rng = _seeded([str(sorted(first["_in"].items())), first["_block"]], seed + 1)
+        ones, counts, values = np.asarray(first["_ones"]), group["c"].to_numpy(), group["_v"].to_numpy()
+        sums = np.concatenate([values @ _dealt(rng, counts, part) for part in np.array_split(ones, max(1, len(values) * n // 2_000_000))])
+        return pd.DataFrame({"_by": [first["_by"]] * n, "rep": np.arange(1, n + 1), "s": sums})
+
+    sums = dealt.join(shares, ["_in", "_block"]).groupBy("_in", "_block").applyInPandas(to_values, f"_by {kinds['_by']}, rep int, s double").groupBy("_by", "rep").agg(F.sum("s").alias("s"))
+    total = counts.groupBy("_by").agg(F.sum("c").alias("n"), F.sum("k").alias("k"), F.sum(F.col("_v") * F.col("c")).alias("t"), F.sum(F.col("_v") * F.col("k")).alias("s1"))
+    gap = lambda s: F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), s / F.col("k") - (F.col("t") - s) / (F.col("n") - F.col("k")))
+    joined = sums.join(total.withColumn("observed", gap(F.col("s1"))), "_by").withColumn("g", gap(F.col("s")))
+    out = joined.groupBy("_by", "observed").agg(F.avg("g").alias("null_mean"), F.stddev_pop("g").alias("null_std"), ((1 + F.sum((F.col("g") >= F.col("observed") - 1e-12).cast("int"))) / (1 + F.count("*"))).alias("p_value"))
+    return out.select(*[F.col("_by")[b].alias(b) for b in by], "observed", "null_mean", "null_std", F.when(F.col("observed").isNotNull(), F.col("p_value")).alias("p_value"))
 
 
 def adjust_p(df: DataFrame, p: str = "p_value", family: Sequence[str] = ()) -> DataFrame:
@@ -215,28 +261,32 @@ def _mi(cells: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return sums.groupBy(*keys).agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))).alias("mi"))
 
 
-def greedy_subset(df: DataFrame, cols: Sequence[str], target: str = "up", bins: int = 4, most: int = 4) -> list[tuple[str, float]]:
-    """Columns that add most joint information, one at a time, for one series; each candidate of a step is one aggregate."""
-    rows = df.dropna(subset=[*cols, target]).withColumn("_all", F.lit(0))
+def greedy_subset(df: DataFrame, cols: Sequence[str], target: str = "up", bins: int = 4, most: int = 4, by: Sequence[str] = BY) -> DataFrame:
+    """(by, step, col, gain): per series the columns that add most joint information on the target, one at a time.
+
+    A step is one job over all series and candidates: the joint cells of what a series has chosen and each candidate are
+    counted with the series and the candidate as keys. Of candidates equal at 10 decimals the first of ``cols`` is taken.
+    Rows with a null in any column or the target count for nothing.
+    """
+    rows = df.dropna(subset=[*cols, target])
     for c in cols:
-        rows = quantile_bins(rows, c, bins, ["_all"], f"_b_{c}")
-    rows = rows.select(F.col(target).alias("y"), *[F.col(f"_b_{c}") for c in cols]).persist()
-    chosen: list[tuple[str, float]] = []
-    before = 0.0
-    try:
-        while len(chosen) < min(most, len(cols)):
-            best = None
-            for c in (c for c in cols if c not in [x for x, _ in chosen]):
-                joint = F.concat_ws(",", *[F.col(f"_b_{x}") for x in [*[x for x, _ in chosen], c]])
-                cells = rows.groupBy(joint.alias("x"), "y").agg(F.count("*").cast("double").alias("c")).withColumn("_k", F.lit(0))
-                mi = _mi(cells, ["_k"], "x").first()["mi"]
-                if best is None or mi > best[1] + 1e-12:
-                    best = (c, mi)
-            chosen.append((best[0], best[1] - before))
-            before = best[1]
-    finally:
-        rows.unpersist()
-    return chosen
+        rows = quantile_bins(rows, c, bins, by, f"_b_{c}")
+    rows = stored(rows.select(F.struct(*by).alias("_key"), F.col(target).alias("y"), F.array(*[F.col(f"_b_{c}") for c in cols]).alias("bins")), "bins")
+    order = F.array(*[F.lit(c) for c in cols])
+    chosen = stored(rows.select("_key").distinct().select("_key", F.array().cast("array<int>").alias("have"), F.lit(0.0).alias("mi")), "chosen")
+    out = None
+    for step in range(1, min(most, len(cols)) + 1):
+        open_ = F.filter(F.array(*[F.lit(i) for i in range(len(cols))]), lambda i: ~F.array_contains("have", i))
+        tried = rows.join(chosen.select("_key", "have"), "_key").withColumn("cand", F.explode(open_))
+        joint = F.transform(F.concat("have", F.array("cand")), lambda i: F.element_at("bins", i + 1))
+        cells = tried.groupBy("_key", "cand", joint.alias("x"), "y").agg(F.count("*").cast("double").alias("c"))
+        scored = _mi(cells, ["_key", "cand"], "x")
+        best = scored.groupBy("_key").agg(F.max_by(F.struct("cand", "mi"), F.struct(F.round("mi", 10), -F.col("cand"))).alias("b"))
+        new = best.join(chosen.withColumnRenamed("mi", "before"), "_key").select("_key", F.concat("have", F.array("b.cand")).alias("have"), F.col("b.mi").alias("mi"), (F.col("b.mi") - F.col("before")).alias("gain"))
+        chosen = stored(new, "chosen")
+        row = chosen.select(*[F.col("_key")[b].alias(b) for b in by], F.lit(step).alias("step"), F.element_at(order, F.element_at("have", -1) + 1).alias("col"), "gain")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def hit_se(hit: Column, n: Column) -> Column:

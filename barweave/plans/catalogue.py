@@ -366,6 +366,12 @@ def p1(spark, sf):
     return P.fit_thresholds(P.chrono_split(known(spark, sf), 0.3).where("part = 'dev'"), [*_THREE, "streak_signed"])
 
 
+@query("p1_thresholds_large", "asset atom lo:d hi:d", " UNION ALL ".join(f"SELECT asset, '{n}' AS atom, {n}_lo AS lo, {n}_hi AS hi FROM cuts" for n in _THREE) + " UNION ALL SELECT asset, 'streak_signed', -2, 2 FROM cuts")
+def p1l(spark, sf):
+    """By sketched intervals and exact counts inside them."""
+    return P.fit_thresholds(P.chrono_split(known(spark, sf), 0.3).where("part = 'dev'"), [*_THREE, "streak_signed"], large=True)
+
+
 @query("p2_p14_discretize", _F + "part return_1h volume_zscore trend_slope", "SELECT *, t AS ts FROM states")
 def p2(spark, sf):
     return states(spark, sf)
@@ -431,6 +437,11 @@ def p13(spark, sf):
     return P.quantile_bins(pool(spark, sf), "close_pos", 5).where("bin is not null")
 
 
+@query("p13_quantile_bins_large", _F + "bin:i", "SELECT asset, t AS ts, len(list_filter(list_distinct(e), lambda x: x <= close_pos)) AS bin FROM pool JOIN (SELECT asset, [" + ", ".join(f"quantile_cont(close_pos, {i} / 5.0)" for i in range(1, 5)) + "] AS e FROM pool GROUP BY asset) AS q USING (asset) WHERE close_pos IS NOT NULL")
+def p13l(spark, sf):
+    return P.quantile_bins(pool(spark, sf), "close_pos", 5, large=True).where("bin is not null")
+
+
 @query("p14_splits", _F + "two three", "SELECT asset, t AS ts, CASE WHEN r <= floor(n * 0.7 + 1e-9) THEN 'dev' ELSE 'hold' END AS two, CASE WHEN r <= floor(n * 0.55 + 1e-9) THEN 'train' WHEN r <= floor(n * 0.8 + 1e-9) THEN 'validate' ELSE 'test' END AS three FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS r, count(*) OVER (PARTITION BY asset) AS n FROM bars_1h) AS x")
 def p14(spark, sf):
     return P.three_way(P.chrono_split(B.bars(spark, sf), name="two"), name="three")

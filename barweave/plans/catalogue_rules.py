@@ -318,8 +318,8 @@ def t2(spark, sf):
 
 @query("t4_permute_means", "asset observed:d", "SELECT asset, avg(abs(fwd)) FILTER (volume_zscore > 1) - avg(abs(fwd)) FILTER (volume_zscore <= 1) AS observed FROM pool WHERE fwd IS NOT NULL AND volume_zscore IS NOT NULL GROUP BY asset")
 def t4(spark, sf):
-    rows = pool(spark, sf).where("fwd is not null and volume_zscore is not null").withColumns({"spike": (F.col("volume_zscore") > 1).cast("int"), "size": F.abs("fwd"), "id": F.unix_seconds("ts")})
-    return T.permute_means(rows, "spike", "size", "id", n=20, by=A)
+    rows = pool(spark, sf).where("fwd is not null and volume_zscore is not null").withColumns({"spike": (F.col("volume_zscore") > 1).cast("int"), "size": F.abs("fwd")})
+    return T.permute_means(rows, "spike", "size", n=200, by=A)
 
 
 @query("t5_feasibility", "asset real_lift:d consistency:d null_lift:d p_value:d")
@@ -375,11 +375,20 @@ def t11(spark, sf):
     return T.mutual_information(X.material_direction(pool(spark, sf)), ["close_pos"], "up", 5)
 
 
-@query("t11_greedy_subset", "step:i col gain:d")
+_THREE_COLS = ("return_1h", "trend_slope", "close_pos")
+cte("known_up", "SELECT *, CAST(fwd > 0 AS INT) AS up FROM known WHERE fwd IS NOT NULL AND return_1h IS NOT NULL AND trend_slope IS NOT NULL AND close_pos IS NOT NULL")
+cte("greedy_edges", "SELECT asset, " + ", ".join(f"list_distinct([{', '.join(f'quantile_cont({c}, {i} / 4.0)' for i in range(1, 4))}]) AS e{k}" for k, c in enumerate(_THREE_COLS)) + " FROM known_up GROUP BY asset")
+cte("greedy_bins", "SELECT asset, up AS y, " + ", ".join(f"len(list_filter(e{k}, lambda x: x <= {c})) AS b{k}" for k, c in enumerate(_THREE_COLS)) + " FROM known_up JOIN greedy_edges USING (asset)")
+for _step in range(1, 4):
+    _had = "SELECT DISTINCT asset, CAST([] AS BIGINT[]) AS have, 0.0 AS mi FROM greedy_bins" if _step == 1 else f"SELECT asset, have, mi FROM greedy_{_step - 1}"
+    _cells = f"SELECT asset, have, before, cand, y, list_transform(list_append(have, cand), lambda i: [b0, b1, b2][i + 1]) AS x, count(*)::DOUBLE AS c FROM (SELECT g.*, h.have, h.mi AS before, unnest(list_filter([0, 1, 2], lambda i: NOT list_contains(h.have, i))) AS cand FROM greedy_bins AS g JOIN ({_had}) AS h USING (asset)) AS t GROUP BY ALL"
+    _scores = f"SELECT asset, have, before, cand, sum(c / n * ln(c * n / (cx * cy))) AS mi FROM (SELECT *, sum(c) OVER (PARTITION BY asset, cand) AS n, sum(c) OVER (PARTITION BY asset, cand, x) AS cx, sum(c) OVER (PARTITION BY asset, cand, y) AS cy FROM ({_cells}) AS u) AS v GROUP BY ALL"
+    cte(f"greedy_{_step}", f"SELECT asset, list_append(have, cand) AS have, mi, mi - before AS gain, {_step} AS step, list_extract(['return_1h', 'trend_slope', 'close_pos'], cand + 1) AS col FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(mi, 10) DESC, cand) AS r FROM ({_scores}) AS w) AS z WHERE r = 1")
+
+
+@query("t11_greedy_subset", "asset step:i col gain:d", " UNION ALL ".join(f"SELECT asset, step, col, gain FROM greedy_{s}" for s in range(1, 4)))
 def t11g(spark, sf):
-    rows = X.material_direction(known(spark, sf).where("asset = 'click'"))
-    picked = T.greedy_subset(rows, ["return_1h", "trend_slope", "close_pos"], "up", 4, 3)
-    return spark.createDataFrame([(i, c, g) for i, (c, g) in enumerate(picked, 1)], "step int, col string, gain double")
+    return T.greedy_subset(X.material_direction(known(spark, sf)), _THREE_COLS, "up", 4, 3)
 
 
 @query("t12_hit_se_gap", "asset se:d gap_pp:d", "SELECT asset, sqrt(h * (1 - h) / n) AS se, 100 * (h - d) AS gap_pp FROM (SELECT asset, n, hits / n AS h FROM (" + _COUNTS + ") AS c) AS x JOIN (SELECT asset, avg(hit) AS d FROM dev_samples GROUP BY asset) AS y USING (asset)")

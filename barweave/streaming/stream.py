@@ -92,13 +92,15 @@ def feed_sessions(ticks: DataFrame, gap: str = "1 hour", by: Sequence[str] = ("a
 def ledger_report(ledger: DataFrame, recent: int = 30, target_n: int = 100, target_hit: float = 0.55) -> DataFrame:
     """Logged, scored, pending, hit rate and that of the last ones, over all and by asset and by source.
 
-    ``ledger``: asset, source, ts, outcome (hit, miss or null).
+    ``ledger``: asset, source, ts, outcome (hit, miss or null). Counts are merged from partial ones, and every task keeps
+    the ``recent`` last rows of a slice only (the window's limit is applied before its shuffle).
     """
     slices = F.explode(F.array(F.lit("all"), F.concat(F.lit("asset="), "asset"), F.concat(F.lit("source="), "source")))
     rows = ledger.withColumn("slice", slices).withColumn("_hit", F.when(F.col("outcome") == "hit", 1).when(F.col("outcome") == "miss", 0))
-    order = Window.partitionBy("slice", F.col("_hit").isNotNull()).orderBy(F.desc("ts"), "asset", "source")
-    ranked = rows.withColumn("_r", F.row_number().over(order))
-    out = ranked.groupBy("slice").agg(F.count("*").alias("logged"), F.count("_hit").alias("scored"), F.avg("_hit").alias("hit"), F.avg(F.when(F.col("_r") <= recent, F.col("_hit"))).alias("recent_hit"))
+    out = rows.groupBy("slice").agg(F.count("*").alias("logged"), F.count("_hit").alias("scored"), F.avg("_hit").alias("hit"))
+    order = Window.partitionBy("slice").orderBy(F.desc("ts"), "asset", "source")
+    last = rows.where("_hit is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= recent)
+    out = out.join(last.groupBy("slice").agg(F.avg("_hit").alias("recent_hit")), "slice", "left")
     return out.withColumn("pending", F.col("logged") - F.col("scored")).withColumn("validated", F.coalesce((F.col("scored") >= target_n) & (F.col("hit") >= target_hit), F.lit(False)))
 
 

@@ -229,6 +229,40 @@ def test_slices_like_whole_series(spark, rows):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_quantiles_by_selection(spark, accuracy):
+    rng = random.Random(accuracy)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([rng.random(), 0.5, 0.25, None]), float(rng.randrange(3)), "x") for _ in range(6000)] + [("one", 2.0, None, "x"), ("two", -1.0, 1.0, "x"), ("two", 4.0, 2.0, "x")]
+    df = spark.createDataFrame(data, "asset string, u double, v double, i string").repartition(4)
+    q = [0.0, 1 / 3, 0.5, 0.99, 1.0]
+    want = df.groupBy("asset").agg(F.percentile("u", q).alias("u"), F.percentile("v", q).alias("v"))
+    got = P.exact_quantiles(df, ["u", "v"], q, ["asset"], accuracy)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert P.exact_quantiles(df.where("false"), ["u"], q, ["asset"]).count() == 0
+
+
+def test_shuffled_labels_have_the_exact_mean_and_deviation(spark):
+    rng = random.Random(7)
+    data = [(rng.choice("ab"), s, int(rng.random() < 0.2 + 0.3 * s), round(rng.gauss(s, 1), 1), "x") for s in (rng.randrange(2) for _ in range(3000))]
+    df = spark.createDataFrame(data, "asset string, s int, l int, v double, c string").repartition(3)
+    for block in (10, 20_000):
+        for r in T.permute_means(df, "l", "v", ["s"], n=400, by=["asset"], block=block).collect():
+            own = [x for x in data if x[0] == r["asset"]]
+            k, n = sum(x[2] for x in own), len(own)
+            mean = var = 0.0
+            for s in (0, 1):
+                v, ones = np.array([x[3] for x in own if x[1] == s]), sum(x[2] for x in own if x[1] == s)
+                mean += ones * v.mean()
+                var += ones * v.var(ddof=1) * (1 - ones / len(v))
+            total = sum(x[3] for x in own)
+            exact, spread = mean / k - (total - mean) / (n - k), var**0.5 * (1 / k + 1 / (n - k))
+            assert abs(r["null_mean"] - exact) < 4 * spread / 400**0.5 and 0.85 < r["null_std"] / spread < 1.15
+            assert r["observed"] == pytest.approx(np.mean([x[3] for x in own if x[2]]) - np.mean([x[3] for x in own if not x[2]]))
+    none = T.permute_means(df.where("l = 1"), "l", "v", ["s"], n=5, by=["asset"]).collect()
+    assert len(none) == 2 and all(r["observed"] is None and r["p_value"] is None for r in none)
+    assert T.permute_means(df.where("false"), "l", "v", n=5).count() == 0
+
+
 def test_drawdown_peak_leaves_out_the_start(spark):
     df = spark.createDataFrame([("a", "1h", T0 + timedelta(hours=i), r) for i, r in enumerate([-0.5, 0.2, -0.5])], "asset string, res string, ts timestamp, net_ret double")
     assert values(H.equity(df), "drawdown") == pytest.approx([0.0, 0.0, -0.5])
