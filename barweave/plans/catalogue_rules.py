@@ -163,6 +163,25 @@ def m11(spark, sf):
     return W.walk_forward(rows3(spark, sf), CFG)["fold_metrics"]
 
 
+_SPOTS = "(SELECT DISTINCT asset, fold, t, fwd FROM wf_te WHERE fwd IS NOT NULL) AS x"
+cte("wm_fail", "SELECT asset, fold, event, confidence, direction, coalesce(sum(CASE WHEN oos_hit <= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY asset, event ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failures FROM wf_r LEFT JOIN wf_h USING (asset, fold, event)")
+cte("wm_r", "SELECT * FROM wm_fail WHERE failures < 1")
+cte("wm_side", side_sql("wf_te", "wm_r", "asset, fold"))
+cte("wm_seen", f"SELECT asset, fold, t, raw_prob, {_BIN} AS bin, CAST(pred = CAST(fwd > 0 AS INT) AS INT) AS hit FROM wm_side JOIN {_SPOTS} USING (asset, fold, t)")
+cte("wm_bins", "SELECT s.asset, f.fold, s.bin, sum(hit) AS hits, count(*) AS total FROM wm_seen AS s JOIN (SELECT unnest(range(5)) AS fold) AS f ON f.fold > s.fold GROUP BY ALL")
+
+
+@query("m11_walk_memory", "asset fold:i blocked:i n:i hit:d raw:d calibrated:d", "SELECT * FROM (SELECT asset, fold, count(*) AS n, avg(hit) AS hit, avg(raw_prob) AS raw, avg(CASE WHEN total > 0 THEN (hits + 1) / (total + 2) ELSE raw_prob END) AS calibrated FROM wm_seen LEFT JOIN wm_bins USING (asset, fold, bin) GROUP BY asset, fold) AS p JOIN (SELECT asset, fold, count(*) FILTER (failures >= 1) AS blocked FROM wm_fail GROUP BY asset, fold) AS b USING (asset, fold)")
+def m11m(spark, sf):
+    """Folds that teach the later ones: an event that failed once is blocked, and probabilities are calibrated on earlier folds."""
+    rows = rows3(spark, sf)
+    parts = W.walk_forward(rows, CFG, max_failures=1)
+    hit = (F.col("pred") == (F.col("fwd") > 0).cast("int")).cast("int")
+    seen = parts["calibrated"].join(rows.where("fwd is not null").select("asset", "res", "ts", "fwd"), ["asset", "res", "ts"])
+    out = seen.groupBy("asset", "fold").agg(F.count("*").alias("n"), F.avg(hit).alias("hit"), F.avg("raw_prob").alias("raw"), F.avg("calibrated_prob").alias("calibrated"))
+    return out.join(parts["failures"].groupBy("asset", "fold").agg(F.sum((F.col("failures") >= 1).cast("int")).alias("blocked")), ["asset", "fold"])
+
+
 @query("m12_stable_rules", "asset event direction:i avg_confidence:d", "SELECT * FROM wf_ok")
 def m12(spark, sf):
     return M.select_stable(W.walk_forward(rows3(spark, sf), CFG)["stability"])
@@ -266,7 +285,7 @@ def m22(spark, sf):
     return W.progressive_learning(rows3(spark, sf), CFG, 6)
 
 
-@query("m23_sweep", "asset config rank:i validate_n:i validate_hit:d validate_skill:d test_n:i test_hit:d test_skill:d")
+@query("m23_sweep", "asset config rank:i validate_n:i validate_hit:d validate_skill:d test_n:i test_hit:d test_skill:d test_p:d")
 def m23(spark, sf):
     base = pool(spark, sf)
     lean = replace(CFG, atoms=("close_pos", "range_pct", "streak_signed"))

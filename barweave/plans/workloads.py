@@ -15,6 +15,7 @@ from barweave.operators.positions import align_panel
 from barweave.operators.resample import resample_last
 from barweave.operators.streaks import conviction_tier
 from barweave.operators.tests_of_chance import permutation_counts, permutation_p
+from barweave.sources.stored import stored
 
 
 @dataclass(frozen=True)
@@ -52,35 +53,75 @@ def _mine(states: DataFrame, cfg: Config, by: Sequence[str]) -> DataFrame:
     return mining.mine_rules(states, cfg.atoms, cfg.sizes, cfg.half_life_h, cfg.min_support, cfg.min_conf, by)
 
 
-def walk_forward(rows: DataFrame, cfg: Config) -> dict[str, DataFrame]:
-    """All folds at once, the fold as a key: rules, fold_metrics, stability and out-of-sample predictions."""
+def walk_forward(rows: DataFrame, cfg: Config, blocked: DataFrame | None = None, positive: DataFrame | None = None, bins: DataFrame | None = None, regimes: DataFrame | None = None, max_failures: int | None = None) -> dict[str, DataFrame]:
+    """All folds at once, the fold as a key: rules, out-of-sample predictions and hits, fold_metrics, stability, calibrated, by_regime.
+
+    Memory goes in as tables: ``blocked`` events (series, event) make no rules, a ``positive`` rule (series, event,
+    avg_oos_hit) weighs by its remembered hit rate, ``bins`` (series, bin, hits, total) calibrate. With ``max_failures``
+    the folds teach the later ones: a rule whose side was right in half of a fold's bars or fewer has failed there, and
+    after so many failures its event is blocked; and a fold's probabilities are calibrated on the hits of the folds
+    before it (and ``bins``). Both depend on earlier folds by sums over them only, so they are windows over the fold.
+    ``regimes`` (series, ts, regime) adds hit rates by regime. Folds, states and rules are written once.
+    """
     by = [*cfg.by, "fold"]
-    folds = assign_folds(rows, cfg.n_folds, cfg.initial, cfg.by)
-    train = folds.where("role = 'train'")
-    states = _states(folds, train, cfg, by)
+    folds = stored(assign_folds(rows, cfg.n_folds, cfg.initial, cfg.by), "folds")
+    states = stored(_states(folds, folds.where("role = 'train'"), cfg, by), "states")
     rules = _mine(states.where("role = 'train'"), cfg, by)
+    if blocked is not None:
+        rules = rules.join(blocked.select(*cfg.by, "event").distinct(), [*cfg.by, "event"], "left_anti")
+    rules = stored(rules, "rules")
     test = states.where("role = 'test'")
     events = build_events(test, cfg.atoms, cfg.sizes, [*by, "ts"])
-    preds = mining.predict_votes(events, rules, by)
     truth = test.select(*by, "ts", "fwd", "return_6h")
-    hits = mining.oos_rule_hits(events, rules, truth, cfg.min_oos, by)
-    return {"rules": rules, "predictions": preds, "fold_metrics": mining.evaluate(preds, truth, by), "hits": hits, "stability": mining.stability_table(rules, hits, cfg.n_folds, cfg.by)}
+    hits = stored(mining.oos_rule_hits(events, rules, truth, cfg.min_oos, by), "hits")
+    out = {"hits": hits, "stability": mining.stability_table(rules, hits, cfg.n_folds, cfg.by)}
+    if max_failures is not None:
+        before = Window.partitionBy(*cfg.by, "event").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+        failed = rules.join(hits.select(*by, "event", "oos_hit"), [*by, "event"], "left").withColumn("failures", F.coalesce(F.sum((F.col("oos_hit") <= 0.5).cast("int")).over(before), F.lit(0)))
+        out["failures"] = failed.select(*by, "event", "failures")
+        rules = stored(failed.where(F.col("failures") < max_failures).drop("oos_hit", "failures"), "rules")
+    preds = mining.predict_votes(events, rules, by)
+    memory = None if positive is None else rules.select(*by, "event").join(positive.select(*cfg.by, "event", "avg_oos_hit"), [*cfg.by, "event"])
+    raw = mining.predict_calibrated(events, rules, memory, None, by)
+    if max_failures is not None:
+        seen = raw.join(truth.where("fwd is not null"), [*by, "ts"]).withColumn("hit", (F.col("pred") == (F.col("fwd") > 0).cast("int")).cast("int"))
+        each = mining.calibration_table(seen, by).select(*by, "bin", "hits", "total")
+        later = each.where(F.col("fold") < cfg.n_folds - 1).withColumn("fold", F.explode(F.sequence(F.col("fold") + 1, F.lit(cfg.n_folds - 1))))
+        if bins is not None:
+            later = later.unionByName(bins.select(*cfg.by, "bin", "hits", "total").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_folds - 1)))))
+        bins = later.groupBy(*by, "bin").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
+    calibrated = raw if bins is None else mining.calibrate(raw.drop("calibrated_prob"), bins, by)
+    out |= {"rules": rules, "predictions": preds, "fold_metrics": mining.evaluate(preds, truth, by), "calibrated": calibrated}
+    if regimes is not None:
+        out["by_regime"] = mining.evaluate_by_regime(calibrated.drop("fold"), truth.drop("fold"), regimes, cfg.by)
+    return out
 
 
-def holdout_test(rows: DataFrame, cfg: Config, n_draws: int = 300, seed: int = 0, p_values: bool = True) -> DataFrame:
-    """Rules that are stable on the dev part, frozen and scored on the rest: n_rules, n, hits, hit, lift and the null's p."""
-    split = chrono_split(rows, cfg.holdout, cfg.by)
+def _holdout(rows: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dev part's stable rules, the held-out states' events, and the held-out moves; each written once."""
+    split = stored(chrono_split(rows, cfg.holdout, cfg.by), "split")
     dev = split.where("part = 'dev'").drop("part")
     stable = mining.select_stable(walk_forward(dev, cfg)["stability"], cfg.min_folds, cfg.min_consistency)
-    frozen = stable.select(*cfg.by, "event", "direction", F.col("avg_confidence").alias("confidence"))
-    states = _states(split.where("part = 'hold'"), dev, cfg, cfg.by)
-    preds = mining.predict_votes(build_events(states, cfg.atoms, cfg.sizes, [*cfg.by, "ts"]), frozen, cfg.by)
+    frozen = stored(stable.select(*cfg.by, "event", "direction", F.col("avg_confidence").alias("confidence")), "frozen")
+    states = stored(_states(split.where("part = 'hold'"), dev, cfg, cfg.by), "held")
     truth = states.where("fwd is not null" if cfg.threshold <= 0 else f"abs(fwd) > {cfg.threshold}").select(*cfg.by, "ts", (F.col("fwd") > 0).cast("int").alias("up"))
-    counts = permutation_counts(truth.join(preds, [*cfg.by, "ts"]), cfg.by)
-    base = truth.groupBy(*cfg.by).agg(F.count("*").alias("n_hold"))
-    rules = frozen.groupBy(*cfg.by).agg(F.count("*").alias("n_rules"))
-    out = base.join(rules, list(cfg.by), "left").join(counts, list(cfg.by), "left").select(*cfg.by, "n_hold", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), F.coalesce("n", F.lit(0)).alias("n"), "hits")
+    return frozen, build_events(states, cfg.atoms, cfg.sizes, [*cfg.by, "ts"]), truth
+
+
+def _held_out(frozen: DataFrame, events: DataFrame, truth: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """n_hold, n_rules, n, hits, coverage, hit and lift of frozen rules, and the counts behind them."""
+    by = list(by)
+    counts = stored(permutation_counts(truth.join(mining.predict_votes(events, frozen, by), [*by, "ts"]), by), "counts")
+    base = truth.groupBy(*by).agg(F.count("*").alias("n_hold"))
+    rules = frozen.groupBy(*by).agg(F.count("*").alias("n_rules"))
+    out = base.join(rules, by, "left").join(counts, by, "left").select(*by, "n_hold", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), F.coalesce("n", F.lit(0)).alias("n"), "hits")
     out = out.withColumns({"coverage": F.col("n") / F.col("n_hold"), "hit": F.when(F.col("n") > 0, F.col("hits") / F.col("n"))}).withColumn("lift", F.col("hit") - 0.5)
+    return out, counts
+
+
+def holdout_test(rows: DataFrame, cfg: Config, n_draws: int = 300, seed: int = 0, p_values: bool = True) -> DataFrame:
+    """Rules that are stable on the dev part, frozen and scored on the rest: n_rules, n, hits, hit, lift and the null's p."""
+    out, counts = _held_out(*_holdout(rows, cfg), cfg.by)
     return out.join(permutation_p(counts, n_draws, seed, cfg.by).select(*cfg.by, "null_mean", "null_std", "p_value"), list(cfg.by), "left") if p_values else out
 
 
@@ -134,41 +175,61 @@ def progressive_learning(rows: DataFrame, cfg: Config, checkpoints: int = 15, se
     return out.withColumn("third", third)
 
 
-def sweep(frames: dict[str, tuple[DataFrame, Config]]) -> DataFrame:
-    """Configurations side by side: trained on the first 55 %, ranked by validation skill, with the winner's test score.
+def sweep(frames: dict[str, tuple[DataFrame, Config]], n_draws: int = 300, seed: int = 0) -> DataFrame:
+    """Configurations side by side: trained on the first 55 %, ranked by validation skill; the winner alone is scored on the test part, once, with its p.
 
-    ``frames``: name to (rows, Config); each row set may have its own features, horizon and resolution.
+    ``frames``: name to (rows, Config); each row set may have its own features, horizon and resolution. What a
+    configuration leaves is four counts for each part and series, written once; ranks, skills and the winner's
+    permutation test come from these.
     """
-    out = None
+    parts = None
     for name, (rows, cfg) in frames.items():
-        split = three_way(rows, by=cfg.by)
+        split = stored(three_way(rows, by=cfg.by), "split")
         train = split.where("part = 'train'")
-        states = _states(split, train, cfg, cfg.by)
+        states = stored(_states(split, train, cfg, cfg.by), "states")
         rules = _mine(states.where("part = 'train'"), cfg, cfg.by)
         later = states.where("part <> 'train' and fwd is not null")
         if cfg.threshold > 0:
             later = later.where(F.abs("fwd") > cfg.threshold)
         preds = mining.predict_votes(build_events(later, cfg.atoms, cfg.sizes, [*cfg.by, "ts"]), rules, cfg.by)
-        scored = later.select(*cfg.by, "ts", "part", "fwd").join(preds.select(*cfg.by, "ts", "pred"), [*cfg.by, "ts"])
-        hit = (F.col("pred") == (F.col("fwd") > 0).cast("int")).cast("int")
-        # skill: the hit rate over that of always saying the commoner side
-        one = scored.groupBy(F.col("asset")).agg(*[x for p in ("validate", "test") for x in (F.sum(F.when(F.col("part") == p, 1).otherwise(0)).alias(f"{p}_n"), F.avg(F.when(F.col("part") == p, hit)).alias(f"{p}_hit"), F.avg(F.when(F.col("part") == p, (F.col("fwd") > 0).cast("int"))).alias(f"_{p}_up"))])
-        one = one.select("asset", F.lit(name).alias("config"), "validate_n", "validate_hit", (F.col("validate_hit") - F.greatest("_validate_up", 1 - F.col("_validate_up"))).alias("validate_skill"), "test_n", "test_hit", (F.col("test_hit") - F.greatest("_test_up", 1 - F.col("_test_up"))).alias("test_skill"))
-        out = one if out is None else out.unionByName(one)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy(F.round("validate_skill", 9).desc_nulls_last(), "config")))
+        scored = later.select(*cfg.by, "ts", "part", (F.col("fwd") > 0).cast("int").alias("up")).join(preds.select(*cfg.by, "ts", "pred"), [*cfg.by, "ts"])
+        one = permutation_counts(scored, ["asset", "part"]).select("asset", F.lit(name).alias("config"), "part", "n", "n_up", "n_pred_up", "hits")
+        parts = one if parts is None else parts.unionByName(one)
+    parts = stored(parts, "sweep")
+    # skill: the hit rate over that of always saying the commoner side
+    hit, up = F.col("hits") / F.col("n"), F.col("n_up") / F.col("n")
+    scores = parts.select("asset", "config", "part", "n", hit.alias("hit"), (hit - F.greatest(up, 1 - up)).alias("skill"))
+    side = lambda p: scores.where(F.col("part") == p).select("asset", "config", *[F.col(c).alias(f"{p}_{c}") for c in ("n", "hit", "skill")])
+    ranked = side("validate").join(side("test"), ["asset", "config"], "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("validate_n", "test_n")})
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy(F.round("validate_skill", 9).desc_nulls_last(), "config")))
     winner = F.col("rank") == 1
-    return ranked.withColumns({c: F.when(winner, F.col(c)) for c in ("test_n", "test_hit", "test_skill")})
+    ranked = ranked.withColumns({c: F.when(winner, F.col(c)) for c in ("test_n", "test_hit", "test_skill")})
+    chosen = parts.where("part = 'test'").join(ranked.where(winner).select("asset", "config"), ["asset", "config"])
+    tested = permutation_p(chosen, n_draws, seed, ["asset", "config"]).select("asset", "config", F.col("null_mean").alias("test_null"), F.col("p_value").alias("test_p"))
+    return ranked.join(tested, ["asset", "config"], "left")
 
 
 def compare_feature_sets(rows: DataFrame, sets: dict[str, Sequence[str]], cfg: Config) -> DataFrame:
-    """The holdout test with several sets of features on the same rows (those where all of them are known)."""
+    """The holdout test with several sets of features on the same rows (those where all of them are known).
+
+    Rows, splits and so states are the same for all sets, and a rule belongs to every set that has its features. So
+    rules are mined and validated once, and the set is a key of the frozen rules and their votes.
+    """
     every = sorted({c for s in sets.values() for c in s})
     same = rows.dropna(subset=every)
-    out = None
-    for name, cols in sets.items():
-        one = holdout_test(same, replace(cfg, atoms=tuple(cols)), p_values=False).withColumn("set", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    whole = replace(cfg, atoms=tuple(every))
+    frozen, events, truth = _holdout(same, whole)
+    named = F.transform(F.split("event", "\\|"), lambda x: F.substring_index(x, "=", 1))
+    fits = F.array_compact(F.array(*[F.when(F.size(F.array_except(named, F.array(*[F.lit(c) for c in cols]))) == 0, F.lit(name)) for name, cols in sets.items()]))
+    by = [*cfg.by, "set"]
+    keyed = frozen.withColumn("set", F.explode(fits))
+    each = F.explode(F.array(*[F.lit(name) for name in sets]))
+    return _held_out(keyed, matched_sets(events, keyed, cfg.by), truth.withColumn("set", each), by)[0]
+
+
+def matched_sets(events: DataFrame, keyed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Events with each set that has a rule for them."""
+    return events.join(keyed.select(*by, "event", "set").distinct(), [*by, "event"])
 
 
 def feasibility(rows: DataFrame, cfg: Config, n: int = 10, segments: int = 4, seed: int = 0) -> DataFrame:
@@ -183,12 +244,12 @@ def feasibility(rows: DataFrame, cfg: Config, n: int = 10, segments: int = 4, se
     order = Window.partitionBy(*by, "rep").orderBy(F.when(F.col("rep") == 0, F.col("_rn")).otherwise(F.xxhash64("_rn", "rep", F.lit(seed))))
     mixed = rep.withColumn("_k", F.row_number().over(order)).join(targets, [*by, "_k"]).withColumnRenamed("_fwd", "fwd")
     size = F.count(F.lit(1)).over(Window.partitionBy(*by, "rep"))
-    mixed = mixed.withColumn("segment", F.floor((F.col("_rn") - 1) * segments / size)).drop("_k", "_rn")
+    mixed = stored(mixed.withColumn("segment", F.floor((F.col("_rn") - 1) * segments / size)).drop("_k", "_rn"), "replicates")
     parts = walk_forward(mixed.drop("segment"), replace(cfg, by=(*by, "rep")))
     scored = parts["predictions"].join(mixed.select(*by, "rep", "ts", "fwd", "segment"), [*by, "rep", "ts"])
     hit = (F.col("pred") == (F.col("fwd") > 0).cast("int")).cast("double")
     lifts = scored.groupBy(*by, "rep", "segment").agg(F.sum(hit).alias("h"), F.count("*").alias("k"))
-    total = lifts.groupBy(*by, "rep").agg((F.sum("h") / F.sum("k") - 0.5).alias("lift"), F.sum((F.col("h") / F.col("k") > 0.5).cast("int")).alias("good"))
+    total = stored(lifts, "lifts").groupBy(*by, "rep").agg((F.sum("h") / F.sum("k") - 0.5).alias("lift"), F.sum((F.col("h") / F.col("k") > 0.5).cast("int")).alias("good"))
     real = total.where("rep = 0").select(*by, F.col("lift").alias("real_lift"), (F.col("good") / segments).alias("consistency"))
     null = total.where("rep > 0").join(real, by).groupBy(*by).agg(F.avg("lift").alias("null_lift"), ((1 + F.sum((F.col("lift") >= F.col("real_lift")).cast("int"))) / (1 + F.count("*"))).alias("p_value"))
     return real.join(null, by, "left")
