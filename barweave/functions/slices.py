@@ -28,7 +28,7 @@ def time_slices(df: DataFrame, rows: int = ROWS, by: Sequence[str] = BY, on: str
 
     Even where a series' rows are evenly spaced, as bars are. A null time is in the first slice; a key may hold nulls.
     """
-    keyed = df.withColumn("_key", F.struct(*by))
+    keyed = df.withColumn("_key", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
     ends = keyed.groupBy("_key").agg(F.min(stamp(df, on)).alias("_a"), F.max(stamp(df, on)).alias("_b"), F.count("*").alias("_n"))
     width = F.greatest(F.lit(1), F.ceil((F.col("_b") - F.col("_a") + 1) / F.ceil(F.col("_n") / rows)))
     spans = ends.select("_key", "_a", width.alias("_width"))
@@ -53,6 +53,16 @@ def numbered(df: DataFrame, rows: int = ROWS, by: Sequence[str] = BY, order: Seq
     return out.withColumn("_at", F.col("_before") + F.col("_i") - 1).drop("_before")
 
 
+def overlapped(df: DataFrame, before: int, after: int, rows: int = ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """Adds _key, _chunk and _home: every row in its own chunk of ``rows`` rows, and in those whose rows look back ``before`` or ahead ``after`` rows to it.
+
+    Windows over (_key, _chunk) are right for the rows of a chunk that are at home there.
+    """
+    at = numbered(df, rows, by)
+    spread = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("_at") - after) / rows)), F.floor((F.col("_at") + before) / rows)))
+    return at.withColumn("_chunk", spread).withColumn("_home", F.floor(F.col("_at") / rows) == F.col("_chunk")).drop("_slice", "_i", "_at", "_n")
+
+
 def run_lengths(df: DataFrame, sign: Column, name: str, rows: int = ROWS, by: Sequence[str] = BY, shifted: bool = False) -> DataFrame:
     """Signed length of the run of equal signs that ends at each row (0 where the sign is 0 or null), over slices; ``shifted``: at the row before it.
 

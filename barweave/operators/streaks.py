@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from barweave.functions.discretize import chrono_split
 from barweave.functions.features import kgram, streak_session
+from barweave.functions.slices import ROWS, overlapped
 from barweave.functions.windows import BY, div
 from barweave.operators.resample import asof_join
 
@@ -207,17 +208,33 @@ def joint_agreement(pair: DataFrame) -> DataFrame:
     return rows.groupBy(F.when(F.col("a_sig") == F.col("b_sig"), "agree").otherwise("disagree").alias("kind")).agg(F.count("*").alias("n"), F.avg((F.signum("a_fwd") == F.col("a_sig")).cast("int")).alias("hit"))
 
 
-def cross_asset_corr(pair: DataFrame, lags: Sequence[int] = range(-3, 4), window: int = 720) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(per lag the correlation of a with b shifted; rolling statistics; same direction and leader hits) of a_ret, b_ret."""
-    w = Window.orderBy("ts")
-    rows = pair.where("a_ret is not null and b_ret is not null")
-    lagged = rows.select("a_ret", *[F.lag("b_ret", k).over(w).alias(f"l{k + 100}") if k >= 0 else F.lead("b_ret", -k).over(w).alias(f"l{k + 100}") for k in lags])
-    wide = lagged.agg(*[x for k in lags for x in (F.corr("a_ret", f"l{k + 100}").alias(f"c{k + 100}"), F.count(f"l{k + 100}").alias(f"n{k + 100}"))])
+def _corr(a: Column | str, b: Column | str, w: WindowSpec | None = None) -> Column:
+    """Pearson's correlation, null where one side doesn't vary."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    over_w = (lambda c: c.over(w)) if w is not None else (lambda c: c)
+    both = a.isNotNull() & b.isNotNull()
+    spread = over_w(F.stddev_pop(F.when(both, a))) * over_w(F.stddev_pop(F.when(both, b)))
+    return div(over_w(F.covar_pop(a, b)), spread)
+
+
+def cross_asset_corr(pair: DataFrame, lags: Sequence[int] = range(-3, 4), window: int = 720, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(per lag the correlation of a with b shifted; rolling statistics; same direction and leader hits) of a_ret, b_ret.
+
+    The pair is one series; it is cut into chunks of ``rows`` rows that overlap by what the lags and windows reach, so no
+    window is over the whole of it.
+    """
+    known = pair.where("a_ret is not null and b_ret is not null").select("ts", "a_ret", "b_ret")
+    w = Window.partitionBy("_key", "_chunk").orderBy("ts")
+    near = overlapped(known, max(0, *lags), max(1, *[-k for k in lags]), rows)
+    b = {k: F.lag("b_ret", k).over(w) if k >= 0 else F.lead("b_ret", -k).over(w) for k in lags}
+    lagged = near.select("_home", "a_ret", *[c.alias(f"l{k + 100}") for k, c in b.items()]).where("_home")
+    wide = lagged.agg(*[x for k in lags for x in (_corr("a_ret", f"l{k + 100}").alias(f"c{k + 100}"), F.count(f"l{k + 100}").alias(f"n{k + 100}"))])
     per_lag = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"c{k + 100}").alias("corr"), F.col(f"n{k + 100}").alias("n")) for k in lags])).alias("r")).select("r.*")
-    full = F.count(F.lit(1)).over(w.rowsBetween(-(window - 1), 0)) == window
-    rolled = rows.select(F.when(full, F.corr("a_ret", "b_ret").over(w.rowsBetween(-(window - 1), 0))).alias("c")).where("c is not null").agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.min("c").alias("min"), F.max("c").alias("max"))
-    nonzero = rows.withColumn("_b1", F.lead("b_ret").over(w))
-    same = nonzero.agg(F.count("*").alias("n"), F.avg((F.signum("a_ret") == F.signum("b_ret")).cast("int")).alias("same_dir"), F.avg(F.when(F.col("_b1").isNotNull() & (F.col("a_ret") != 0), (F.signum("a_ret") == F.signum("_b1")).cast("int"))).alias("lead_hit"))
+    wide_window = w.rowsBetween(-(window - 1), 0)
+    full = F.count(F.lit(1)).over(wide_window) == window
+    rolled = overlapped(known, window - 1, 0, rows).select("_home", F.when(full, _corr("a_ret", "b_ret", wide_window)).alias("c")).where("_home and c is not null").agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.min("c").alias("min"), F.max("c").alias("max"))
+    ahead = near.withColumn("_b1", F.lead("b_ret").over(w)).where("_home")
+    same = ahead.agg(F.count("*").alias("n"), F.avg((F.signum("a_ret") == F.signum("b_ret")).cast("int")).alias("same_dir"), F.avg(F.when(F.col("_b1").isNotNull() & (F.col("a_ret") != 0), (F.signum("a_ret") == F.signum("_b1")).cast("int"))).alias("lead_hit"))
     return per_lag, rolled, same
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barweave.functions import discretize as P, features as X
@@ -10,6 +12,7 @@ from barweave.operators import resample as R
 from barweave.plans import bindings as B
 from barweave.plans.registry import cte, query
 from barweave.sources import io as S
+from barweave.sources.stored import shared_folder, stored
 
 A = ["asset"]
 
@@ -132,6 +135,19 @@ def s8(spark, sf):
     return S.parse_rules(raw)
 
 
+@query("s7_ledger", "asset bar_ts direction source outcome forward_return_pct:d", "SELECT asset, strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS bar_ts, CASE WHEN streak < 0 THEN 'UP' ELSE 'DOWN' END AS direction, CASE WHEN (t // 3600) % 2 = 0 THEN 'even' ELSE 'odd' END AS source, CASE WHEN sign(fwd) = -sign(streak) THEN 'hit' WHEN fwd IS NOT NULL THEN 'miss' END AS outcome, 100 * fwd AS forward_return_pct FROM pool WHERE abs(streak) >= 2")
+def s7(spark, sf):
+    """Scored signals written to a ledger in two appends, one for each source, and read back."""
+    rows = pool_streak(spark, sf).where(F.abs("streak") >= 2)
+    hit = F.signum("fwd") == -F.signum("streak")
+    rows = rows.select("asset", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("bar_ts"), F.when(F.col("streak") < 0, "UP").otherwise("DOWN").alias("direction"), F.when(F.hour("ts") % 2 == 0, "even").otherwise("odd").alias("source"), F.when(hit, "hit").when(F.col("fwd").isNotNull(), "miss").alias("outcome"), (100 * F.col("fwd")).alias("forward_return_pct"))
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    rows = stored(rows, "signals")
+    for source in ("even", "odd"):
+        S.write_ledger(rows.where(F.col("source") == source), path)
+    return S.read_ledger(spark, path)
+
+
 # ---- resampling and alignment
 
 @query("r1_resample", "asset res ts:i open:d high:d low:d close:d volume:d", "SELECT asset, '4h' AS res, t AS ts, open, high, low, close, volume FROM bars_4h")

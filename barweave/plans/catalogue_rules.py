@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from barweave.functions import discretize as P, features as X
 from barweave.operators import mining as M, tests_of_chance as T
 from barweave.plans import bindings as B, workloads as W
-from barweave.plans.catalogue import _THREE, cuts_sql, events_sql, folds_sql, known, pool, states, states_sql
+from barweave.plans.catalogue import _THREE, cuts_sql, events_sql, folds_sql, known, pool, pool_streak, states, states_sql
 from barweave.plans.registry import cte, query
 
 A = ["asset"]
@@ -303,6 +303,18 @@ def m24(spark, sf):
     return W.compare_feature_sets(rows, {"price": _THREE, "news": ("news_tone", "news_tone_chg"), "both": ("return_1h", "news_tone", "news_tone_chg")}, CFG)
 
 
+cte("pool_hold", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS r, count(*) OVER (PARTITION BY asset) AS n_rows FROM pool) AS x WHERE r > floor(n_rows * 0.7 + 1e-9)")
+for _set, _only in (("three", ""), ("lean", " WHERE event NOT LIKE '%volume_zscore%'")):
+    cte(f"why_{_set}", f"SELECT asset, avg(CAST(pred = CAST(fwd > 0 AS INT) AS INT)) AS hit FROM truth_hold JOIN ({votes_sql('ev_hold', f'(SELECT * FROM frozen{_only}) AS z', 'asset')}) AS v USING (asset, t) WHERE fwd IS NOT NULL GROUP BY asset")
+    cte(f"why_rules_{_set}", f"SELECT asset, count(*) AS n FROM frozen{_only} GROUP BY asset")
+_STAYS = "CAST(sign(return_1h) = sign(streak) AS INT)"
+
+
+@query("q21_generalization_why", "asset close_pos_edge:d range_med:d reversion_index:d first_hit:d second_hit:d first_rules:i second_rules:i delta:d wins:b", f"SELECT e.*, r.reversion_index, a.hit AS first_hit, b.hit AS second_hit, coalesce(c.n, 0) AS first_rules, coalesce(d.n, 0) AS second_rules, b.hit - a.hit AS delta, coalesce(b.hit > a.hit, false) AS wins FROM (SELECT asset, avg(CAST(fwd > 0 AS INT)) FILTER (close_pos <= 1.0 / 3) - avg(CAST(fwd > 0 AS INT)) FILTER (close_pos >= 2.0 / 3) AS close_pos_edge, quantile_cont(range_pct, 0.5) AS range_med FROM pool_hold WHERE fwd <> 0 AND close_pos IS NOT NULL GROUP BY asset) AS e LEFT JOIN (SELECT asset, 0.5 - avg({_STAYS}) AS reversion_index FROM pool_hold WHERE abs(streak) BETWEEN 2 AND 7 AND return_1h <> 0 GROUP BY asset) AS r USING (asset) LEFT JOIN why_three AS a USING (asset) LEFT JOIN why_lean AS b USING (asset) LEFT JOIN why_rules_three AS c USING (asset) LEFT JOIN why_rules_lean AS d USING (asset)")
+def q21w(spark, sf):
+    return W.generalization_why(pool_streak(spark, sf), rows3(spark, sf), {"three": _THREE, "lean": ("return_1h", "trend_slope")}, CFG)
+
+
 # ---- tests of chance
 
 _COUNTS = "SELECT asset, count(*) AS n, sum(up) AS n_up, sum(pred) AS n_pred_up, sum(CAST(pred = up AS INT)) AS hits FROM (SELECT v.asset, v.pred, CAST(x.fwd > 0 AS INT) AS up FROM votes AS v JOIN truth AS x USING (asset, t) WHERE x.fwd IS NOT NULL) AS z GROUP BY asset"

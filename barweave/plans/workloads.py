@@ -13,7 +13,7 @@ from barweave.functions.windows import BY, over
 from barweave.operators import mining
 from barweave.operators.positions import align_panel
 from barweave.operators.resample import resample_last
-from barweave.operators.streaks import conviction_tier
+from barweave.operators.streaks import conviction_tier, generalization
 from barweave.operators.tests_of_chance import permutation_counts, permutation_p
 from barweave.sources.stored import stored
 
@@ -232,6 +232,21 @@ def matched_sets(events: DataFrame, keyed: DataFrame, by: Sequence[str]) -> Data
     return events.join(keyed.select(*by, "event", "set").distinct(), [*by, "event"])
 
 
+def generalization_why(features: DataFrame, rows: DataFrame, sets: dict[str, Sequence[str]], cfg: Config) -> DataFrame:
+    """Per series, on its held-out part: the numbers of its mechanism, the hit rates and rules of two feature sets, and the second's lead.
+
+    ``features`` has what ``streaks.generalization`` reads, ``rows`` what the holdout test reads. delta is null where a
+    set has no predictions; wins is false there.
+    """
+    (first, second), by = sets, list(cfg.by)
+    held = chrono_split(features, cfg.holdout, cfg.by).where("part = 'hold'")
+    tested = compare_feature_sets(rows, sets, cfg)
+    of = lambda name, c: F.max(F.when(F.col("set") == name, F.col(c)))
+    scores = tested.groupBy(*by).agg(of(first, "hit").alias("first_hit"), of(second, "hit").alias("second_hit"), of(first, "n_rules").alias("first_rules"), of(second, "n_rules").alias("second_rules"))
+    out = generalization(held, cfg.by).join(scores, by, "left").withColumn("delta", F.col("second_hit") - F.col("first_hit"))
+    return out.withColumn("wins", F.coalesce(F.col("delta") > 0, F.lit(False)))
+
+
 def feasibility(rows: DataFrame, cfg: Config, n: int = 10, segments: int = 4, seed: int = 0) -> DataFrame:
     """Does the mined lift exceed that on shuffled outcomes, and in every segment? The replicate is a key (0: the real order).
 

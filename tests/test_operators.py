@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from barweave.functions import discretize as P, features as X
 from barweave.functions.windows import chunked
 from barweave.functions import slices as L
-from barweave.operators import mining as M, positions as H, resample as R, tests_of_chance as T
+from barweave.operators import mining as M, positions as H, resample as R, streaks as Q, tests_of_chance as T
 from barweave.operators.chains import Holding, Trading
+from barweave.plans import workloads as W
 from barweave.sources import io as S
 from barweave.streaming import stream as ST
 
@@ -263,6 +264,52 @@ def test_shuffled_labels_have_the_exact_mean_and_deviation(spark):
     assert T.permute_means(df.where("false"), "l", "v", n=5).count() == 0
 
 
+def test_pair_in_chunks(spark):
+    rng = random.Random(8)
+    pair = spark.createDataFrame([(T0 + timedelta(hours=i), rng.choice([rng.gauss(0, 1), 0.0, None]), rng.gauss(0, 1)) for i in range(300)], "ts timestamp, a_ret double, b_ret double").repartition(3)
+    for whole, cut in zip(Q.cross_asset_corr(pair, window=40), Q.cross_asset_corr(pair, window=40, rows=17)):
+        flat = lambda df: sorted((tuple(round(x, 9) for x in r) for r in df.collect()))
+        assert flat(whole) == flat(cut)
+
+
+def walk_rows(spark):
+    rng = random.Random(9)
+    data = []
+    for i in range(400):
+        x, y = rng.gauss(0, 1), rng.gauss(0, 1)
+        data.append(("a", "1h", T0 + timedelta(hours=i), x, y, 0.0, (x if i < 250 else -x) + rng.gauss(0, 0.3)))
+    return spark.createDataFrame(data, "asset string, res string, ts timestamp, x double, y double, return_6h double, fwd double")
+
+
+def test_memory_goes_into_the_walk(spark):
+    """x turns its sign at bar 250: its rules fail in the folds after it, once each, and are blocked after that."""
+    cfg = W.Config(atoms=("x", "y"), sizes=(2,), min_support=5, min_conf=0.5)
+    rows = walk_rows(spark)
+    plain = W.walk_forward(rows, cfg)
+    rules, hits = plain["rules"].toPandas(), plain["hits"].toPandas()
+    bad = {(r.fold, r.event) for r in hits.itertuples() if r.oos_hit <= 0.5}
+    want = {(r.fold, r.event) for r in rules.itertuples() if sum((f, r.event) in bad for f in range(r.fold)) < 2}
+    assert want != {(r.fold, r.event) for r in rules.itertuples()}
+    taught = W.walk_forward(rows, cfg, max_failures=2)
+    assert {(r["fold"], r["event"]) for r in taught["rules"].collect()} == want
+    gone = rules["event"].iloc[0]
+    blocked = spark.createDataFrame([("a", "1h", gone)], "asset string, res string, event string")
+    assert {r["event"] for r in W.walk_forward(rows, cfg, blocked)["rules"].collect()} == set(rules["event"]) - {gone}
+    positive = spark.createDataFrame([("a", "1h", e, 0.9) for e in set(rules["event"])], "asset string, res string, event string, avg_oos_hit double")
+    regimes = rows.select("asset", "res", "ts", F.when(F.hour("ts") < 12, "am").otherwise("pm").alias("regime"))
+    out = W.walk_forward(rows, cfg, positive=positive, regimes=regimes)
+    assert {round(r["raw_prob"], 9) for r in out["calibrated"].collect()} == {0.9}
+    by_regime = {r["regime"]: r["n"] for r in out["by_regime"].collect()}
+    assert set(by_regime) == {"am", "pm", "ALL"} and by_regime["ALL"] == by_regime["am"] + by_regime["pm"]
+
+
+def test_sweep_tests_the_winner_only(spark):
+    cfg = W.Config(atoms=("x", "y"), sizes=(2,), min_support=5, min_conf=0.5)
+    out = W.sweep({"all": (walk_rows(spark), cfg), "strict": (walk_rows(spark), W.replace(cfg, min_conf=0.9))}, n_draws=50).collect()
+    assert [(r["rank"], r["test_p"] is not None, r["test_n"] is not None) for r in sorted(out, key=lambda r: r["rank"])] == [(1, True, True), (2, False, False)]
+    assert all(0 < r["test_p"] <= 1 for r in out if r["rank"] == 1)
+
+
 def test_drawdown_peak_leaves_out_the_start(spark):
     df = spark.createDataFrame([("a", "1h", T0 + timedelta(hours=i), r) for i, r in enumerate([-0.5, 0.2, -0.5])], "asset string, res string, ts timestamp, net_ret double")
     assert values(H.equity(df), "drawdown") == pytest.approx([0.0, 0.0, -0.5])
