@@ -217,7 +217,12 @@ def r10(spark, sf):
     return R.calendar_sample(B.panel(spark, sf))
 
 
-@query("r11_top_vol_windows", "asset ts:i segment:i close:d")
+cte("vol_hours", f"SELECT asset, t, row_number() OVER (PARTITION BY asset ORDER BY vol DESC, t) AS r FROM (SELECT asset, t, {roll('stddev_samp(return_1h)', 'return_1h', 24)} AS vol FROM pool) AS x WHERE vol IS NOT NULL")
+# one window more in each round: the first hour in order of volatility that is over 12 hours from all chosen ones
+cte("vol_picks", "WITH RECURSIVE pick AS (SELECT DISTINCT asset, CAST([] AS BIGINT[]) AS chosen FROM vol_hours UNION ALL SELECT asset, list_append(any_value(chosen), arg_min(t, r)) FROM (SELECT p.asset, p.chosen, h.t, h.r FROM pick AS p JOIN vol_hours AS h ON h.asset = p.asset WHERE len(p.chosen) < 5 AND len(list_filter(p.chosen, lambda c: abs(c - h.t) <= 43200)) = 0) AS x GROUP BY asset) SELECT asset, unnest(list_sort(chosen)) AS center, unnest(range(len(chosen))) AS segment FROM (SELECT asset, arg_max(chosen, len(chosen)) AS chosen FROM pick GROUP BY asset) AS y")
+
+
+@query("r11_top_vol_windows", "asset ts:i segment:i close:d", "SELECT b.asset, b.t AS ts, v.segment, b.close FROM bars_5m AS b JOIN vol_picks AS v ON b.asset = v.asset AND abs(b.t - v.center) <= 21600")
 def r11(spark, sf):
     hourly = X.rolling_vol(X.pct_return(B.bars(spark, sf), 1, name="return_1h"), 24).select("asset", "ts", F.col("volatility").alias("vol"))
     return R.top_vol_windows(hourly, B.bars(spark, sf, "5m"), k=5, hours=6)

@@ -393,7 +393,13 @@ def t9(spark, sf):
     return out[0].unionByName(out[1])
 
 
-@query("t10_explained_variance", "asset pc:i ratio:d cumulative:d needed:i")
+# the eigenvalues of a 3 x 3 correlation matrix in closed form: 1 + 2 sqrt(p / 3) cos((acos(abc / (p / 3)^1.5) - 2 pi k) / 3), p = a^2 + b^2 + c^2
+cte("corr_three", f"SELECT asset, corr({_THREE[0]}, {_THREE[1]}) AS a, corr({_THREE[0]}, {_THREE[2]}) AS b, corr({_THREE[1]}, {_THREE[2]}) AS c FROM known WHERE {' AND '.join(f'{x} IS NOT NULL' for x in _THREE)} GROUP BY asset")
+cte("eigen_three", "SELECT asset, k, (1 + 2 * sqrt(p / 3) * cos((acos(greatest(-1, least(1, a * b * c / pow(p / 3, 1.5)))) - 2 * pi() * k) / 3)) / 3 AS ratio FROM (SELECT *, a * a + b * b + c * c AS p, unnest([0, 1, 2]) AS k FROM corr_three) AS x")
+cte("eigen_sums", "SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ratio DESC) AS pc, sum(ratio) OVER (PARTITION BY asset ORDER BY ratio DESC ROWS UNBOUNDED PRECEDING) AS cumulative FROM eigen_three")
+
+
+@query("t10_explained_variance", "asset pc:i ratio:d cumulative:d needed:i", "SELECT *, min(CASE WHEN cumulative >= 0.95 - 1e-12 THEN pc END) OVER (PARTITION BY asset) AS needed FROM eigen_sums")
 def t10(spark, sf):
     return T.explained_variance(known(spark, sf), _THREE)
 
@@ -429,6 +435,12 @@ def t12(spark, sf):
     return hold.join(dev, "asset").select("asset", T.hit_se(F.col("h"), F.col("n")).alias("se"), T.overfit_gap(F.col("h"), F.col("d")).alias("gap_pp"))
 
 
+@query("l1_boosted", "asset n:i hit:d lift:d")
+def l1b(spark, sf):
+    """Boosted trees of all assets at once."""
+    return W.boosted_holdout(rows3(spark, sf), CFG, 6, 2, 16)
+
+
 @query("l1_gbt", "asset n:i hit:d lift:d")
 def l1(spark, sf):
     return W.gbt_holdout(rows3(spark, sf), CFG, "click", 5)

@@ -428,7 +428,16 @@ def a7c(spark, sf):
     return H.thesis_hold(targets(spark, sf), max_hold=12, least=2, cooldown=2, rows=50)
 
 
-@query("a8_grid", "asset hold:i fee_bps:d move:d len:i total:d n_changes:i active:i viable:b rank:i")
+# each asset's rows under each gate are a series of their own, named by all three
+cte("grid_rows", "SELECT asset AS name, asset || '#' || m || '#' || l AS asset, m, l, t, fwd, CASE WHEN abs(coalesce(return_1h, 0)) >= m AND abs(streak) >= l AND abs(streak) >= 2 THEN -CAST(sign(streak) AS DOUBLE) ELSE 0.0 END AS target FROM pool, (SELECT unnest([0.0, 0.005])::DOUBLE AS m), (SELECT unnest([0, 3]) AS l) WHERE fwd IS NOT NULL")
+for _hold in (1, 6):
+    cte(f"grid_held_{_hold}", hold_sql("grid_rows", _hold))
+cte("grid_moved", "SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY asset, hold ORDER BY t), 0)) AS sw FROM (SELECT *, 1 AS hold FROM grid_held_1 UNION ALL SELECT *, 6 AS hold FROM grid_held_6) AS x")
+cte("grid_net", "SELECT name, hold, fee_bps, m, l, t, pos, sw, pos * fwd - sw * fee_bps / 1e4 AS net FROM grid_moved, (SELECT unnest([1.0, 5.0])::DOUBLE AS fee_bps)")
+cte("grid_stats", stats_sql("grid_net", "name, hold, fee_bps, m, l", 8760, ", sum(CAST(pos <> 0 AS INT)) AS active"))
+
+
+@query("a8_grid", "asset hold:i fee_bps:d move:d len:i total:d n_changes:i active:i viable:b rank:i", "SELECT name AS asset, hold, fee_bps, m AS move, l AS len, total, n_changes, active, total > 0 AND n_changes >= 30 AND active >= 200 AS viable, row_number() OVER (PARTITION BY name ORDER BY round(total, 9) DESC NULLS LAST, hold, fee_bps, m, l) AS rank FROM grid_stats")
 def a8(spark, sf):
     return H.grid_returns(targets(spark, sf), (1, 6), (1.0, 5.0), (0.0, 0.005), (0, 3))
 

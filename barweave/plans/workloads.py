@@ -11,6 +11,7 @@ from barweave.functions.discretize import assign_folds, build_events, chrono_spl
 from barweave.functions.features import ATOM_SETS, atom_pool, forward_return, pct_return, streak_before, vol_ratio
 from barweave.functions.windows import BY, over
 from barweave.operators import mining
+from barweave.operators.boosting import boosted
 from barweave.operators.positions import align_panel
 from barweave.operators.resample import resample_last
 from barweave.operators.streaks import conviction_tier, generalization
@@ -300,6 +301,14 @@ def tier_pair(panel: DataFrame, a: str, b: str, cols: Sequence[str]) -> DataFram
     return pick(a, "a").join(pick(b, "b"), "ts")
 
 
+def boosted_holdout(rows: DataFrame, cfg: Config, trees: int = 20, depth: int = 3, bins: int = 32) -> DataFrame:
+    """Boosted trees of every series, fitted on its dev part and scored on the rest: n, hit, lift."""
+    split = chrono_split(rows.where("fwd is not null"), cfg.holdout, cfg.by).withColumn("up", (F.col("fwd") > 0).cast("int"))
+    out = boosted(split, cfg.atoms, "up", F.col("part") == "dev", cfg.by, trees, depth, bins=bins).where("part = 'hold'")
+    scored = out.groupBy(*cfg.by).agg(F.count("*").alias("n"), F.avg(((F.col("margin") > 0).cast("int") == F.col("up")).cast("int")).alias("hit"))
+    return scored.withColumn("lift", F.col("hit") - 0.5)
+
+
 def gbt_holdout(rows: DataFrame, cfg: Config, asset: str, trees: int = 20, depth: int = 3) -> DataFrame:
     """Gradient-boosted trees on one series' features, scored like the holdout test."""
     from pyspark.ml.classification import GBTClassifier

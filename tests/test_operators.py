@@ -11,6 +11,7 @@ from barweave.functions import discretize as P, features as X
 from barweave.functions.windows import chunked
 from barweave.functions import slices as L
 from barweave.operators import mining as M, positions as H, resample as R, streaks as Q, tests_of_chance as T
+from barweave.operators.boosting import boosted
 from barweave.operators.chains import Holding, Trading
 from barweave.plans import workloads as W
 from barweave.sources import io as S
@@ -310,6 +311,53 @@ def test_sweep_tests_the_winner_only(spark):
     assert all(0 < r["test_p"] <= 1 for r in out if r["rank"] == 1)
 
 
+def plain_boosting(x, y, train, trees, depth, rate, bins, least, ridge):
+    edges = [np.unique(np.quantile(c[train], [i / bins for i in range(1, bins)])) for c in x.T]
+    b = np.array([[int((e <= v).sum()) for v, e in zip(row, edges)] for row in x])
+    m = np.zeros(len(y))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-m))
+        g, h, node = p - y, p * (1 - p), np.zeros(len(y), dtype=int)
+        for _ in range(depth):
+            new = 2 * node
+            for k in np.unique(node[train]):
+                own = train & (node == k)
+                best = None
+                for f in range(x.shape[1]):
+                    for cut in np.unique(b[own, f]):
+                        left = own & (b[:, f] <= cut)
+                        right = own & ~left
+                        if left.sum() < least or right.sum() < least:
+                            continue
+                        gain = round(sum(s * g[z].sum() ** 2 / (h[z].sum() + ridge) for s, z in ((1, left), (1, right), (-1, own))), 9)
+                        if gain > 0 and (best is None or gain > best[0]):
+                            best = gain, f, cut
+                if best:
+                    new[(node == k) & (b[:, best[1]] > best[2])] += 1
+            node = new
+        for k in np.unique(node[train]):
+            own = train & (node == k)
+            m[node == k] += -rate * g[own].sum() / (h[own].sum() + ridge)
+    return m
+
+
+def test_boosting_of_all_series_like_numpy(spark):
+    rng = np.random.default_rng(10)
+    data = []
+    for asset, n in (("a", 300), ("b", 120), (None, 90)):
+        x = rng.normal(size=(n, 2)).round(3)
+        y = (x[:, 0] * (1 if asset == "a" else -1) + x[:, 1] ** 2 + rng.normal(size=n) > 0.5).astype(int)
+        data += [(asset, i, *map(float, r), int(v), "c") for i, (r, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame([*data, ("a", 999, None, 1.0, 1, "c"), ("a", 998, 1.0, 1.0, None, "c")], "asset string, i long, u double, v double, up int, b string").repartition(3)
+    got = {(r["asset"], r["i"]): r["margin"] for r in boosted(df, ["u", "v"], "up", F.col("i") % 4 != 0, ["asset"], trees=3, depth=2, bins=8, least=10).collect()}
+    for asset in ("a", "b", None):
+        own = [r for r in data if r[0] == asset]
+        x, y, i = np.array([r[2:4] for r in own]), np.array([r[4] for r in own]), np.array([r[1] for r in own])
+        want = plain_boosting(x, y, i % 4 != 0, 3, 2, 0.1, 8, 10, 1.0)
+        assert [got[asset, k] for k in i] == pytest.approx(list(want), abs=1e-9)
+    assert len(got) == len(data)
+
+
 def test_drawdown_peak_leaves_out_the_start(spark):
     df = spark.createDataFrame([("a", "1h", T0 + timedelta(hours=i), r) for i, r in enumerate([-0.5, 0.2, -0.5])], "asset string, res string, ts timestamp, net_ret double")
     assert values(H.equity(df), "drawdown") == pytest.approx([0.0, 0.0, -0.5])
