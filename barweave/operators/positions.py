@@ -135,20 +135,22 @@ def expanding_oracle(df: DataFrame, horizon: int = 12, k_fee: float = 2.0, min_n
 def rank_portfolio(panel: DataFrame, q: float = 0.2, reversal: bool = True, fee_side: float = 0.0005, least: int = 10) -> DataFrame:
     """Per week the gross return, turnover, cost and net return of the long-short portfolio of the extreme fifths.
 
-    ``panel``: (asset, week, close). Assets are ranked by their last week's return and held for the next. Weeks with
+    ``panel``: (asset, week, close), written once, as are its ranks. Assets are ranked by their last week's return and held for the next. Weeks with
     under ``least`` assets have no positions, and the next week buys anew.
     """
     w = Window.partitionBy("asset").orderBy("week")
     near = lambda c, k: F.when(F.abs(F.datediff(F.lag("week", k).over(w) if k > 0 else F.lead("week", -k).over(w), "week")) == 7, c)
+    panel = stored(panel.select("asset", "week", "close"), "panel")
     rows = panel.withColumns({"rank_ret": near(F.col("close") / F.lag("close").over(w) - 1, 1), "next_ret": near(F.lead("close").over(w) / F.col("close") - 1, -1)})
-    weeks = rows.select("week").distinct()
+    weeks = panel.select("week").distinct()
     ranked = rows.where("rank_ret is not null and next_ret is not null")
     per = Window.partitionBy("week")
     ranked = ranked.withColumns({"_n": F.count("*").over(per), "_lo": F.row_number().over(per.orderBy("rank_ret", "asset")), "_hi": F.row_number().over(per.orderBy(F.desc("rank_ret"), F.desc("asset")))}).where(F.col("_n") >= least)
     k = F.greatest(F.lit(1), F.floor(F.col("_n") * q + 1e-9))
     side = 1.0 if reversal else -1.0
     weight = F.when(F.col("_lo") <= k, side).when(F.col("_hi") <= k, -side).otherwise(0.0) / (2 * k)
-    held = ranked.select("asset", "week", weight.alias("w"), "next_ret").where("w <> 0")
+    ranked = stored(ranked.select("asset", "week", weight.alias("w"), "next_ret"), "ranked")
+    held = ranked.where("w <> 0")
     traded = ranked.select("week").distinct().withColumn("_traded", F.lit(1))
     # a week's change concerns what is held in it or was held the week before
     here = held.select("asset", "week", "w", F.lit(0.0).alias("old"), (F.col("w") * F.col("next_ret")).alias("g"))

@@ -230,11 +230,11 @@ def q17q(spark, sf):
     return Q.quarterly(daily_pool(spark, sf))
 
 
-def _each_rule() -> str:
+def _each_rule(rules: dict[str, str] | None = None, source: str = "moved") -> str:
     parts = []
-    for name, condition in Q.catalog_rules().items():
+    for name, condition in (rules or Q.catalog_rules()).items():
         holds = f"coalesce({condition.format(a='a.', b='b.')}, false)"
-        parts.append(f"SELECT '{name}' AS rule_id, count(*) FILTER ({holds}) AS n, 100.0 * count(*) FILTER ({holds}) / count(*) AS coverage_pct, avg(CAST(sign(a.fwd) = a.dir AS INT)) FILTER ({holds}) AS hit_rate FROM moved AS a JOIN moved AS b USING (t) WHERE a.asset = 'click' AND b.asset = 'view' AND a.fwd IS NOT NULL")
+        parts.append(f"SELECT '{name}' AS rule_id, count(*) FILTER ({holds}) AS n, 100.0 * count(*) FILTER ({holds}) / count(*) AS coverage_pct, avg(CAST(sign(a.fwd) = a.dir AS INT)) FILTER ({holds}) AS hit_rate FROM {source} AS a JOIN {source} AS b USING (t) WHERE a.asset = 'click' AND b.asset = 'view' AND a.fwd IS NOT NULL")
     return " UNION ALL ".join(parts)
 
 
@@ -246,6 +246,18 @@ def q18(spark, sf):
     return Q.rule_catalog(W.tier_pair(tiers(spark, sf), "click", "view", _COLS))
 
 
+_EXTRA = Q.catalog_rules(bases=("own", "pair", "led"), sides=("", "a"), regimes=("",), moves=(0.0,), extras=("freq", "fund"))
+cte("fund_bucket", "SELECT f.asset, f.t, funding_rate <= lo OR funding_rate >= hi AS extreme FROM funding AS f JOIN (SELECT asset, quantile_cont(funding_rate, 0.1) AS lo, quantile_cont(funding_rate, 0.9) AS hi FROM fund_part WHERE part = 'dev' GROUP BY asset) AS c USING (asset)")
+cte("moved_extra", "SELECT m.*, coalesce(s15m, 0) = coalesce(s30m, 0) AND coalesce(s30m, 0) = coalesce(s1h, 0) AND coalesce(s1h, 0) <> 0 AS freq, coalesce(f.extreme, false) AS fund_extreme FROM moved AS m ASOF LEFT JOIN fund_bucket AS f ON m.asset = f.asset AND m.t >= f.t")
+
+
+@query("q18_rule_extras", "rule_id n:i coverage_pct:d hit_rate:d", _each_rule(_EXTRA, "moved_extra"))
+def q18x(spark, sf):
+    """Rules that also ask for agreeing timeframes of both assets, or for extreme funding of the first."""
+    fund = P.decile_state(B.funding_like(spark, sf), "funding_rate", by=A).select("asset", "ts", (F.col("bucket") != "NEUTRAL").alias("fund_extreme"))
+    return Q.rule_catalog(W.tier_pair(R.asof_join(tiers(spark, sf), fund), "click", "view", _COLS), _EXTRA)
+
+
 @query("q18_all_rules_ranked", "rule_id n:i rank:i promote:b")
 def q18a(spark, sf):
     ranked = Q.rule_catalog(W.tier_pair(tiers(spark, sf), "click", "view", _COLS))
