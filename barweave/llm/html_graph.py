@@ -13,16 +13,21 @@ import html
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+_START = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z])", re.S)
+_TAG = re.compile(r"[^\s/>]*")
 # a quote delimits an attribute's value only right after the equals sign
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?>\"[^\"]*\"|'[^']*')?+)*+)>", re.S)
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?>\"[^\"]*\"|'[^']*')?+)*+", re.S)
+_PLAIN, _VALUE = re.compile(r"[^>=]*"), re.compile(r"=\s*+(?>\"[^\"]*\"|'[^']*')?+", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HEAD_END = re.compile(r"</head\s*>|<body", re.I)
 _LABEL = re.compile(r"data-main=\"([01])\"")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -75,6 +80,51 @@ def _tags(tag: str, only_end: bool = False) -> re.Pattern:
     return re.compile(rf"</{tag}" if only_end else rf"<(/?){tag}\b[^>]*>", re.I)
 
 
+def _markup(source: str) -> Iterator[re.Match | tuple[int, int, str, str, str]]:
+    """Comments and declarations (matches), and tags (start, end, slash, name, attributes), in order; send a place to go on from there.
+
+    Tags that never end are text. The work is linear: nothing is looked for after the last ``>``; and where a tag has no
+    end, what its attributes went through is known to lead to none, so no later tag goes that way again.
+    """
+    last, end = source.rfind(">"), len(source)
+    at, dead, careful, skip = 0, set(), False, 0
+    while m := _START.search(source, at, last + 1):
+        start = m.start()
+        if m[2] is None:
+            if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+                yield start, end, "", "", ""  # a comment without an end hides the rest
+                return
+            at = (yield m) or m.end()
+            continue
+        at = start + 1
+        if start < skip:
+            continue
+        name_end = _TAG.match(source, m.end() - 1).end()
+        stop = -1
+        if not careful:
+            stop = _REST.match(source, name_end).end()
+            careful = stop >= end
+        if careful:
+            stop, path, p = -1, [], name_end
+            while (q := _PLAIN.match(source, p).end()) < end:
+                if source[q] == ">":
+                    stop = q
+                    break
+                if q in dead:
+                    break
+                path.append(q)
+                p = _VALUE.match(source, q).end()
+            if stop < 0:
+                dead.update(path)
+                first = path[0] if path else q
+                # tags that begin before a space before that place take the same way from there
+                skip = max(skip, *(source.rfind(x, name_end, first) for x in " \t\n\r\f/"))
+                continue
+        at = (yield start, stop + 1, m[1], source[m.end() - 1 : name_end], source[name_end:stop]) or stop + 1
+    if (tail := source.find("<!--", max(at, last + 1))) >= 0:
+        yield tail, end, "", "", ""
+
+
 def _length(n: int) -> int:
     return min(8, n.bit_length())
 
@@ -145,16 +195,24 @@ def parse(source: str) -> Page:
         node = next((x[1] for x in reversed(stack) if x[1] >= 0), -1)
         label = labels.get(node, 0)
 
-    at = 0
-    for m in _TOKEN.finditer(source):
-        if m.start() < at:
-            continue
-        take(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    at, last, heads = 0, source.rfind(">") + 1, True
+    tokens = _markup(source)
+    m = next(tokens, None)
+
+    def following():
+        try:
+            return tokens.send(at)
+        except StopIteration:
+            return None
+
+    while m is not None:
+        begin, stop, slash, tag, attributes = m if isinstance(m, tuple) else (*m.span(), "", "", "")
+        take(source[at:begin])
+        at, tag = stop, tag.lower()
+        if not tag:
+            m = following()
             continue
-        tag = m[2].lower()
-        if not m[1]:
+        if not slash:
             if tag in RAW:
                 end = _tags(tag, only_end=True).search(source, at)
                 if not end:
@@ -163,6 +221,7 @@ def parse(source: str) -> Page:
                 at = (source.find(">", end.start()) + 1) or len(source)
                 if tag not in ("script", "style"):
                     take(" ")
+                m = following()
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -170,12 +229,14 @@ def parse(source: str) -> Page:
                     block += 1
                 else:
                     take(" " if tag in ("br", "img", "input", "wbr") and tag != "wbr" else "")
+                m = following()
                 continue
             if tag in DROPPED and tag != "head":
-                if m[3].endswith("/"):
+                if attributes.endswith("/"):
+                    m = following()
                     continue
                 depth, end = 1, at
-                for inner in _tags(tag).finditer(source, at):
+                for inner in _tags(tag).finditer(source, at, last):
                     depth += -1 if inner[1] else 1
                     if not depth:
                         end = inner.end()
@@ -184,11 +245,14 @@ def parse(source: str) -> Page:
                     end = len(source)
                 take(" ")
                 at = end
+                m = following()
                 continue
             if tag == "head":
-                end = re.compile(r"</head\s*>|<body", re.I).search(source, at)
+                end = _HEAD_END.search(source, at) if heads else None
+                heads = end is not None
                 if end:
                     at = end.end() if end[0].startswith("</") else end.start()
+                m = following()
                 continue
             if tag in BLOCK:
                 flush()
@@ -200,8 +264,8 @@ def parse(source: str) -> Page:
                             break
                         if stack[depth][0] in ("table", "ul", "ol", "dl", "td", "th", "div", "article", "section", "body", "li") and stack[depth][0] not in CLOSES.get(tag, ()):
                             break
-                own = element(tag, m[3])
-                if (mark := _LABEL.search(m[3])) is not None:
+                own = element(tag, attributes)
+                if (mark := _LABEL.search(attributes)) is not None:
                     label = int(mark[1])
                     page.label[own] = label
                 labels[own] = label
@@ -211,12 +275,12 @@ def parse(source: str) -> Page:
                 if tag == "a":
                     links += 1
                 own = -1
-                if m[3] and tag != "a" and _NAMES.search(m[3]):
+                if attributes and tag != "a" and _NAMES.search(attributes):
                     flush()
-                    own = element(tag, m[3])
+                    own = element(tag, attributes)
                     labels[own] = label
                     node = own
-                if m[3][-1:] != "/" or own >= 0:
+                if attributes[-1:] != "/" or own >= 0:
                     stack.append((tag, own, False))
         else:
             if tag == "a":
@@ -230,6 +294,7 @@ def parse(source: str) -> Page:
                     break
                 if stack[depth][2] and tag not in BLOCK:
                     break
+        m = following()
     take(source[at:])
     flush()
     if not any(k == "article" or "main" in f for k, f in zip(page.kind, page.features, strict=True)):

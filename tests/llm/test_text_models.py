@@ -77,13 +77,18 @@ def test_parsing_is_linear():
     import time
 
     took = []
-    for page in ("<p>a</p>" + "<svg><path d='1'/></svg>" * 16_000, "<p " + "a=" * 60_000 + "x", "<select><option>a</select>" * 16_000):
+    for page in ("<p>a</p>" + "<svg><path d='1'/></svg>" * 16_000, "<p " + "a=" * 60_000 + "x", "<select><option>a</select>" * 16_000, "<p>text</p>" + '<a href="x ' * 64_000, '<a b=">" ' * 64_000, "<a " * 64_000 + 'b=">"', "<!a" * 64_000, "<p>" + "<!a" * 64_000, "<head>" * 32_000, "<a<a" * 64_000, "<select " * 64_000, "<p>x</p>" + "<!--" * 64_000):
         began = time.perf_counter()
         html_graph.parse(page)
         took.append(time.perf_counter() - began)
     assert max(took) < 2, took
 
 
+def test_tags_without_an_end_are_text():
+    for page, text in (('<p b=">" c', ['<p b=">" c']), ("<p>a<!-- <p>b", ["a"]), ("<script><!-- </script><p>a", ["a"]), ("<p>1 < 2 <3", ["1 < 2 <3"]), ("<p title='a>b'>c", ["c"]), ("a<!-->b", ["a"]), ('<p>a</p><b x="', ["a", '<b x="'])):
+        assert [x for x in html_graph.parse(page).text if x] == text, (page, html_graph.parse(page).text)
+
+
 def test_long_texts_are_read_in_parts():
     from barweave.llm import words
 
