@@ -183,6 +183,22 @@ def test_embeddings(spark, kind):
     assert embedding_lsh.near_duplicates(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [64, 384])
+def test_recall_and_buckets_as_the_table_grows(size):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for n in (10**4, 10**7, 10**9, 10**11):
+        shape = embedding_lsh.shape_for(n, size)
+        assert n / (2 * 2 ** (size - 1).bit_length()) ** shape.hashes <= embedding_lsh.FILL
+        (a, pa_), (b, pb) = embedding_lsh.codes(x, shape), embedding_lsh.codes(y, shape)
+        met = np.any([embedding_lsh._meet(a[:, t], pa_[:, t], b[:, t], pb[:, t]) for t in range(shape.tables)], axis=0)
+        assert met.mean() >= 0.98, (n, shape)
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(embedding_lsh, "BLOCK", 20)
     rng = np.random.default_rng(1)
