@@ -84,5 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can express neither the trained scorer nor SentencePiece; the tests compare its stages with plain versions on small tables.
+#: SQL can express neither the trained scorer nor SentencePiece; the tests plant rows for each stage and look what becomes of them.
 ORACLE_SQL = None
