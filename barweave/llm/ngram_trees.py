@@ -243,14 +243,18 @@ def near_duplicates(documents: DataFrame, n: int = 4, percent: int = 85) -> Data
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of ``n``-word shingles; a text of
     fewer words is one shingle. Null texts, texts without words and null ids link with nothing. Equal sets are one
     class, however many; no links between different sets are lost. Rows with one doc_id and different texts link as
-    what they are, under that id. An empty table gives an empty result. Columns besides doc_id and text aren't read.
+    one document under that id, which has the links of each of its texts. An empty table gives an empty result. Columns besides doc_id and text aren't read.
     """
     least = Fraction(percent, 100)
     signed = written(_signed(documents, n), "signed")
     classes = signed.where("size > 0 and doc_id is not null").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
     classes = written(classes, "classes")
     edges = search(classes.select(F.col("rep").alias("doc_id"), "size", "bands"), documents, n, least, frequent_shingles(signed))
-    parts = written(connected_components(edges, "a", "b").withColumnRenamed("id", "rep"), "parts")
+    # an id with several sets belongs to several classes and joins them
+    clashes = signed.where("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("size", "d1", "d2")).alias("low"), F.max(F.struct("size", "d1", "d2")).alias("high")).where("low <> high").select("doc_id")
+    several = signed.where("size > 0").join(written(clashes, "clashes"), "doc_id").join(classes, ["size", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    every = edges.select("a", "b").unionByName(several)
+    parts = written(connected_components(every, "a", "b").withColumnRenamed("id", "rep"), "parts")
     dropped(edges)
     named = classes.select("size", "d1", "d2", "rep").join(parts, "rep", "left").select("size", "d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
     # documents of one class with one id more than once stay as rows
@@ -267,7 +271,7 @@ def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction, frequ
     stars = written(spread.join(centres, "band").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     edges = written(verify(stars, documents, n, least), "verified")
     parts = written(connected_components(edges, "a", "b"), "groups")
-    labelled = reps.select("doc_id", "size").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("group"))
+    labelled = reps.select("doc_id").distinct().join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("group"))
     labelled = written(labelled, "labelled")
     dropped(centres, stars, parts)
 
@@ -329,7 +333,8 @@ def ranges(met: DataFrame, num: int, den: int) -> DataFrame:
     gap = (den * F.lag("size").over(by_size) < num * F.col("size")).cast("int")
     small = small.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("at", F.sum("gap").over(by_size))
     of = Window.partitionBy("key", "at")
-    facts = [F.count("*"), F.min("doc_id"), F.max("doc_id"), F.bit_xor(F.xxhash64("doc_id"))]
+    # a sum, as repeated ids would cancel out in an exclusive or; 30 bits each, so that it can't overflow below 2**33 rows
+    facts = [F.count("*"), F.min("doc_id"), F.max("doc_id"), F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))]
     names = ["n", "first", "last", "all"]
     small = small.select("doc_id", F.xxhash64("key", "at").alias("range"), *[f.over(of).alias(x) for f, x in zip(facts, names, strict=True)], (F.min("group").over(of) != F.max("group").over(of)).alias("two"))
     whole = large.groupBy("key").agg(*[f.alias(x) for f, x in zip(facts, names, strict=True)])

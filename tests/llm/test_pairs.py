@@ -93,6 +93,25 @@ def test_jaccard_join(spark, n, percent):
     assert got == {i: (len(sets[i]), want[i]) for i in ids}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_with_several_texts_under_one_id(spark, seed):
+    """Such rows are one document with the links of each text, by brute force."""
+    rng = random.Random(seed)
+    bases = [words(rng.choice([4, 12, 40, 90]), 1000 * seed + k) for k in range(30)]
+    rows = [(rng.randrange(60), " ".join(changed(b, rng.choice([0, 0, 1, 2]), k))) for k, b in enumerate(rng.choices(bases, k=110))]
+    sets = [brute_sets([r], 4)[r[0]] for r in rows]
+    links = [(rows[x][0], rows[y][0]) for x, a in enumerate(sets) for y, b in enumerate(sets[:x]) if 100 * len(a & b) >= 85 * len(a | b)]
+    want = reach({i for i, _ in rows}, links)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_trees.near_duplicates(docs(spark, rows)).collect())
+    assert got == Counter((i, len(s), want[i]) for (i, _), s in zip(rows, sets, strict=True))
+
+
+def test_ranges_with_repeated_ids_are_told_apart(spark):
+    rows = [(key, i, g, 10, 4) for key, ids in ((1, (1, 4, 4, 9)), (2, (1, 5, 5, 9))) for g, i in enumerate(ids)]
+    met = ngram_trees.ranges(spark.createDataFrame(rows, "key long, doc_id long, `group` long, size long, n long"), 85, 100)
+    assert met.select("n", "first", "last", "all").distinct().count() == 2
+
+
 def test_jaccard_join_without_the_first_step(spark, monkeypatch):
     """Routing and trees alone must find every link."""
     monkeypatch.setattr(ngram_trees, "FAN", 3)  # so that small trees have inner nodes
