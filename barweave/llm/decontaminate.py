@@ -4,9 +4,10 @@ For an item of m words every window of m words of a document is of its size; a d
 A similarity counts shingles in any order, and moving a window on to its first shingle that the item has loses none of
 those; so the best window starts at a shared shingle, or is the document's last one. Windows start there if they hold
 enough shared shingles for the wanted similarity, so none is lost. A window's SimHash is
-looked up among those of the items of its size by BLOCKS blocks of its bits, each within BLOCK_RADIUS bits: every
-fingerprint within RADIUS bits is found. Those pairs are verified by their exact weighted shingle similarity, the sum
-of the smaller over the sum of the larger numbers of occurrences.
+looked up among those of the items that made it start, by BLOCKS blocks of its bits, each within BLOCK_RADIUS bits:
+every fingerprint within RADIUS bits is found, and a window never meets the other items of its size. Those pairs are
+verified by their exact weighted shingle similarity, the sum of the smaller over the sum of the larger numbers of
+occurrences.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from barweave.llm.shared import written
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+STRETCH = 8192  # words of a document whose windows are cut in one row
 _MASKS = [sum(1 << b for b in c) for r in range(BLOCK_RADIUS + 1) for c in combinations(range(BLOCK_BITS), r)]
 
 
@@ -45,17 +47,31 @@ def simhash(shingles: Column) -> Column:
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
+    """Sum of the smaller over sum of the larger counts; where nothing occurs twice these are the sizes of sets."""
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    both = F.size(F.array_intersect(a, b))
     every = F.array_distinct(F.concat(a, b))
     count = lambda array, s: F.size(F.filter(array, lambda x: x == s))
     smaller = F.aggregate(every, F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
     larger = F.aggregate(every, F.lit(0), lambda acc, s: acc + F.greatest(count(a, s), count(b, s)))
-    return smaller / larger
+    return F.when(plain, both / (F.size(a) + F.size(b) - both)).otherwise(smaller / larger)
 
 
 def _block(fingerprint: Column, block: Column) -> Column:
     return F.call_function("shiftrightunsigned", fingerprint, (block * BLOCK_BITS).cast("int")).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
+def found_near(probe: DataFrame, index: DataFrame) -> DataFrame:
+    """The probes (item_id, m, block, value, print) that meet their item's fingerprint in the index, each window once.
+
+    A pair can agree in several blocks; the row of the first of them stays, which needs no shuffle.
+    """
+    differ = F.col("print").bitwiseXOR(F.col("item_print"))
+    close = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.bit_count(_block(differ, b)) <= BLOCK_RADIUS)
+    met = probe.join(index, ["item_id", "m", "block", "value"]).where(F.bit_count(differ) <= RADIUS)
+    return met.where(F.array_position(close, True) == F.col("block") + 1)
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity, first_word: each pair with a window of similarity ``least`` or more, at its best.
 
@@ -90,28 +106,33 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
     held = (size - F.col("k") + 1).alias("held")  # shingles of a window
     # in common >= least * (item's + window's - in common)
     need = F.greatest(F.lit(1), F.ceil(F.lit(least / (1 + least)) * (F.col("m") - F.col("k") + 1 + size - F.col("k") + 1) - 1e-9).cast("int")).alias("need")
-    shared = shared.select("doc_id", "n", "m", "k", "ats", held, need, (F.col("n") - size).alias("last")).where("size(ats) >= need")
+    shared = shared.select("doc_id", "n", "item_id", "m", "k", "ats", held, need, (F.col("n") - size).alias("last")).where("size(ats) >= need")
     full = F.filter(F.sequence(F.lit(0), F.size("ats") - F.col("need")), lambda i: F.get(F.col("ats"), i + F.col("need") - 1) < F.get(F.col("ats"), i) + F.col("held"))
     begin = F.concat(F.transform(full, lambda i: F.least(F.get(F.col("ats"), i), F.col("last"))), F.array("last"))
-    starts = shared.select("doc_id", "n", "m", "k", F.explode(F.array_distinct(begin)).alias("start")).distinct()
-    starts = written(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n", "m", "k", "start")).alias("starts")).withColumnRenamed("doc_id", "of"), "starts")
-
-    own = texts.join(starts, F.col("doc_id") == F.col("of")).select("doc_id", word_hashes(F.col("text")).alias("w"), F.explode("starts").alias("s")).select("doc_id", "w", "s.*")
-    own = own.where("n = size(w)")
-    window = F.slice("w", F.col("start") + 1, F.least(F.col("m"), F.col("n")))
+    starts = shared.select("doc_id", "n", "item_id", "m", "k", F.explode(F.array_distinct(begin)).alias("start"))
+    starts = starts.groupBy("doc_id", "n", "m", "k", "start").agg(F.collect_set("item_id").alias("item_ids"))
+    stretch = F.floor(F.col("start") / STRETCH).alias("stretch")
+    starts = starts.groupBy(F.col("doc_id").alias("of"), "n", stretch).agg(F.collect_list(F.struct("m", "k", "start", "item_ids")).alias("starts"))
+    starts = written(starts, "starts")
+
+    # Windows are cut before the rows multiply, so that no row but a stretch's carries the document
+    own = texts.join(starts, F.col("doc_id") == F.col("of")).select("doc_id", "n", "starts", word_hashes(F.col("text")).alias("w")).where("n = size(w)")
+    cut = F.transform("starts", lambda s: s.withField("window", F.slice("w", s["start"] + 1, F.least(s["m"], F.col("n")))))
+    own = own.select("doc_id", F.explode(cut).alias("s")).select("doc_id", "s.*")
     shaped = F.lit(None).cast("array<long>")
     for k in sizes:
         shaped = F.when(F.col("k") == k, shingle_hashes(F.col("window"), k)).otherwise(shaped)
-    windows = own.select("doc_id", "m", "k", "start", window.alias("window")).dropDuplicates(["doc_id", "m", "start", "window"]).select("doc_id", "m", "start", shaped.alias("shingles"))
+    windows = own.select("doc_id", "m", "item_ids", "start", shaped.alias("shingles"))
     windows = written(windows.withColumn("print", simhash(F.col("shingles"))), "windows")
 
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-    probe = windows.select("*", block).withColumn("value", _block(F.col("print"), F.col("block")))
-    index = items.select("item_id", F.col("m").alias("item_m"), "item_print", "item_shingles", block.alias("item_block"))
-    index = index.withColumn("item_value", F.explode(F.transform(F.lit(_MASKS), lambda mask: mask.cast("long").bitwiseXOR(_block(F.col("item_print"), F.col("item_block"))))))
-    index = written(index, "index")
-    near = probe.join(index, (F.col("m") == F.col("item_m")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")))
-    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).dropDuplicates(["doc_id", "item_id", "start", "shingles"])
+    probe = windows.select("doc_id", "m", "start", "shingles", "print", F.explode("item_ids").alias("item_id")).select("*", block)
+    probe = probe.withColumn("value", _block(F.col("print"), F.col("block")))
+    index = items.select("item_id", "m", "item_print", block)
+    index = written(index.withColumn("value", F.explode(F.transform(F.lit(_MASKS), lambda mask: mask.cast("long").bitwiseXOR(_block(F.col("item_print"), F.col("block")))))), "index")
+    near = found_near(probe, index)
+    shapes = items.select("item_id", "m", "item_shingles").distinct()
+    near = near.join(shapes, ["item_id", "m"])
     scored = near.select("doc_id", "item_id", "start", weighted_similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity")).where(F.col("similarity") >= least)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.col2")).alias("first_word"))

@@ -38,3 +38,28 @@ def test_documents_shorter_than_the_item(spark):
     item = words(40, 1)
     rows = [(0, item[:37]), (1, item[2:]), (2, item[:30]), (3, item[:4]), (4, ["x"]), (5, item[20:] + item[:18])]
     assert compare(spark, rows, [(0, item), (1, words(6, 2))]) == {(0, 0), (1, 0)}
+
+
+def test_many_items_of_one_size(spark, monkeypatch):
+    """Windows meet the items that made them start, not all of their size; long documents are cut in stretches."""
+    items = [(i, words(30, 100 + i)) for i in range(120)]
+    rows = [(i, words(60, 500 + i) + items[i % 120][1] + words(30, 900 + i)) for i in range(40)]
+    rows += [(100, [w for i in range(0, 120, 7) for w in items[i][1] + words(11, 40 + i)]), (101, items[3][1][:25] + items[4][1][5:]), (102, words(50, 3))]
+    met = []
+
+    def counted(probe, index, f=decontaminate.found_near):
+        met.append((probe.select("doc_id", "start").distinct().count(), probe.join(index, ["item_id", "m", "block", "value"]).count()))
+        return f(probe, index)
+
+    monkeypatch.setattr(decontaminate, "found_near", counted)
+    monkeypatch.setattr(decontaminate, "STRETCH", 100)
+    assert len(compare(spark, rows, items)) > 50
+    windows, pairs = met[0]
+    assert 0 < pairs < 0.1 * windows * len(items)
+
+
+def test_items_under_one_id(spark):
+    docs = spark.createDataFrame([(0, " ".join(words(20, 1) + words(9, 5))), (1, " ".join(words(35, 2))), (2, " ".join(words(20, 3)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words(20, 1))), (7, " ".join(words(35, 2))), (7, " ".join(words(20, 3)))], "item_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in got} == {(0, 7, 1.0, 0), (1, 7, 1.0, 0), (2, 7, 1.0, 0)}
