@@ -165,6 +165,20 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
     assert [r["held_out"] for r in out if r["doc_id"] is None] == [False]
 
 
+@pytest.mark.parametrize("worker_rows", [20_000, 2_000])
+def test_toxicity_learns_from_every_labelled_row(spark, worker_rows):
+    """A word that only the last rows by hash have is learned, by one worker and by several."""
+    ids = spark.range(12_000).where("crc32(cast(id as string)) % 5 <> 0").orderBy(F.xxhash64("id")).toPandas()["id"].tolist()
+    rng, toxic = np.random.default_rng(3), ids[::2]
+    word = {i: "oldslur" if k < 3_200 else "newslur" for k, i in enumerate(toxic)}
+    text = lambda i: " ".join([*(f"plain{k}" for k in rng.integers(0, 300, 12)), *([word[i]] if i in word else []), *(f"plain{k}" for k in rng.integers(0, 300, 6))])
+    rows = docs(spark, [(i, text(i)) for i in ids])
+    labels = spark.createDataFrame([(i, int(i in word)) for i in ids], "doc_id long, toxic int")
+    net = toxicity_cnn.fit(rows, labels, worker_rows=worker_rows)
+    late = docs(spark, [(k, "plain1 plain2 plain3 newslur plain4") for k in range(3)] + [(9, "plain1 plain2 plain3 plain4")])
+    assert {r["doc_id"]: r["predicted"] for r in toxicity_cnn.score(late, net).collect()} == {0: 1, 1: 1, 2: 1, 9: 0}
+
+
 def test_scores_do_not_depend_on_neighbours():
     rng = np.random.default_rng(0)
     samples = [rng.integers(0, 1 << 63, 40).astype(np.uint64) for _ in range(40)]
