@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from barweave.llm.batches import grouped, pieces_of
 from barweave.llm.components import connected_components
-from barweave.llm.shared import dropped, packed, written
+from barweave.llm.shared import dropped, packed, packed_among, written
 from barweave.llm.words import as_bytes, mix, shingles, slices, tokenize
 
 BANDS, PER_BAND = 6, 2
@@ -211,12 +211,12 @@ def frequent_shingles(signed: DataFrame) -> np.ndarray:
 def verify(pairs: DataFrame, documents: DataFrame, n: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) that are linked, by exact comparison of whole sets.
 
-    The texts move compressed: once by id, and then the two of a pair to one place. A text that many pairs share is
+    The texts move compressed: those of the pairs (and few others) once by id, and then the two of a pair to one place. A text that many pairs share is
     one side of a plain join, whose large partitions Spark splits. Of an id with several texts all are compared.
     """
     num, den = least.numerator, least.denominator
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("of"), "a", "b")
-    sides = wanted.join(packed(documents), F.col("of") == F.col("doc_id")).select("a", "b", (F.col("of") == F.col("b")).cast("int").alias("side"), "packed")
+    sides = wanted.join(packed_among(documents, wanted.select("of")), F.col("of") == F.col("doc_id")).select("a", "b", (F.col("of") == F.col("b")).cast("int").alias("side"), "packed")
     sides = sides.withColumn("pair", F.xxhash64("a", "b")).repartition("pair").sortWithinPartitions("pair", "a", "b")
 
     def run(batches):
@@ -279,11 +279,9 @@ def search(reps: DataFrame, documents: DataFrame, n: int, least: Fraction, frequ
         import zstandard
 
         unpack, share = zstandard.ZstdDecompressor().decompress, Fraction(num, den)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = sets_of([unpack(x) for x in part.column(2).to_pylist()], n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([keys_of(s, share, frequent).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "group", "size", "keys", "bits"])
+        for part in pieces_of(batches, 256):
+            sets = sets_of([unpack(x) for x in part.column(2).to_pylist()], n)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([keys_of(s, share, frequent).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "group", "size", "keys", "bits"])
 
     text = labelled.select(F.col("doc_id").alias("rep"), "group").join(packed(documents), F.col("rep") == F.col("doc_id")).select("doc_id", "group", "packed")
     routed = written(text.mapInArrow(run, "doc_id long, `group` long, size long, keys array<long>, bits binary"), "routed")
